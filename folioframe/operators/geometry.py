@@ -118,7 +118,7 @@ def to_top_left(b: Box, page_h: Column) -> Box:
     return to_bottom_left(b, page_h)
 
 
-def scaled(b: Box, scale_x: Column, scale_y: Column, dx: Column = F.lit(0.0), dy: Column = F.lit(0.0)) -> Box:
+def scaled(b: Box, scale_x: Column, scale_y: Column, dx: float | Column = 0.0, dy: float | Column = 0.0) -> Box:
     return Box(b.x * scale_x + dx, b.y * scale_y + dy, b.w * scale_x, b.h * scale_y)
 
 

@@ -146,13 +146,13 @@ def _piece_conflicts(pieces: DataFrame, primary: DataFrame, by: Sequence[str]) -
 
 def _cut_text(raw: Column, keys: Column) -> Column:
     """Cut the raw spelling where its non-blank characters complete each key in turn."""
-    sizes = F.transform(keys, F.length)
+    sizes = F.transform(keys, lambda k: F.length(k))
 
     def part(key: Column, i: Column) -> Column:
         before = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda acc, n: acc + n)
         pattern = F.concat(F.lit(r"^\s*(?:\S\s*){"), before.cast("string"), F.lit(r"}((?:\S\s*){"),
                            F.length(key).cast("string"), F.lit("})"))
-        return F.trim(F.regexp_extract(raw, pattern, 1))
+        return F.trim(F.call_function("regexp_extract", raw, pattern, F.lit(1)))
 
     return F.transform(keys, part)
 

@@ -1,8 +1,8 @@
 """One registered query per operator, with the SQL that states the same answer."""
 
-from folioframe.queries import geometry, readings
+from folioframe.queries import geometry, layout, readings
 
-ALL = [readings, geometry]
+ALL = [readings, geometry, layout]
 
 
 def queries():

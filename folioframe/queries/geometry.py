@@ -282,8 +282,8 @@ def j19(fx):
 j AS (SELECT c.*, px, py, pw, ph, coalesce(said, false) AS said, px IS NULL AS none, c.x + c.w - (px + pw) - 2 AS rw, c.y + c.h - (py + ph) - 2 AS rh, py >= c.y - 2 AS inside
   FROM (SELECT * REPLACE (CASE WHEN cell_id % 3 = 0 THEN 70.0 ELSE h END AS h) FROM {{fx_cell}}) c LEFT JOIN pr ON pr.page_id = c.page_id AND pr.cell_id = c.cell_id),
 k AS (SELECT *, NOT none AND ((inside AND NOT said AND (h < 50 OR rh < 30)) OR (rh < 18 AND rw < 28) OR (NOT said AND rh < 30) OR (pw / w >= 0.55 AND rh < 18)) AS header,
-  CASE WHEN none THEN 'whole' WHEN h >= 50 AND rh >= 30 THEN 'below' WHEN said AND rw >= 25 THEN 'beside' WHEN (said OR NOT inside) AND rh >= 16 THEN 'below' WHEN NOT inside THEN 'whole' ELSE 'static' END AS kind FROM j),
-m AS (SELECT *, CASE WHEN header THEN 'static' ELSE kind END AS z FROM k)
+  CASE WHEN none THEN 'whole' WHEN h >= 50 AND rh >= 30 THEN 'below' WHEN said AND rw >= 25 THEN 'beside' WHEN (said OR NOT inside) AND rh >= 16 THEN 'below' WHEN NOT inside THEN 'whole' ELSE 'static' END AS way FROM j),
+m AS (SELECT *, CASE WHEN header THEN 'static' ELSE way END AS z FROM k)
 SELECT page_id, cell_id, z = 'static' AS header_only, CASE z WHEN 'static' THEN x WHEN 'beside' THEN greatest(x + 2, px + pw + 4) ELSE x + 2 END AS in_x,
  CASE WHEN z = 'static' THEN y WHEN z IN ('whole', 'beside') THEN y + 2 ELSE greatest(y + 2, py + ph + 2) END AS in_y,
  CASE z WHEN 'static' THEN w WHEN 'beside' THEN greatest(25.0, x + w - 2 - greatest(x + 2, px + pw + 4)) ELSE greatest(20.0, w - 4) END AS in_w,
