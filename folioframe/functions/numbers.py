@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``: Spark repeats an expression inside a lambda
+    for every element, a bound lambda variable it does not."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def half_up(value: Column) -> Column:
     """Round half towards plus infinity, as the source data was rounded."""
     return F.floor(value + F.lit(0.5))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.numbers import half_up, round_to
+from folioframe.functions.numbers import half_up, let, round_to
 from folioframe.plans.spatial import (
     PAGE, Box, best_partner, box, iou, near_join, share, share_either, share_of_smaller, shared_area,
     shared_width, touches, with_partner, without_partner,
@@ -302,8 +302,11 @@ def rebuild_page(stored: DataFrame, proposed: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- coverage
 def _union_area(clips: Column) -> Column:
     """Area of a union of rectangles given as structs (x0, y0, x1, y1)."""
-    xs = F.array_sort(F.array_distinct(F.flatten(F.transform(clips, lambda c: F.array(c["x0"], c["x1"])))))
+    edges = F.array_sort(F.array_distinct(F.flatten(F.transform(clips, lambda c: F.array(c["x0"], c["x1"])))))
+    return let(edges, lambda xs: _strips(clips, xs))
 
+
+def _strips(clips: Column, xs: Column) -> Column:
     def strip(right: Column, i: Column) -> Column:
         left = F.get(xs, i - 1)
         spans = F.array_sort(F.transform(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions.numbers import half_up
+from folioframe.functions.numbers import half_up, let
 from folioframe.operators.readings import LETTER_OR_DIGIT, comparable_reading, overlapping_words, typical_height, valid_boxes
 from folioframe.plans.folds import fold_assign, fold_groups, fold_merge, sorted_rows
 from folioframe.plans.greedy import greedy_keep, greedy_owner
@@ -188,8 +188,10 @@ def multiline_areas(line: DataFrame, token: DataFrame, by: Sequence[str] = PAGE)
                            lambda s: s["ids"])
 
     def visit(acc, base):
-        ids = grow(base, acc["used"])
-        members = F.transform(ids, lambda i: F.get(F.col("rows"), i))
+        return let(grow(base, acc["used"]), lambda ids: let(
+            F.transform(ids, lambda i: F.get(F.col("rows"), i)), lambda members: judge(acc, base, ids, members)))
+
+    def judge(acc, base, ids, members):
         left = F.array_min(F.transform(members, lambda m: m["x1"]))
         right = F.array_max(F.transform(members, lambda m: m["x2"]))
         prompt = F.get(F.filter(F.coalesce(base["above"], F.array().cast("array<struct<id:bigint,x:double>>")),
@@ -425,7 +427,10 @@ def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] =
 
     def step(acc, c):
         ratio = lambda r: share_either(box_of(r), box_of(c))
-        at = F.array_position(F.transform(acc["regions"], lambda r: ratio(r) > 0.5), True).cast("int")
+        found = F.array_position(F.transform(acc["regions"], lambda r: ratio(r) > 0.5), True).cast("int")
+        return let(found, lambda at: place(acc, c, at))
+
+    def place(acc, c, at):
         old = F.get(acc["regions"], at - 1)
         left, top = F.least(old["x"], c["x"]), F.least(old["y"], c["y"])
         w = F.greatest(old["x"] + old["w"], c["x"] + c["w"]) - left

@@ -146,10 +146,8 @@ def _piece_conflicts(pieces: DataFrame, primary: DataFrame, by: Sequence[str]) -
 
 def _cut_text(raw: Column, keys: Column) -> Column:
     """Cut the raw spelling where its non-blank characters complete each key in turn."""
-    sizes = F.transform(keys, lambda k: F.length(k))
-
     def part(key: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda acc, n: acc + n)
+        before = F.length(F.array_join(F.slice(keys, 1, i), ""))
         pattern = F.concat(F.lit(r"^\s*(?:\S\s*){"), before.cast("string"), F.lit(r"}((?:\S\s*){"),
                            F.length(key).cast("string"), F.lit("})"))
         return F.trim(F.call_function("regexp_extract", raw, pattern, F.lit(1)))
@@ -175,7 +173,8 @@ def split_coarse_tokens(a: DataFrame, b: DataFrame, regional: DataFrame | None =
         F.first("a_text_key").alias("raw_key"), F.first(A.area).alias("raw_area"),
         F.count(F.lit(1)).alias("n"), F.collect_list(word).alias("words"))
     groups = groups.where(F.col("n") <= 60).withColumn("ordered", reading_order_in_lines(F.col("words")))
-    groups = groups.where(F.array_join(F.transform("ordered", lambda e: e["key"]), "") == F.col("raw_key"))
+    groups = groups.withColumn("joined", F.array_join(F.transform("ordered", lambda e: e["key"]), ""))
+    groups = groups.where(F.col("joined") == F.col("raw_key")).drop("joined")
     pieces = groups.select(*by, F.col("token_id").alias("raw_id"), F.explode("ordered").alias("p")).select(
         *by, "raw_id", F.col("p.ord").alias("token_id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"),
         F.col("p.w").alias("w"), F.col("p.h").alias("h"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.functions.numbers import let
 from folioframe.plans.spatial import Box, near_join
 from folioframe.session import cut_lineage
 
@@ -45,16 +46,18 @@ def _fold(df: DataFrame, by: Sequence[str], row_id: str, order: Sequence[Column]
             F.concat(acc, F.array(c))
         ),
     )
-    pages = pages.withColumn("_kept", kept).withColumn("_ids", F.transform("_kept", lambda k: k[row_id]))
 
-    def owner(c: Column) -> Column:
-        own = F.array_position(F.col("_ids"), c[row_id])
-        first = F.array_position(F.transform("_kept", lambda k: F.coalesce(conflict(k, c), F.lit(False))), True)
-        rank = F.when(own > 0, own).otherwise(first).cast("int")
-        return F.struct(c.alias("row"), F.get(F.col("_ids"), rank - 1).alias("owner_id"),
-                        (rank - 1).cast("bigint").alias("owner_rank"))
+    def owners(chosen: Column, ids: Column) -> Column:
+        def owner(c: Column) -> Column:
+            own = F.array_position(ids, c[row_id])
+            first = F.array_position(F.transform(chosen, lambda k: F.coalesce(conflict(k, c), F.lit(False))), True)
+            return let(F.when(own > 0, own).otherwise(first).cast("int"), lambda rank: F.struct(
+                c.alias("row"), F.get(ids, rank - 1).alias("owner_id"), (rank - 1).cast("bigint").alias("owner_rank")))
 
-    flat = pages.select(*by, F.explode(F.transform("_rows", owner)).alias("_e"))
+        return F.transform("_rows", owner)
+
+    claimed = let(kept, lambda k: let(F.transform(k, lambda r: r[row_id]), lambda ids: owners(k, ids)))
+    flat = pages.select(*by, F.explode(claimed).alias("_e"))
     return flat.select(*by, *[F.col("_e.row")[v].alias(v) for v in values],
                        F.col("_e.owner_id").alias("owner_id"), F.col("_e.owner_rank").alias("owner_rank"))
 

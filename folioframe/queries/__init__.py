@@ -1,8 +1,8 @@
 """One registered query per operator, with the SQL that states the same answer."""
 
-from folioframe.queries import geometry, layout, readings
+from folioframe.queries import audit, geometry, layout, readings
 
-ALL = [readings, geometry, layout]
+ALL = [readings, geometry, layout, audit]
 
 
 def queries():

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout as op
-from folioframe.queries.common import BY, Catalogue, sql_inter, sql_share
+from folioframe.queries.common import BY, MISSED_WORDS, PROMPT_WORDS, Catalogue, sql_inter, sql_share
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -38,29 +38,29 @@ def a5(fx):
 
 @add("a6_merge_colinear")
 def a6(fx):
-    return op.merge_colinear(fx.fx_line, fx.fx_token.where("token_id % 3 = 0"), BY)
+    return op.merge_colinear(fx.fx_line, fx.fx_token.where(PROMPT_WORDS), BY)
 
 
 @add("a7_multiline_areas")
 def a7(fx):
-    return op.multiline_areas(fx.fx_line, fx.fx_token.where("token_id % 5 = 0"), BY).withColumn("lines", F.size("line_ids")).drop("line_ids")
+    return op.multiline_areas(fx.fx_line, fx.fx_token.where(PROMPT_WORDS), BY).withColumn("lines", F.size("line_ids")).drop("line_ids")
 
 
 @add("a8_table_structure", """WITH ln AS (SELECT *, x2 - x1 AS len, is_vertical OR abs(x2 - x1) < 4 AS vertical, floor(x1 / 15 + 0.5) * 15 AS s1, floor(x2 / 15 + 0.5) * 15 AS s2 FROM {fx_line}),
-tok AS (SELECT *, l_partkey % 4 = 0 AS is_prompt FROM {fx_token} WHERE token_id % 2 = 0),
+tok AS (SELECT *, l_partkey % 4 = 0 AS is_prompt FROM {fx_token}),
 st AS (SELECT *, y - lag(y) OVER w AS dy, row_number() OVER w AS rk FROM ln WHERE NOT vertical WINDOW w AS (PARTITION BY page_id, s1, s2 ORDER BY y, line_id)),
 gr AS (SELECT page_id, s1, s2, count(*) AS n, min(y) AS y, min(x1) AS x1, max(x2) AS x2, bool_or(coalesce(dy < 18 OR dy > 120, false)) AS uneven, max(CASE WHEN rk = 2 THEN dy END) AS fdy FROM st GROUP BY page_id, s1, s2),
 grid AS (SELECT * FROM gr g WHERE n >= 3 AND NOT uneven AND fdy >= 24 AND NOT EXISTS (SELECT 1 FROM tok t WHERE t.page_id = g.page_id AND g.y - (t.y + t.h) >= -2 AND g.y - (t.y + t.h) <= 35 AND t.x >= g.x1 - 40 AND t.x <= g.x2)),
 pro AS (SELECT DISTINCT l.page_id, l.line_id FROM ln l JOIN tok t ON t.page_id = l.page_id AND t.is_prompt WHERE (abs(t.y + t.h * 0.8 - l.y) < 14 AND t.x + t.w <= l.x1 + 25 AND l.x1 - (t.x + t.w) < 80)
   OR (l.y - (t.y + t.h) >= -2 AND l.y - (t.y + t.h) < 24 AND t.x >= l.x1 - 30 AND t.x < l.x2)),
-ins AS (SELECT DISTINCT l.page_id, l.line_id FROM ln l JOIN {fx_cell} c ON c.page_id = l.page_id AND c.cell_id % 3 <> 0 WHERE c.w >= 30 AND c.h >= 16 AND l.y >= c.y - 3 AND l.y <= c.y + c.h + 3 AND l.x1 >= c.x - 8 AND l.x2 <= c.x + c.w + 8)
+ins AS (SELECT DISTINCT l.page_id, l.line_id FROM ln l JOIN {fx_cell} c ON c.page_id = l.page_id WHERE c.w >= 30 AND c.h >= 16 AND l.y >= c.y - 3 AND l.y <= c.y + c.h + 3 AND l.x1 >= c.x - 8 AND l.x2 <= c.x + c.w + 8)
 SELECT l.page_id, l.line_id, CASE WHEN vertical THEN 'VERTICAL' WHEN len >= p.page_w - 80 AND (l.y <= 65 OR l.y >= 780) THEN 'PAGE_RULE' WHEN pro.line_id IS NOT NULL THEN NULL WHEN grid.s1 IS NOT NULL THEN 'TABLE_GRID'
   WHEN ins.line_id IS NOT NULL THEN 'TABLE_BOX' WHEN len < 35 THEN 'MICRO_LINE' END AS reason
 FROM ln l JOIN {fx_page} p ON p.page_id = l.page_id LEFT JOIN grid ON grid.page_id = l.page_id AND grid.s1 = l.s1 AND grid.s2 = l.s2
 LEFT JOIN pro ON pro.page_id = l.page_id AND pro.line_id = l.line_id LEFT JOIN ins ON ins.page_id = l.page_id AND ins.line_id = l.line_id""")
 def a8(fx):
-    token = fx.fx_token.where("token_id % 2 = 0").withColumn("is_prompt", F.col("l_partkey") % 4 == 0)
-    rects = fx.fx_cell.where("cell_id % 3 <> 0").withColumn("is_checkbox", F.lit(False))
+    token = fx.fx_token.withColumn("is_prompt", F.col("l_partkey") % 4 == 0)
+    rects = fx.fx_cell.withColumn("is_checkbox", F.lit(False))
     return op.table_structure(fx.fx_line, rects, token, fx.fx_page, BY).select("page_id", "line_id", "reason")
 
 
@@ -71,7 +71,7 @@ def k1(fx):
 
 @add("k2_retry_plan")
 def k2(fx):
-    return op.retry_plan(fx.fx_token.where("token_id % 9 <> 0"), fx.fx_token_b, fx.fx_page, BY).select(
+    return op.retry_plan(fx.fx_token.where(f"NOT {MISSED_WORDS}"), fx.fx_token_b, fx.fx_page, BY).select(
         "page_id", "first_id", "reason", "priority", "selected", "region_no")
 
 
@@ -101,5 +101,5 @@ def u5(fx):
 @add("u6_box_set_diff")
 def u6(fx):
     boxes = lambda df, key: df.select("page_id", F.col(key).alias("box_id"), "x", "y", "w", "h")
-    moved = fx.fx_token.where("token_id % 6 <> 0").withColumn("x", F.col("x") + F.col("l_partkey") % 20)
-    return op.box_set_diff(boxes(fx.fx_token.where("token_id % 7 <> 0"), "token_id"), boxes(moved, "token_id"), BY)
+    moved = fx.fx_token.where("text NOT LIKE '%bolt'").withColumn("x", F.col("x") + F.col("l_partkey") % 20)
+    return op.box_set_diff(boxes(fx.fx_token.where("text NOT LIKE '%ring'"), "token_id"), boxes(moved, "token_id"), BY)

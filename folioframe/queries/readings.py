@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import readings as op
-from folioframe.queries.common import BY, Catalogue, r4, sql_inter, sql_r4, sql_share, sql_vertical
+from folioframe.queries.common import BY, MISSED_WORDS, Catalogue, r4, sql_inter, sql_r4, sql_share, sql_vertical
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -132,8 +132,8 @@ def r2(fx):
 
 
 def _gaps(fx):
-    """A without every third word, and the whole page as the region to look in."""
-    return fx.fx_token.where("token_id % 3 <> 0"), fx.fx_page.select(
+    """A without the words it missed, and the whole page as the region to look in."""
+    return fx.fx_token.where(f"NOT {MISSED_WORDS}"), fx.fx_page.select(
         "page_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("page_w").alias("w"), F.col("page_h").alias("h"))
 
 
