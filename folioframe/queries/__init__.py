@@ -1,8 +1,8 @@
 """One registered query per operator, with the SQL that states the same answer."""
 
-from folioframe.queries import audit, geometry, layout, readings
+from folioframe.queries import audit, geometry, layout, readings, semantics, templates
 
-ALL = [readings, geometry, layout, audit]
+ALL = [readings, geometry, layout, audit, semantics, templates]
 
 
 def queries():
