@@ -45,6 +45,24 @@ SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS page_id, o_orderkey % 10 AS cel
        CAST(floor((o_orderkey % 10) / 2) * 40 AS DOUBLE) AS y,
        CAST(290 AS DOUBLE) AS w, CAST(40 AS DOUBLE) AS h
 FROM {orders} WHERE o_custkey % 9 <> 0""",
+    "fx_grid": """
+SELECT page_id, token_id AS cell_id, 'cell' AS kind, CAST((token_id % 8) * 70 AS DOUBLE) AS x,
+       CAST(floor((token_id - 1) / 8) * 24 AS DOUBLE) AS y, CAST(70 AS DOUBLE) AS w, CAST(24 AS DOUBLE) AS h
+FROM {fx_token} WHERE (l_partkey + token_id) % 9 <> 0""",
+    "fx_word": """
+SELECT *, text LIKE '%gear' OR text LIKE '%bolt' OR text LIKE '%ring' AS is_label, text LIKE '%gear' AS is_prompt,
+       text LIKE '%gizmo' AS is_choice, text LIKE '%bolt' AS is_marker, text LIKE 'hot%' AS is_instruction
+FROM {fx_token}""",
+    "fx_header": """
+SELECT DISTINCT p_name AS header_key, split_part(p_name, ' ', 1) AS label, 'text' AS type, p_name LIKE 'blue%' AS is_group
+FROM {part} WHERE p_name LIKE 'red%' OR p_name LIKE 'blue%' OR p_name LIKE 'hot%'""",
+    "fx_rect": """
+SELECT page_id, cell_id AS rect_id, x, y, CASE WHEN cell_id % 5 = 0 THEN CAST(20 AS DOUBLE) ELSE w END AS w,
+       CASE WHEN cell_id % 5 = 0 THEN CAST(20 AS DOUBLE) WHEN cell_id % 3 = 0 THEN CAST(70 AS DOUBLE) WHEN cell_id % 3 = 1 THEN CAST(12 AS DOUBLE) ELSE h END AS h,
+       FALSE AS is_checkbox, FALSE AS is_graphic FROM {fx_cell}""",
+    "fx_rule": """
+SELECT page_id, (token_id % 8) * 100 + line_id AS line_id, x AS x1, y + h AS y, x + w + 20 AS x2, token_id % 17 = 0 AS is_vertical
+FROM {fx_token}""",
     "fx_field": """
 SELECT page_id, token_id AS field_id, x + 2 AS x, y + 1 AS y, w + 30 AS w, h + 4 AS h, text AS label,
        floor(conf + 0.5) / 100 AS confidence,
