@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.session import cut_lineage
+
 VIEWS = {
     "fx_token": """
 SELECT page_id, seq AS token_id, CAST(floor((seq - 1) / 8) AS BIGINT) AS line_id,
@@ -118,6 +120,10 @@ class Fixtures:
         text = VIEWS[name]
         return self.spark.sql(text, **{n: self[n] for n in dict.fromkeys(_NAME.findall(text))})
 
+    def stored(self, name: str) -> DataFrame:
+        """A view written once, as page tables are on a cluster: for operators that read it many times."""
+        return cut_lineage(self[name])
+
     def __getattr__(self, name: str) -> DataFrame:
         return self[name if not name.startswith("fx") else name]
 

@@ -157,14 +157,16 @@ def _stacked(cell: DataFrame, by: Sequence[str]) -> DataFrame:
                        & ((F.least(a.right, b.right) - F.greatest(a.x, b.x)) >= F.least(a.w, b.w) * 0.7))
 
 
-def column_headers(cell: DataFrame, token: DataFrame, second: DataFrame, dictionary: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
+def column_headers(cell: DataFrame, token: DataFrame, second: DataFrame, dictionary: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE,
+                   component: DataFrame | None = None) -> DataFrame:
     """Header cells by dictionary: a body below (or a header beside that has one); the second reader's
     header only beside another distinct header of its row and table; disagreement is flagged.
 
     ``dictionary(header_key, label, type, is_group)``.
     """
     keys = [*by, "cell_id"]
-    sized = _tolerant(table_components(cell, heights, by), heights, by)
+    member = table_components(cell, heights, by) if component is None else component
+    sized = _tolerant(cell.join(member.select(*keys, "component"), keys), heights, by)
     named = dictionary.select("header_key", F.col("label").alias("_label"), "type", "is_group")
     low = sized.where(F.col("h") <= F.col("th") * 6)
 
@@ -194,36 +196,44 @@ def column_headers(cell: DataFrame, token: DataFrame, second: DataFrame, diction
         F.coalesce((F.col("s_label") != F.col("p_label")), F.lit(False)).alias("conflict"))
 
 
-def header_ancestors(cell: DataFrame, header: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
+def header_ancestors(cell: DataFrame, header: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE, component: DataFrame | None = None) -> DataFrame:
     """(cell, header) pairs: headers over the column of a cell, reached through cells not below it.
 
-    Only pairs that share a column are followed. From each such cell the walk spreads over touching cells that
-    lie no lower than it, one step a round, until its headers are met or nothing new is found.
+    Only pairs of one table that share a column are followed. From each such cell the walk spreads over touching
+    cells that lie no lower than it, one step a round, and stops as soon as its nearest headers are met.
     """
     a, b = box(A), box(B)
     keys = [*by, "cell_id"]
     sized = _tolerant(cell, heights, by)
-    slim = sized.select(*by, "cell_id", "x", "y", "w", "h", "tol")
-    heads = header.where(~F.col("is_group")).select(*by, F.col("cell_id").alias("head_id"), "x", "y", "w", "h", "label", "type", "source", "conflict")
-    column = near_join(slim, heads, by, reach=Box(F.col("x"), F.lit(0.0), F.col("w"), F.col("y") + F.col("h")), tile=512.0).where(
+    member = table_components(cell, heights, by) if component is None else component
+    slim = sized.join(member.select(*keys, "component"), keys).select(*by, "cell_id", "component", "x", "y", "w", "h", "tol")
+    heads = header.where(~F.col("is_group")).select(*by, F.col("cell_id").alias("head_id"), "component", "x", "y", "w", "h", "label", "type", "source", "conflict")
+    column = near_join(slim, heads, [*by, "component"], reach=Box(F.col("x"), F.lit(0.0), F.col("w"), F.col("y") + F.col("h")), tile=512.0).where(
         (F.col("a_cell_id") != F.col("b_head_id")) & (b.bottom <= a.y + F.col("a_tol"))
         & ((F.least(a.right, b.right) - F.greatest(a.x, b.x)) >= F.least(a.w, b.w) * 0.7))
-    column = cut_lineage(column.select(*by, F.col("a_cell_id").alias("cell_id"), F.col("b_head_id").alias("head_id"), (b.y + b.h).alias("head_bottom"), F.col("b_w").alias("head_w"),
+    pending = cut_lineage(column.select(*by, "component", F.col("a_cell_id").alias("cell_id"), F.col("b_head_id").alias("head_id"), (b.y + b.h).alias("head_bottom"), F.col("b_w").alias("head_w"),
                                      F.col("b_label").alias("label"), F.col("b_type").alias("type"), F.col("b_source").alias("source"), F.col("b_conflict").alias("conflict"), F.col("a_tol").alias("tol")))
-    links = cut_lineage(both_ways(cell_adjacency(cell, heights, by), by, "cell_a", "cell_b").join(cell.select(*by, F.col("cell_id").alias("dst"), F.col("y").alias("dst_y")), [*by, "dst"]))
-    start = column.select(*keys).distinct().join(slim.select(*keys, (F.col("y") + F.col("tol")).alias("limit")), keys)
-    seen = cut_lineage(start.select(*keys, "limit", F.col("cell_id").alias("at"), F.lit(0).alias("steps")))
-    front, step = seen, 0
+    edges = both_ways(cell_adjacency(cell, heights, by), by, "cell_a", "cell_b")
+    links = cut_lineage(edges.join(cell.select(*by, F.col("cell_id").alias("dst"), F.col("y").alias("dst_y")), [*by, "dst"]))
+    start = pending.select(*keys).distinct().join(slim.select(*keys, (F.col("y") + F.col("tol")).alias("limit")), keys)
+    front = cut_lineage(start.select(*keys, "limit", F.col("cell_id").alias("at")))
+    seen, reached, step = front.select(*keys, "at"), None, 0
     while True:
         step += 1
         nxt = front.join(links.withColumnRenamed("src", "at"), [*by, "at"]).where(F.col("dst_y") <= F.col("limit")).select(*keys, "limit", F.col("dst").alias("at")).distinct()
-        front = cut_lineage(nxt.join(seen.select(*keys, "at"), [*keys, "at"], "left_anti").withColumn("steps", F.lit(step)))
+        front = cut_lineage(nxt.join(seen, [*keys, "at"], "left_anti"))
+        hits = cut_lineage(pending.join(front.select(*keys, F.col("at").alias("head_id")), [*keys, "head_id"]).withColumn("steps", F.lit(step)))
+        reached = hits if reached is None else reached.unionByName(hits)
+        # met headers leave, and so do those more than a level above the lowest one met
+        level = reached.groupBy(*keys).agg(F.max("head_bottom").alias("_near"))
+        left = pending.join(hits.select(*keys, "head_id"), [*keys, "head_id"], "left_anti").join(level, keys, "left")
+        pending = cut_lineage(left.where(F.col("_near").isNull() | (F.col("_near") - F.col("head_bottom") <= F.col("tol"))).drop("_near"))
+        seen = seen.unionByName(front.select(*keys, "at"))
+        front = front.join(pending.select(*keys).distinct(), keys, "left_semi")
         if front.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(front))
-    reached = column.join(seen.select(*keys, F.col("at").alias("head_id"), "steps"), [*keys, "head_id"])
     nearest = reached.groupBy(*keys).agg(F.max("head_bottom").alias("_near"))
-    return reached.join(nearest, keys).where(F.col("_near") - F.col("head_bottom") <= F.col("tol")).drop("_near", "tol")
+    return reached.join(nearest, keys).where(F.col("_near") - F.col("head_bottom") <= F.col("tol")).drop("_near", "tol", "component")
 
 
 def signature_lines(line: DataFrame, token: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE, anchor: str = r"(?i)^firma(?:\b|\s)") -> DataFrame:
@@ -249,15 +259,16 @@ def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field
     """
     keys = [*by, "cell_id"]
     a, b = box(A), box(B)
-    head = column_headers(cell, token, second, dictionary, heights, by)
-    above = header_ancestors(cell, head, heights, by)
+    member = cut_lineage(table_components(cell, heights, by).select(*keys, "component"))
+    head = cut_lineage(column_headers(cell, token, second, dictionary, heights, by, member))
+    above = cut_lineage(header_ancestors(cell, head, heights, by, member))
     sized = _tolerant(cell, heights, by).join(page.select(*by, "page_w", "page_h"), list(by))
     texts = cell_texts(cell, token, by, "own_text")
     known = _flag(prompt_key.select(F.col("key").alias("_key")).distinct(), "_known")
     said = texts.withColumn("_key", label_key(F.col("own_text"))).join(known, "_key", "left").select(
         *keys, "own_text", (F.coalesce("_known", F.lit(False)) | F.col("own_text").rlike(r"[:?]\s*$")).alias("asks"),
         tidy(F.col("own_text")).rlike(r"^\d{1,2}[.:]\d{2}\s*[-–]\s*\d{1,2}[.:]\d{2}$|(?i)^(?:mattina|pomeriggio)$").alias("axis"))
-    base = sized.join(said, keys, "left").withColumns({"asks": F.coalesce("asks", F.lit(False)), "axis": F.coalesce("axis", F.lit(False))})
+    base = cut_lineage(sized.join(said, keys, "left").withColumns({"asks": F.coalesce("asks", F.lit(False)), "axis": F.coalesce("axis", F.lit(False))}))
     slim = base.select(*by, "cell_id", "x", "y", "w", "h", "tol", "own_text", "asks", "axis")
     inner = near_join(slim, slim, by, tile=512.0).where((F.col("a_cell_id") != F.col("b_cell_id")) & (b.area < a.area * 0.8) & (share(b, a) > 0.95)).select(
         *by, F.col("a_cell_id").alias("cell_id")).distinct()
@@ -270,7 +281,7 @@ def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field
     axis = best_partner(side.where("b_axis").withColumnRenamed("a_cell_id", "cell_id"), keys, [-F.col("b_x"), F.col("b_cell_id")], {"axis_text": tidy(F.col("b_own_text"))})
     tops = above.groupBy(*keys).agg(F.countDistinct("label").alias("_heads"), F.min(F.struct("steps", "head_id", "label", "type", "source", "conflict", "head_w", "head_bottom")).alias("_h"))
     # which body row of its table a cell stands in: rows counted once per distinct (rounded) top below the header
-    row_tops = base.join(table_components(cell, heights, by).select(*keys, "component"), keys)
+    row_tops = base.join(member, keys)
     starts = row_tops.select(*by, "component", half_up(F.col("y") / F.col("tol")).alias("_row"), "y").groupBy(*by, "component", "_row").agg(F.min("y").alias("_top"))
     placed = row_tops.select(*keys, "component", "y", "tol").join(tops.select(*keys, F.col("_h.head_bottom").alias("hb")), keys)
     numbered = placed.join(starts, [*by, "component"]).where((F.col("_top") >= F.col("hb") - F.col("tol")) & (F.col("_top") <= F.col("y") + F.col("tol"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("row_no"))
@@ -282,9 +293,9 @@ def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field
     external = best_partner(ext.withColumnRenamed("a_cell_id", "cell_id"), keys, [-b.y, F.col("b_token_id")], {"ext_text": tidy(F.col("b_text"))})
     ordered = near_join(token.where(F.col("text").rlike(instruction)).select(*by, "x", "y", "w", "h"), cell.select(*by, "cell_id", "x", "y", "w", "h"), by).where(
         (share(a, b) > 0.55) & (a.y < b.y + b.h * 0.55)).select(*by, F.col("b_cell_id").alias("cell_id")).distinct()
-    j = (base.join(head.select(*keys, F.col("label").alias("head_label")), keys, "left").join(tops, keys, "left").join(_flag(inner, "_inner"), keys, "left")
-         .join(_flag(caption, "_caption"), keys, "left").join(lefts.drop("_lx"), keys, "left").join(rivals, keys, "left").join(axis, keys, "left")
-         .join(numbered, keys, "left").join(external, keys, "left").join(_flag(ordered, "_ordered"), keys, "left"))
+    j = cut_lineage(base.join(head.select(*keys, F.col("label").alias("head_label")), keys, "left").join(tops, keys, "left").join(_flag(inner, "_inner"), keys, "left")
+                    .join(_flag(caption, "_caption"), keys, "left").join(lefts.drop("_lx"), keys, "left"))
+    j = (j.join(rivals, keys, "left").join(axis, keys, "left").join(numbered, keys, "left").join(external, keys, "left").join(_flag(ordered, "_ordered"), keys, "left"))
     if checkbox is not None:
         ticks = near_join(checkbox.select(*by, "x", "y", "w", "h"), cell.select(*by, "cell_id", "x", "y", "w", "h"), by).where(share(a, b) > 0.9).select(*by, F.col("b_cell_id").alias("cell_id")).distinct()
         j = j.join(_flag(ticks, "_ticks"), keys, "left")
@@ -307,6 +318,7 @@ def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field
     pad = F.col("pad")
     j = j.withColumns({"relation": relation, "_static": static, "_doubt": doubt, "label": label, "source": F.col("_h.source"), "ink": F.col("ink_ratio") if "ink_ratio" in cell.columns else F.lit(0.0)})
     j = j.withColumns({"rx": F.col("x") + pad, "ry": F.col("y") + pad, "rw": F.col("w") - pad * 2, "rh": F.col("h") - pad * 2})
+    j = cut_lineage(j)
     open_ = j.where(F.col("_static").isNull() & F.col("_doubt").isNull() & F.col("relation").isNotNull())
     ask = open_.select(*by, "cell_id", F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rw").alias("w"), F.col("rh").alias("h"))
     fields = field.select(*by, "field_id", "x", "y", "w", "h", "generic", is_protected().alias("protected"), F.lit("review").alias("status"))
@@ -329,6 +341,7 @@ def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field
               .when(F.col("own_text").isNull() & (F.coalesce("ink", F.lit(0.0)) > 0.012), F.struct(F.lit("ambiguous").alias("o"), F.lit("INK_WITHOUT_POSITIONED_TEXT").alias("r")))
               .otherwise(F.struct(F.lit("proposed").alias("o"), F.lit("ASSOCIATED_FIELD_PROPOSED").alias("r"))))
     decided = j.withColumn("_r", result).select(*keys, F.col("_r.o").alias("outcome"), F.col("_r.r").alias("reason"), "relation", "label", "source", F.col("rx").alias("x"), F.col("ry").alias("y"), F.col("rw").alias("w"), F.col("rh").alias("h"))
+    decided = cut_lineage(decided)
     # proposals of overlapping cells: an earlier one holds its place
     new = greedy_owner(decided.where("outcome = 'proposed'"), by, "cell_id", [F.col("cell_id")], lambda k, c: touches(box_of(k), box_of(c)), box(), tile=512.0)
     lost = F.col("owner_id") != F.col("cell_id")
@@ -372,7 +385,7 @@ def recover_uncovered(region: DataFrame, field: DataFrame, line: DataFrame, toke
         *by, F.concat(F.lit("line-"), F.col("line_id").cast("string")).alias("evidence_id"), F.lit("line").alias("kind"), F.lit(1).alias("_part"), F.col("line_id").alias("_ord"), "x",
         F.greatest(F.lit(0.0), F.col("y") - F.col("th") * 1.3).alias("y"), "w", (F.col("th") * 1.25).alias("h"), (F.coalesce("_par", F.lit(False)) & (F.col("w") > F.col("page_w") * 0.2)).alias("plausible"),
         F.lit("REPEATED_MEASURED_WRITING_LINES").alias("reason"), F.lit(0.0).alias("ink"), "th", "page_w", "page_h")
-    everything = cell_rows.unionByName(lines)
+    everything = cut_lineage(cell_rows.unionByName(lines))
     cover = union_coverage(everything.select(*by, "evidence_id", "x", "y", "w", "h"), field, by, region_id="evidence_id").select(*by, "evidence_id", "coverage")
     clash = near_join(everything.select(*by, "evidence_id", "x", "y", "w", "h"), field.select(*by, "x", "y", "w", "h"), by).where(touches(a, b)).select(*by, F.col("a_evidence_id").alias("evidence_id")).distinct()
     e = everything.join(cover, [*by, "evidence_id"]).join(_flag(clash, "_clash"), [*by, "evidence_id"], "left")
@@ -381,6 +394,7 @@ def recover_uncovered(region: DataFrame, field: DataFrame, line: DataFrame, toke
              .when(small, F.struct(F.lit("unresolved").alias("o"), F.lit("RESPONSE_AREA_TOO_SMALL").alias("r"))).when(F.col("_clash"), F.struct(F.lit("unresolved").alias("o"), F.lit("PARTIAL_FIELD_CONFLICT").alias("r")))
              .when(F.col("ink") > 0.012, F.struct(F.lit("unresolved").alias("o"), F.lit("UNPOSITIONED_OR_PRINTED_INK").alias("r"))).otherwise(F.struct(F.lit("recovered").alias("o"), F.col("reason").alias("r"))))
     e = e.withColumn("_s", state).withColumns({"outcome": F.col("_s.o"), "reason": F.col("_s.r"), "covered_before": F.col("coverage") >= 0.65}).drop("_s", "_clash")
+    e = cut_lineage(e)
     # a recovered area blocks later ones that overlap it
     new = greedy_owner(e.where("outcome = 'recovered'"), by, "evidence_id", [F.col("_part"), F.col("_ord")], lambda k, c: touches(box_of(k), box_of(c)), box())
     lost = F.col("owner_id") != F.col("evidence_id")
@@ -622,10 +636,11 @@ def field_candidates(line: DataFrame, rect: DataFrame, token: DataFrame, text_fi
 
     ``token``: ``is_prompt``; ``text_field``: field_id, box, label, confidence. One row per final proposal.
     """
+    # one written table per stage: every later stage reads several earlier ones
     joined = merge_colinear(line.where(~F.col("is_vertical")), token, by).withColumn("is_vertical", F.lit(False))
     judged = table_structure(joined.select(*by, "line_id", "x1", "x2", "y", "is_vertical"), rect, token, page, by)
-    usable = judged.where(F.col("reason").isNull()).drop("reason")
-    areas = multiline_areas(usable, token, by)
+    usable = cut_lineage(judged.where(F.col("reason").isNull()).drop("reason"))
+    areas = cut_lineage(multiline_areas(usable, token, by))
     used = areas.select(*by, F.explode("line_ids").alias("line_id"))
     single = usable.join(used, [*by, "line_id"], "left_anti")
     prompts = token.where("is_prompt").select(*by, "token_id", "x", "y", "w", "h", "text")
@@ -642,13 +657,14 @@ def field_candidates(line: DataFrame, rect: DataFrame, token: DataFrame, text_fi
     for k in kinds[1:]:
         pool = pool.unionByName(k)
     pool = pool.withColumns({"field_id": F.col("_n").cast("bigint") * 8 + F.col("_part"), "ord": F.col("_part").cast("bigint") * 1_000_000_000 + F.col("_n").cast("bigint")}).drop("_part", "_n")
-    snapped = snap_to_structure(pool, rect, usable, by)
+    snapped = cut_lineage(snap_to_structure(cut_lineage(pool), rect, usable, by))
     checked = validate_geometry(clamp_boxes(snapped, page, by), page, by).where(F.col("reason").isNull()).drop("reason")
     cells = rect.withColumnRenamed("rect_id", "cell_id")
     fitting = geometry_fit(checked, prompts, cells, page, by).where(~(F.col("suspect") & (F.col("fit_score") < 0.45))).drop("fit_score", "suspect", "fit_reason")
+    fitting = cut_lineage(fitting)
     fused = fuse_candidates(fitting.withColumn("semantic_key", F.lit(None).cast("string")), by)
     typed = fused.join(fitting.select(*by, "field_id", "field_type"), [*by, "field_id"])
-    new = diff_against_existing(typed.withColumn("generic", F.lit(False)), stored, by).where(F.col("class") == "new").drop("class", "generic", "merged")
+    new = cut_lineage(diff_against_existing(cut_lineage(typed).withColumn("generic", F.lit(False)), stored, by).where(F.col("class") == "new").drop("class", "generic", "merged"))
     return cap_candidates(new, by)
 
 

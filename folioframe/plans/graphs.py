@@ -16,15 +16,25 @@ def both_ways(edge: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
 
 
 def components(node: DataFrame, edge: DataFrame, by: Sequence[str], node_id: str, a: str, b: str) -> DataFrame:
-    """``component``: smallest node id reachable. Labels spread to neighbours and then jump to the label
-    of their label, so the rounds grow with the logarithm of the longest chain; each is checkpointed."""
-    links = cut_lineage(both_ways(edge, by, a, b))
-    state = cut_lineage(node.select(*by, F.col(node_id).alias("id"), F.col(node_id).alias("label")))
-    while True:
-        heard = links.join(state.select(*by, F.col("id").alias("dst"), "label"), [*by, "dst"]).groupBy(*by, F.col("src").alias("id")).agg(F.min("label").alias("_m"))
-        spread = state.join(heard, [*by, "id"], "left").select(*by, "id", F.col("label").alias("_old"), F.least("label", "_m").alias("label"))
-        jump = spread.select(*by, F.col("id").alias("label"), F.col("label").alias("_next"))
-        moved = cut_lineage(spread.join(jump, [*by, "label"]).select(*by, "id", F.col("_next").alias("label"), (F.col("_next") != F.col("_old")).alias("_moved")))
-        state = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return node.join(state.select(*by, F.col("id").alias(node_id), F.col("label").alias("component")), [*by, node_id])
+    """``component``: smallest node id reachable from each node.
+
+    Every round sends each label to the smallest label next to it, follows those pointers twice and contracts
+    the edges; what is left shrinks geometrically, so rounds grow with the logarithm of the longest chain.
+    """
+    live = cut_lineage(both_ways(edge, by, a, b).distinct())
+    maps = []
+    while not live.isEmpty():
+        low = live.groupBy(*by, "src").agg(F.min("dst").alias("_d")).select(*by, "src", F.least("src", "_d").alias("to"))
+        for _ in range(2):
+            up = low.select(*by, F.col("src").alias("to"), F.col("to").alias("_next"))
+            low = low.join(up, [*by, "to"]).select(*by, "src", F.col("_next").alias("to"))
+        low = cut_lineage(low)
+        maps.append(low)
+        there = low.select(*by, F.col("src").alias("dst"), F.col("to").alias("_to"))
+        live = cut_lineage(live.join(low, [*by, "src"]).join(there, [*by, "dst"]).where(F.col("to") != F.col("_to")).select(
+            *by, F.col("to").alias("src"), F.col("_to").alias("dst")).distinct())
+    state = node.select(*by, node_id, F.col(node_id).alias("component"))
+    for low in maps:
+        step = low.select(*by, F.col("src").alias("component"), F.col("to").alias("_to"))
+        state = state.join(step, [*by, "component"], "left").select(*by, node_id, F.coalesce("_to", "component").alias("component"))
+    return node.join(state, [*by, node_id])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioframe.operators import structure as op
 from folioframe.queries.common import BY, MISSED_WORDS, PROMPT_WORDS, Catalogue, r4, sql_inter, sql_r4, sql_share
 from folioframe.queries.geometry import SQL_HEIGHTS, upper_heights
+from folioframe.session import cut_lineage
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -75,11 +76,15 @@ comp AS (SELECT page_id, src AS cell_id, min(dst) AS component FROM reach GROUP
 
 @add("f1_table_components", f"WITH RECURSIVE {SQL_GRID} SELECT page_id, cell_id, component FROM comp")
 def f1(fx):
-    return op.table_components(fx.fx_grid, upper_heights(fx), BY).select("page_id", "cell_id", "component")
+    return op.table_components(fx.stored("fx_grid"), stored_heights(fx), BY).select("page_id", "cell_id", "component")
 
 
 def readers(fx):
-    return fx.fx_token.where(f"NOT {MISSED_WORDS}"), fx.fx_token_b
+    return fx.stored("fx_token").where(f"NOT {MISSED_WORDS}"), fx.stored("fx_token_b")
+
+
+def stored_heights(fx):
+    return cut_lineage(upper_heights(fx))
 
 
 SQL_HEAD = SQL_GRID + f""",
@@ -95,15 +100,15 @@ hd AS (SELECT * FROM hb a WHERE body OR EXISTS (SELECT 1 FROM hb b WHERE b.page_
 @add("f2_column_headers", f"WITH RECURSIVE {SQL_HEAD} SELECT page_id, cell_id, coalesce(pl, sl) AS label, coalesce(pg, sg) AS is_group, CASE WHEN second_only THEN 'secondary' ELSE 'primary' END AS source, coalesce(sl <> pl, false) AS conflict FROM hd")
 def f2(fx):
     a, b = readers(fx)
-    return op.column_headers(fx.fx_grid, a, b, fx.fx_header, upper_heights(fx), BY).select("page_id", "cell_id", "label", "is_group", "source", "conflict")
+    return op.column_headers(fx.stored("fx_grid"), a, b, fx.fx_header, stored_heights(fx), BY).select("page_id", "cell_id", "label", "is_group", "source", "conflict")
 
 
 @add("f3_header_ancestors")
 def f3(fx):
     a, b = readers(fx)
-    heights = upper_heights(fx)
-    head = op.column_headers(fx.fx_grid, a, b, fx.fx_header, heights, BY)
-    return op.header_ancestors(fx.fx_grid, head, heights, BY).select("page_id", "cell_id", "head_id", "label", "steps")
+    heights, grid = stored_heights(fx), fx.stored("fx_grid")
+    head = op.column_headers(grid, a, b, fx.fx_header, heights, BY)
+    return op.header_ancestors(grid, head, heights, BY).select("page_id", "cell_id", "head_id", "label", "steps")
 
 
 def prompt_keys(fx):
@@ -113,9 +118,9 @@ def prompt_keys(fx):
 @add("f4_associate_fields")
 def f4(fx):
     a, b = readers(fx)
-    field = fx.fx_field_prev.withColumn("generic", c("derivation") == "TABLE_CELL")
+    field = fx.stored("fx_field_prev").withColumn("generic", c("derivation") == "TABLE_CELL")
     token = a.withColumn("is_prompt", F.expr(PROMPT_WORDS))
-    return op.associate_fields(fx.fx_grid, token, b, field, fx.fx_page, fx.fx_header, prompt_keys(fx), upper_heights(fx), BY, instruction=r"(?i)^cold\b").select(
+    return op.associate_fields(fx.stored("fx_grid"), token, b, field, fx.fx_page, fx.fx_header, prompt_keys(fx), stored_heights(fx), BY, instruction=r"(?i)^cold\b").select(
         "page_id", "cell_id", "outcome", "reason", "relation", "label")
 
 
@@ -127,15 +132,11 @@ def f5(fx):
     return op.signature_lines(fx.fx_line, fx.fx_token, upper_heights(fx), BY, anchor=r"^red\b").select("page_id", "line_id", "label", "token_id", r4("y", "y"), r4("h", "h"))
 
 
-def captioned(fx):
-    return fx.fx_rect.where("rect_id % 5 <> 0").select("page_id", c("rect_id").alias("cell_id"), "x", "y", "w", "h", (c("page_id") % 9 == 0).alias("is_caption"), ((c("page_id") % 11) / 500).alias("ink_ratio"))
-
-
 @add("f6_recover_uncovered")
 def f6(fx):
-    cells = fx.fx_cell.select("page_id", "cell_id", "x", "y", "w", "h", (c("cell_id") == 3).alias("is_caption"), ((c("page_id") % 11) / 500).alias("ink_ratio"))
-    fields = fx.fx_field_prev.withColumn("status", F.when(c("calibration_status") == "REJECTED", "ignored").otherwise("review"))
-    return op.recover_uncovered(cells, fields.where(PROMPT_WORDS.replace("text", "label")), fx.fx_line, fx.fx_word.where("is_label"), fx.fx_page, upper_heights(fx), BY).select(
+    cells = fx.stored("fx_cell").select("page_id", "cell_id", "x", "y", "w", "h", (c("cell_id") == 3).alias("is_caption"), ((c("page_id") % 11) / 500).alias("ink_ratio"))
+    fields = fx.stored("fx_field_prev").withColumn("status", F.when(c("calibration_status") == "REJECTED", "ignored").otherwise("review"))
+    return op.recover_uncovered(cells, fields.where(PROMPT_WORDS.replace("text", "label")), fx.stored("fx_line"), fx.stored("fx_word").where("is_label"), fx.fx_page, stored_heights(fx), BY).select(
         "page_id", "evidence_id", "kind", "plausible", "outcome", "reason")
 
 
@@ -174,23 +175,23 @@ def f10(fx):
 
 @add("f11_field_candidates")
 def f11(fx):
-    rects = fx.fx_rect.withColumn("is_checkbox", c("rect_id") % 5 == 0)
-    text_field = fx.fx_field.where("derivation = 'TEXT_ANCHOR'")
-    stored = fx.fx_field_prev.where("calibration_status = 'CONFIRMED'")
-    return op.field_candidates(fx.fx_line, rects, fx.fx_word, text_field, stored, fx.fx_page, BY).select("page_id", "field_id", "field_type", "derivation", "label", "confidence")
+    rects = fx.stored("fx_rect").withColumn("is_checkbox", c("rect_id") % 5 == 0)
+    text_field = fx.stored("fx_field").where("derivation = 'TEXT_ANCHOR'")
+    stored = fx.stored("fx_field_prev").where("calibration_status = 'CONFIRMED'")
+    return op.field_candidates(fx.stored("fx_line"), rects, fx.stored("fx_word"), text_field, stored, fx.fx_page, BY).select("page_id", "field_id", "field_type", "derivation", "label", "confidence")
 
 
 @add("f14_infer_region_fields")
 def f14(fx):
     header = fx.fx_header.select(c("header_key").alias("key"))
-    return op.infer_region_fields(fx.fx_grid, fx.fx_word, fx.fx_page, upper_heights(fx), header, prompt_keys(fx), BY).select("page_id", "cell_id", "outcome", "reason", "label", "value")
+    return op.infer_region_fields(fx.stored("fx_grid"), fx.stored("fx_word"), fx.fx_page, stored_heights(fx), header, prompt_keys(fx), BY).select("page_id", "cell_id", "outcome", "reason", "label", "value")
 
 
 @add("f15_infer_line_fields")
 def f15(fx):
-    lines = op.writing_lines(fx.fx_line.withColumn("y", c("y") + 5), fx.fx_rect, fx.fx_token, BY)
-    dated = fx.fx_word.withColumn("text", F.when(c("text").like("small%"), "12/03/2020").otherwise(c("text")))
-    return op.infer_line_fields(lines, dated, upper_heights(fx), BY).select("page_id", "line_id", "label", "side", "value", r4("x", "x"), r4("w", "w"))
+    lines = cut_lineage(op.writing_lines(fx.fx_line.withColumn("y", c("y") + 5), fx.fx_rect, fx.fx_token, BY))
+    dated = fx.stored("fx_word").withColumn("text", F.when(c("text").like("small%"), "12/03/2020").otherwise(c("text")))
+    return op.infer_line_fields(lines, dated, stored_heights(fx), BY).select("page_id", "line_id", "label", "side", "value", r4("x", "x"), r4("w", "w"))
 
 
 ASKING = "CASE WHEN text LIKE '%gear' THEN concat(text, ':') WHEN text LIKE '%bolt' THEN concat(text, ': val ', text) ELSE text END"

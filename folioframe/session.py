@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +53,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint: survives the loss of executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Survives the loss of executors like a checkpoint, and unlike one it comes back with known sizes, so
+    that later joins are planned on facts.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
