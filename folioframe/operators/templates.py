@@ -347,8 +347,8 @@ def validate_template(candidate: DataFrame, registry: DataFrame) -> DataFrame:
 def register(batch: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows of a batch that may enter: new fingerprints only, the first of equal ones (by ``ord``)."""
     fresh = batch.join(registry.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    first = fresh.groupBy("fingerprint").agg(F.min(F.struct("ord", "template_id")).alias("_f")).select(F.col("_f.template_id").alias("template_id"))
-    return fresh.join(first, "template_id", "left_semi")
+    first = fresh.groupBy("fingerprint").agg(F.min(F.struct("ord", "template_id")).alias("_f")).select("fingerprint", "_f.ord", "_f.template_id")
+    return fresh.join(first, ["fingerprint", "ord", "template_id"], "left_semi")
 
 
 def registry_status(event: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """One registered query per operator, with the SQL that states the same answer."""
 
-from folioframe.queries import audit, geometry, layout, readings, semantics, structure, templates
+from folioframe.queries import audit, geometry, intake, layout, readings, semantics, structure, templates
 
-ALL = [readings, geometry, layout, audit, semantics, structure, templates]
+ALL = [readings, geometry, layout, audit, semantics, structure, templates, intake]
 
 
 def queries():
