@@ -259,11 +259,15 @@ def overflow_audit(value: DataFrame) -> DataFrame:
         return F.aggregate(lens, start, step, lambda a: F.greatest(F.lit(1), a["lines"] + (a["at"] > 0).cast("int") + a["empty"].cast("int")))
 
     usable = (F.col("w") > 0) & (F.col("h") > 0) & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    # what does not fit at the tightest step fits at none: most long texts need this one wrap only
+    tightest = F.get(steps, len(grid) - 1)
     first_fit = lambda lines: F.get(F.filter(
         steps, lambda s: F.try_element_at(lines, capacity(s)) * (s["font"] * s["lh"]) <= F.col("h") + 1), 0)
     wraps = lambda lens: let(F.array_distinct(F.transform(steps, capacity)), lambda caps: let(
         F.map_from_arrays(caps, F.transform(caps, lambda cap: wrapped(lens, cap))), first_fit))
-    laid = value.withColumn("_usable", usable).withColumn("_fit", F.when(usable, let(lengths, wraps)))
+    possible = lambda lens: wrapped(lens, capacity(tightest)) * (tightest["font"] * tightest["lh"]) <= F.col("h") + 1
+    search = lambda lens: F.when(possible(lens), wraps(lens))
+    laid = value.withColumn("_usable", usable).withColumn("_fit", F.when(usable, let(lengths, search)))
     over = F.col("_usable") & F.col("_fit").isNull()
     pick = lambda name, idle, last: F.when(~F.col("_usable"), idle).when(over, last).otherwise(F.col("_fit")[name])
     return laid.select(

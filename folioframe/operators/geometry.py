@@ -382,12 +382,18 @@ def snap_to_structure(field: DataFrame, rect: DataFrame, line: DataFrame, by: Se
     """Move box edges that lie within ``tol`` of a rectangle or line edge onto it.
 
     Edges change while rectangles, then lines, are visited in id order, so each field folds over the
-    structures within reach of it (edges can drift by ``tol`` per axis before the next test).
+    structures within reach of it (24 pt leave room for an edge that moves several times).
     """
     slim = field.select(*by, "field_id", "x", "y", "w", "h")
     A = box("a_")
     reach = box().grown(24.0, 24.0, 24.0, 24.0)
-    r = near_join(slim, rect.select(*by, "rect_id", "x", "y", "w", "h"), by, reach=reach).select(
+    # a right or bottom edge snaps to any rectangle edge of that height or position, however far away
+    rects = rect.select(*by, "rect_id", "x", "y", "w", "h")
+    b, zero = box(), F.lit(0.0)
+    at_right = near_join(slim, rects, by, reach=Box(b.right - 24, zero, F.lit(48.0), zero), b_extent=Box(b.right, zero, zero, zero))
+    at_bottom = near_join(slim, rects, by, reach=Box(zero, b.bottom - 24, zero, F.lit(48.0)), b_extent=Box(zero, b.bottom, zero, zero))
+    around = near_join(slim, rects, by, reach=reach)
+    r = around.unionByName(at_right).unionByName(at_bottom).select(
         *by, F.col("a_field_id").alias("field_id"), F.struct(
             F.lit(0).alias("step"), F.col("b_rect_id").cast("bigint").alias("ord"), F.col("b_x").alias("x0"),
             F.col("b_y").alias("y0"), (F.col("b_x") + F.col("b_w")).alias("x1"), (F.col("b_y") + F.col("b_h")).alias("y1")).alias("s"))
@@ -396,7 +402,7 @@ def snap_to_structure(field: DataFrame, rect: DataFrame, line: DataFrame, by: Se
         *by, F.col("a_field_id").alias("field_id"), F.struct(
             F.lit(1).alias("step"), F.col("b_line_id").cast("bigint").alias("ord"), F.col("b_x").alias("x0"),
             F.col("b_y").alias("y0"), (F.col("b_x") + F.col("b_w")).alias("x1"), F.col("b_y").alias("y1")).alias("s"))
-    near = r.unionByName(n).groupBy(*by, "field_id").agg(F.array_sort(F.collect_list("s")).alias("edges"))
+    near = r.unionByName(n).groupBy(*by, "field_id").agg(F.array_sort(F.collect_set("s")).alias("edges"))
     joined = field.join(near, [*by, "field_id"], "left")
 
     def close(p, q):

@@ -385,9 +385,8 @@ def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] =
     heights = typical_height(a.select(*by, "h").unionByName(b.select(*by, "h")), by)
     sized = page.select(*by, "page_w", "page_h").join(heights, list(by), "left").withColumn("th", F.coalesce("typical_h", F.lit(20.0))).drop("typical_h")
     a_ok = valid_boxes(a, page, by).where((F.col("source") == "ocr") & F.col("text").rlike(LETTER_OR_DIGIT))
-    read = comparable_reading(a_ok, b, by).select(*by, *a_ok.drop(*by).columns, F.col("b_text_key").alias("bkey"))
-    touched = overlapping_words(a_ok, b, by).select(*by, F.col("a_token_id").alias("token_id")).distinct().withColumn("touched", F.lit(True))
-    seen = read.join(touched, [*by, "token_id"], "left").join(sized, list(by))
+    read = comparable_reading(a_ok, b, by, touch=0.45).select(*by, *a_ok.drop(*by).columns, F.col("b_text_key").alias("bkey"), "touched")
+    seen = read.join(sized, list(by))
     same = F.coalesce(F.col("bkey") == F.col("text_key"), F.lit(False))
     over = (F.col("h") > F.col("th") * 2.4) | (F.col("w") > F.greatest(F.col("page_w") * 0.45, F.col("th") * F.greatest(F.lit(3), F.length("text")) * 1.1))
     mismatch = F.col("bkey").isNull() & F.coalesce("touched", F.lit(False))

@@ -49,16 +49,19 @@ def lines_to_text(ordered: Column, field: str = "text") -> Column:
     )
 
 
-def comparable_reading(a: DataFrame, b: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
+def comparable_reading(a: DataFrame, b: DataFrame, by: Sequence[str] = PAGE, touch: float | None = None) -> DataFrame:
     """The observation of reader B that may be compared with each word of reader A.
 
     Several B words inside one A word are united when their bounds fit; otherwise the best single
-    word of similar size, equal text first, then larger overlap. Left outer over ``a``.
+    word of similar size, equal text first, then larger overlap. Left outer over ``a``. With ``touch``,
+    ``touched`` says whether any B word covers, or is covered by, more than that share.
     """
     A, B = box("a_"), box("b_")
     pairs = near_join(a.select(*by, "token_id", "x", "y", "w", "h", "text_key"),
                       b.select(*by, "token_id", "line_id", "x", "y", "w", "h", "text", "text_key", "conf"), by)
-    pairs = pairs.where((vertical_share(A, B) > 0.6) & (share(B, A) > 0.55))
+    near_by = (vertical_share(A, B) > 0.6) & (share(B, A) > 0.55)
+    touching = F.lit(False) if touch is None else share_either(A, B) > touch
+    pairs = pairs.withColumns({"_near": near_by, "_touch": touching}).where(F.col("_near") | F.col("_touch"))
     similar = (
         (B.w >= A.w * 0.45) & (B.w <= A.w * 2.2) & (B.h >= A.h * 0.45) & (B.h <= A.h * 2.2)
     )
@@ -72,27 +75,29 @@ def comparable_reading(a: DataFrame, b: DataFrame, by: Sequence[str] = PAGE) ->
         F.col("b_line_id").alias("line"), B.x.alias("x"), B.y.alias("y"), F.col("b_token_id").alias("ord"),
         F.col("b_text").alias("text"), F.col("b_text_key").alias("text_key"),
     )
+    seen = lambda value: F.when(F.col("_near"), value)
     near = pairs.groupBy(*by, F.col("a_token_id").alias("token_id")).agg(
         F.first("a_w").alias("aw"), F.first("a_h").alias("ah"),
-        F.count(F.lit(1)).alias("n"), F.collect_list(word).alias("words"),
-        F.min("b_x").alias("gx"), F.min("b_y").alias("gy"),
-        F.max(B.right).alias("gr"), F.max(B.bottom).alias("gb"),
-        F.min(F.coalesce("b_conf", F.lit(0.0))).alias("gconf"),
-        F.min(F.when(similar, single)).alias("single"),
+        F.count_if("_near").alias("n"), F.collect_list(seen(word)).alias("words"),
+        F.min(seen(F.col("b_x"))).alias("gx"), F.min(seen(F.col("b_y"))).alias("gy"),
+        F.max(seen(B.right)).alias("gr"), F.max(seen(B.bottom)).alias("gb"),
+        F.min(seen(F.coalesce("b_conf", F.lit(0.0)))).alias("gconf"),
+        F.min(F.when(F.col("_near") & similar, single)).alias("single"), F.max("_touch").alias("touched"),
     )
     gw, gh = F.col("gr") - F.col("gx"), F.col("gb") - F.col("gy")
     united = (F.col("n") > 1) & (gw >= F.col("aw") * 0.5) & (gw <= F.col("aw") * 1.6) & (gh <= F.col("ah") * 1.6)
-    near = near.where(united | F.col("single").isNotNull()).withColumn(
+    united = F.coalesce(united, F.lit(False))
+    near = near.where(united | F.col("single").isNotNull() | F.col("touched")).withColumn(
         "ordered", F.when(united, reading_order_in_lines(F.col("words"))))
     pick = lambda group, one: F.when(united, group).otherwise(F.col("single")[one])
     reading = near.select(
         *by, "token_id",
-        F.when(united, F.transform("ordered", lambda e: e["ord"])).otherwise(F.array(F.col("single.id"))).alias("b_ids"),
+        F.when(united, F.transform("ordered", lambda e: e["ord"])).when(F.col("single").isNotNull(), F.array(F.col("single.id"))).alias("b_ids"),
         pick(lines_to_text(F.col("ordered")), "text").alias("b_text"),
         pick(F.array_join(F.transform("ordered", lambda e: e["text_key"]), ""), "text_key").alias("b_text_key"),
         pick(F.col("gconf"), "conf").alias("b_conf"),
         pick(F.col("gx"), "x").alias("b_x"), pick(F.col("gy"), "y").alias("b_y"),
-        pick(gw, "w").alias("b_w"), pick(gh, "h").alias("b_h"),
+        pick(gw, "w").alias("b_w"), pick(gh, "h").alias("b_h"), *([] if touch is None else ["touched"]),
     )
     return a.join(reading, [*by, "token_id"], "left")
 
@@ -106,15 +111,13 @@ def overlapping_words(a: DataFrame, b: DataFrame, by: Sequence[str] = PAGE, over
 
 def compared_words(a: DataFrame, b: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
     """Outcome per A word: agreement, disagreement, segmentation mismatch or unmatched."""
-    read = comparable_reading(a, b, by)
-    touched = overlapping_words(a, b, by).select(*by, F.col("a_token_id").alias("token_id")).distinct()
+    read = comparable_reading(a, b, by, touch=0.45)
     outcome = (
         F.when(F.col("b_text_key") == F.col("text_key"), "agreement")
         .when(F.col("b_text_key").isNotNull(), "disagreement")
         .when(F.col("touched"), "segmentation_mismatch").otherwise("unmatched")
     )
-    return read.join(touched.withColumn("touched", F.lit(True)), [*by, "token_id"], "left").withColumn(
-        "outcome", outcome).drop("touched")
+    return read.withColumn("outcome", outcome).drop("touched")
 
 
 def reading_agreement(a: DataFrame, b: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:

@@ -57,8 +57,9 @@ def associate_label(region: DataFrame, token: DataFrame, by: Sequence[str] = PAG
     ``region.kind``: checkbox, cell, underline (its ``y`` two above the stroke); ``token``: ``is_label``, ``is_prompt``.
     """
     a, b = box(A), box(B)
+    far = lambda cell, checkbox, rule: F.when(F.col("kind") == "cell", cell).when(F.col("kind") == "checkbox", checkbox).otherwise(rule)
     pairs = near_join(region.select(*by, "region_id", "kind", "x", "y", "w", "h"), token.select(*by, "token_id", "x", "y", "w", "h", "text", "is_label", "is_prompt"), by,
-                      reach=box().grown(140.0, 250.0, 100.0, 20.0))
+                      reach=box().grown(far(120.0, 80.0, 140.0), far(250.0, 20.0, 26.0), far(50.0, 100.0, 60.0), 20.0))
     ok, asks, kind, rise = F.col("b_is_label"), F.col("b_is_prompt"), F.col("a_kind"), a.y - b.bottom
     box_, cell, rule = kind == "checkbox", kind == "cell", kind == "underline"
     level, stroke = F.abs(b.y - a.y) < 14, a.y + 2
