@@ -99,7 +99,8 @@ g AS (SELECT *, greatest(0, least(100, confidence_score + density_score + struct
 @add("a16_text_quality", f"WITH {QUALITY.replace('{3,}', '{{3,}}').replace('{}_', '{{}}_')} SELECT * FROM g".replace("{{", "{").replace("}}", "}"))
 def a16(fx):
     d = fx.documents.withColumn("conf", (40 + c("doc_id") % 60).cast("double"))
-    return op.text_quality(d).select("doc_id", "confidence_score", "density_score", "structure_score", "noise", "quality")
+    q = op.text_quality(d)
+    return q.select("doc_id", *[c(k).cast("bigint").alias(k) for k in ("confidence_score", "density_score", "structure_score", "noise", "quality")])
 
 
 @add("a17_best_variant", """WITH r AS (SELECT doc_id, v AS variant, (doc_id * 7 + v * 13) % 50 AS quality FROM documents, (VALUES (0), (1), (2), (3)) t(v))
@@ -136,20 +137,20 @@ def a19(fx):
     return op.geometry_rollup(page_geometry(fx), ("doc_key",))
 
 
-@add("a22_baseline_delta", """WITH b AS (SELECT page_id, count(*) AS baseline_fields FROM {fx_cell} GROUP BY page_id), m AS (SELECT page_id, count(*) AS measured_fields FROM {fx_field} WHERE page_id % 6 <> 0 GROUP BY page_id)
+@add("a22_baseline_delta", """WITH b AS (SELECT page_id, count(*) AS baseline_fields FROM {fx_cell} GROUP BY page_id), m AS (SELECT page_id, count(*) AS measured_fields FROM {fx_field} WHERE confidence >= 0.9::DOUBLE GROUP BY page_id)
 SELECT b.page_id, baseline_fields, measured_fields, measured_fields - baseline_fields AS delta, measured_fields IS NULL AS missing FROM b LEFT JOIN m ON m.page_id = b.page_id""")
 def a22(fx):
     base = fx.fx_cell.groupBy("page_id").agg(F.count(F.lit(1)).alias("baseline_fields"))
-    return op.baseline_delta(fx.fx_field.where("page_id % 6 <> 0").groupBy("page_id").agg(F.count(F.lit(1)).alias("measured_fields")), base, BY)
+    return op.baseline_delta(fx.fx_field.where(c("confidence") >= 0.9).groupBy("page_id").agg(F.count(F.lit(1)).alias("measured_fields")), base, BY)
 
 
-@add("a23_run_invariants", f"""WITH af AS (SELECT page_id, field_id, x, y, w, CASE WHEN field_id % 13 = 1 THEN h + 1 ELSE h END AS h, label FROM {{fx_field_prev}} WHERE {PROTECTED} AND field_id % 17 <> 0 UNION ALL SELECT page_id, field_id + 1000, x, y, w, h, label FROM {{fx_field}}),
+@add("a23_run_invariants", f"""WITH af AS (SELECT page_id, field_id, x, y, w, CASE WHEN field_id % 13 = 1 THEN h + 1 ELSE h END AS h, label FROM {{fx_field_prev}} WHERE {PROTECTED} AND label NOT LIKE 'cold%' UNION ALL SELECT page_id, field_id + 1000, x, y, w, h, label FROM {{fx_field}}),
 j AS (SELECT coalesce(b.page_id, a.page_id) AS page_id, b.field_id IS NULL AS fresh, a.field_id IS NULL AS lost, coalesce({PROTECTED}, false) AS prot, a.x >= 0 AND a.y >= 0 AND a.x + a.w <= p.page_w + 2 AND a.y + a.h <= p.page_h + 2 AS inside, b.h = a.h AS same
  FROM {{fx_field_prev}} b FULL OUTER JOIN af a ON a.page_id = b.page_id AND a.field_id = b.field_id LEFT JOIN {{fx_page}} p ON p.page_id = a.page_id)
 SELECT page_id, bool_and(NOT prot OR NOT lost) AS retained, bool_and(NOT prot OR coalesce(same, false)) AS preserved, count(*) FILTER (WHERE fresh) AS added, count(*) FILTER (WHERE lost) AS removed, bool_and(coalesce(inside, true)) AS valid_bounds FROM j GROUP BY page_id""")
 def a23(fx):
     cols = ["page_id", "field_id", "x", "y", "w", "h", "label"]
-    kept = fx.fx_field_prev.where(is_protected()).where("field_id % 17 <> 0").withColumn("h", F.when(c("field_id") % 13 == 1, c("h") + 1).otherwise(c("h"))).select(*cols)
+    kept = fx.fx_field_prev.where(is_protected()).where("label NOT LIKE 'cold%'").withColumn("h", F.when(c("field_id") % 13 == 1, c("h") + 1).otherwise(c("h"))).select(*cols)
     after = kept.unionByName(fx.fx_field.withColumn("field_id", c("field_id") + 1000).select(*cols))
     return op.run_invariants(fx.fx_field_prev, after, fx.fx_page, BY)
 
@@ -237,7 +238,7 @@ def j18(fx):
 
 @add("k5_versions_of", """SELECT template_id, school_order, validity_year AS year, row_number() OVER (PARTITION BY school_order ORDER BY validity_year DESC, template_id) AS position FROM {fx_registry} WHERE contains(lower(school_order), '1') OR contains(lower(name), '1') OR contains(CAST(template_id AS VARCHAR), '1')""")
 def k5(fx):
-    return reg.versions_of(fx.fx_registry, "1").select("template_id", "school_order", c("year").cast("bigint").alias("year"), "position")
+    return reg.versions_of(fx.fx_registry, "1").select("template_id", "school_order", c("year").cast("bigint").alias("year"), c("position").cast("bigint").alias("position"))
 
 
 @add("u7_apply_review", """SELECT page_id, field_id, CASE WHEN calibration_status = 'PROPOSED' THEN CASE WHEN field_id % 5 = 0 THEN 'MODIFIED' ELSE 'CONFIRMED' END ELSE calibration_status END AS calibration_status,

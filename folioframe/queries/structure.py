@@ -52,11 +52,11 @@ def j7(fx):
     return op.row_group_prompt(boxes, fx.fx_word, BY).select("page_id", "region_id", "group_prompt")
 
 
-@add("j10_uncovered_labels", """SELECT t.page_id, t.token_id, 'NO_PHYSICAL_GEOMETRY' AS reason FROM {fx_word} t WHERE is_prompt AND NOT EXISTS (SELECT 1 FROM {fx_rect} r WHERE r.page_id = t.page_id AND r.rect_id % 5 = 0
+@add("j10_uncovered_labels", """SELECT t.page_id, t.token_id, 'NO_PHYSICAL_GEOMETRY' AS reason FROM {fx_word} t WHERE is_prompt AND NOT EXISTS (SELECT 1 FROM {fx_rect} r WHERE r.page_id = t.page_id AND r.w = 20
  AND ((abs(r.y - t.y) < 20 AND r.x + r.w >= t.x - 30 AND r.x <= t.x + t.w + 150) OR (r.y >= t.y + t.h - 5 AND r.y <= t.y + t.h + 40 AND abs(r.x - t.x) < 60)))""")
 def j10(fx):
     # the checkboxes of a page are its only physical regions here
-    return op.uncovered_labels(fx.fx_word, fx.fx_rect.where("rect_id % 5 = 0"), BY).select("page_id", "token_id", "reason")
+    return op.uncovered_labels(fx.fx_word, fx.fx_rect.where("w = 20"), BY).select("page_id", "token_id", "reason")
 
 
 @add("j11_uncovered_tokens", f"""SELECT t.page_id, t.token_id FROM {{fx_word}} t WHERE (is_marker OR is_prompt) AND NOT EXISTS (SELECT 1 FROM {{fx_field_prev}} f WHERE f.page_id = t.page_id AND ({sql_share('t', 'f')} >= 0.5

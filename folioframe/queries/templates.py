@@ -226,13 +226,13 @@ def t16(fx):
     return op.exact_dedupe(fx.documents, known, "doc_id", "text").select("doc_id", "first_id", "copies", "route")
 
 
-@add("t17_corpus_integrity", """WITH f AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(html) AS sha, length(html) AS size FROM pages WHERE page_id % 9 <> 0), m AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(CASE WHEN page_id % 7 = 0 THEN html || ' ' ELSE html END) AS sha, length(html) AS size FROM pages WHERE page_id % 8 <> 0)
+@add("t17_corpus_integrity", """WITH f AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(html) AS sha, length(html) AS size FROM pages WHERE url NOT LIKE '%#top'), m AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(CASE WHEN url LIKE 'http://%' THEN html || ' ' ELSE html END) AS sha, length(html) AS size FROM pages WHERE url NOT LIKE '%page=%')
 SELECT coalesce(m.path, f.path) AS path, CASE WHEN f.sha IS NULL THEN 'missing' WHEN m.sha IS NULL THEN 'extra' WHEN f.sha = m.sha AND f.size = m.size THEN 'ok' ELSE 'changed' END AS state FROM m FULL OUTER JOIN f ON f.path = m.path""")
 def t17(fx):
     rows = lambda df, content: df.select(c("page_id").cast("string").alias("path"), F.sha2(content, 256).alias("sha256"), F.length("html").alias("size"))
-    # the two sides lack different pages, and every seventh page was changed after it was listed
-    files = rows(fx.pages.where("page_id % 9 <> 0"), c("html"))
-    return op.corpus_integrity(files, rows(fx.pages.where("page_id % 8 <> 0"), F.when(c("page_id") % 7 == 0, F.concat("html", F.lit(" "))).otherwise(c("html"))))
+    # the two sides lack different pages, and pages served without encryption were changed after it was listed
+    files = rows(fx.pages.where("url NOT LIKE '%#top'"), c("html"))
+    return op.corpus_integrity(files, rows(fx.pages.where("url NOT LIKE '%page=%'"), F.when(c("url").like("http://%"), F.concat("html", F.lit(" "))).otherwise(c("html"))))
 
 
 @add("t18_corpus_report", f"""WITH {SQL_DECIDE}, s AS (SELECT *, CASE WHEN decision = 'REJECT' THEN 'rejected' WHEN doc_id % 3 > 0 THEN 'warning' ELSE 'success' END AS status FROM k)

@@ -42,12 +42,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is named (tests)."""
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get()
+    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="folioframe-checkpoint-")
+    if named:
+        return named.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = tempfile.mkdtemp(prefix="folioframe-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
