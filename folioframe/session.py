@@ -42,24 +42,40 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode, where all share it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="folioframe-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df):
+_STEPS: dict[str, list[str]] = {}
+
+
+def cut_lineage(df, compression: str = "snappy"):
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     Survives the loss of executors like a checkpoint, and unlike one it comes back with known sizes, so
-    that later joins are planned on facts.
+    that later joins are planned on facts. ``clear_steps`` deletes these tables once results are written.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    _STEPS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_steps(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written in this application; results that still read them must be written before."""
+    paths = _STEPS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
