@@ -95,7 +95,11 @@ def near_notices(line: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[
                 # the words it holds in full; a window's border never cuts one
                 if m.end() > m.start() and (m.start() == 0 or line[m.start() - 1] == " ") and (m.end() == len(line) or line[m.end()] == " "):
                     spans.append((notices[k][1], m.start(), m.end(), sum(m.fuzzy_counts), m.group()))
-    return sorted(set(spans), key=lambda s: (s[1], s[2], s[0]))
+    kept: list[tuple[str, int, int, int, str]] = []
+    for s in sorted(set(spans), key=lambda s: (s[3], s[1] - s[2], s[1], s[0])):  # of two at one place, the better reading
+        if all(s[2] <= k[1] or k[2] <= s[1] for k in kept):
+            kept.append(s)
+    return sorted(kept, key=lambda s: s[1])
 
 
 def _scan(texts, exact, notices):
@@ -131,7 +135,7 @@ def license_notices(pages: DataFrame, text: str = "text", by: Sequence[str] = BY
     ``exact`` phrases count wherever their words stand consecutively (``n_base``, ``first_word``, ``last_word``,
     ``base_labels``). ``notices`` may hold one edit for every ten characters: an unchanged piece locates a
     candidate, bounded-error matching verifies it and gives its span in the line of words (``spans``: label,
-    characters, edits, the words found). ``labels`` joins both, sorted; ``score`` is 1 for an exact phrase,
+    characters, edits, the words found; of overlapping ones the one with fewest edits). ``labels`` joins both, sorted; ``score`` is 1 for an exact phrase,
     otherwise 1 less the share of wrong characters of the best span, 0 without one.
     A null text counts as empty: no words, no labels, null places. Repeated rows stay, other columns are left
     out unless carried. No shuffle; every text is read whole.
