@@ -15,6 +15,8 @@ from folioframe.llm.texts import Memo
 STRETCHES, WORDS = 300_000, 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # In these characters every release of the character tables agrees on letters, numbers and spaces.
+_OPEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _OPEN)}  # the byte-level vocabulary's signs for the other bytes
 _STABLE = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
 
 
@@ -35,13 +37,18 @@ class WordTokenizer:
         words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+" if self.spaced else r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
         self.split = regex.compile(words).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = Memo(self._whole, WORDS)
+        self.merge = self.library.model.tokenize
+        self.words = Memo(self._word, WORDS)
         self.first = Memo(lambda s: self._stretch(s), STRETCHES // 8)
         self.later = Memo(lambda s: self._stretch(f" {s}") if self.spaced else self._stretch(s), STRETCHES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word, which needs no further splitting: the library's merges alone."""
+        return np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(_SHOWN))], dtype="<u4").tobytes()
+
     def _stretch(self, text: str) -> bytes:
         if not _STABLE(text):
             return self._whole(text)
