@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from folioframe.llm.texts import Memo
 
 # Bounds of a worker's memory of stretches and of words.
-STRETCHES, WORDS = 300_000, 400_000
+STRETCHES, WORDS = 300_000, 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # In these characters every release of the character tables agrees on letters, numbers and spaces.
 _OPEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -47,7 +48,8 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         """Ids of one word, which needs no further splitting: the library's merges alone."""
-        return np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(_SHOWN))], dtype="<u4").tobytes()
+        ids = [t.id for t in self.merge(word.encode().decode("latin-1").translate(_SHOWN))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, text: str) -> bytes:
         if not _STABLE(text):
