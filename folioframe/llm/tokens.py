@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from folioframe.llm.texts import Memo
 
 # Bounds of a worker's memory of stretches and of words.
-STRETCHES, WORDS = 300_000, 500_000
+STRETCHES, WORDS = 500_000, 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # In these characters every release of the character tables agrees on letters, numbers and spaces.
 _OPEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -21,6 +21,10 @@ _SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _OP
 _STABLE = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
 
 
+class _MoreSpace(Exception):
+    """A stretch between two single spaces is empty, or begins or ends with white space."""
+
+
 class WordTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
@@ -40,8 +44,8 @@ class WordTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merge = self.library.model.tokenize
         self.words = Memo(self._word, WORDS)
-        self.first = Memo(lambda s: self._stretch(s), STRETCHES // 8)
-        self.later = Memo(lambda s: self._stretch(f" {s}") if self.spaced else self._stretch(s), STRETCHES)
+        self.first = Memo(self._stretch, STRETCHES // 8)
+        self.later = Memo(self._later if self.spaced else self._stretch, STRETCHES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -56,7 +60,13 @@ class WordTokenizer:
             return self._whole(text)
         if not self.spaced:
             text = text.lower()
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+        found = self.split(text)
+        return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+
+    def _later(self, text: str) -> bytes:
+        if not text or text[0].isspace() or text[-1].isspace():
+            raise _MoreSpace  # the single space before it is no border; never remembered
+        return self._stretch(" " + text)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -65,9 +75,13 @@ class WordTokenizer:
         if any(map(text.__contains__, self.special)):
             return self._whole(text)
         parts = text.split(" ")
-        if self.spaced and not all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            parts = _CUT.split(text)
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        try:
+            if self.spaced and (not parts[0] or parts[0][-1].isspace()):
+                raise _MoreSpace
+            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        except _MoreSpace:
+            first, *later = _CUT.split(text)
+            return self._stretch(first) + b"".join(self._stretch(f" {p}") for p in later)
 
 
 @lru_cache(maxsize=2)
