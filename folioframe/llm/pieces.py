@@ -17,7 +17,7 @@ from folioframe.llm.texts import BY, Memo, annotate
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Bounds of a worker's memory of segments and of parts between certain borders.
-SEGMENTS, PARTS = 400_000, 250_000
+SEGMENTS, PARTS = 300_000, 250_000
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 

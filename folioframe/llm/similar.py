@@ -31,7 +31,7 @@ _WORD = re.compile(r"\w+")
 _RANDOM = np.random.default_rng(5)
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_HASH_OF = Memo(xxhash.xxh64_intdigest, 400_000)
+_HASH_OF = Memo(xxhash.xxh64_intdigest, 100_000)
 
 
 def grams_of(text: str | None) -> np.ndarray:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from folioframe.llm.texts import Memo
 
 # Bounds of a worker's memory of stretches and of words.
-STRETCHES, WORDS = 500_000, 500_000
+STRETCHES, WORDS = 350_000, 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # In these characters every release of the character tables agrees on letters, numbers and spaces.
 _OPEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
