@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import lru_cache, partial
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -15,9 +16,10 @@ from pyspark.sql import types as T
 from folioframe.llm.texts import BY, Memo, annotate
 
 SPACE = "▁"
+_NEVER = float("-inf")
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Bounds of a worker's memory of segments and of parts between certain borders.
-SEGMENTS, PARTS = 300_000, 250_000
+SEGMENTS, PARTS = 400_000, 350_000
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
 
@@ -60,16 +62,19 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best score first, the leftmost of equals."""
-        symbols = list(text)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                score = self.scores.get(symbols[k] + symbols[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
+        symbols, score = list(text), self.scores.get
+        joined = [score(x + y, _NEVER) for x, y in zip(symbols, symbols[1:])]
+        while joined:
+            best = max(joined)
+            if best == _NEVER:
                 break
+            at = joined.index(best)
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = score(symbols[at - 1] + symbols[at], _NEVER)
+            if at < len(joined):
+                joined[at] = score(symbols[at] + symbols[at + 1], _NEVER)
         return symbols
 
     def _part(self, text: str) -> tuple[int, ...]:
@@ -105,7 +110,7 @@ class Pieces:
                 at -= len(chosen.pop())
         return tuple(self.ids[p] for p in chosen)
 
-    def _segment(self, text: str) -> tuple[tuple[int, ...], bytes]:
+    def _segment(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
         start = 0
         for at in range(1, len(text) + 1):
@@ -119,16 +124,13 @@ class Pieces:
                 ids += [self.bytes[b] for b in part.encode()]
             else:
                 ids.append(self.unknown)
-        return tuple(ids), b",".join(b"%d" % i for i in ids)
+        return tuple(ids)
 
-    def encode_segments(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
+    def encode(self, text: str) -> list[int]:
         """Ids of each stretch from one space to the next; no piece reaches across."""
         if not text:
             return []
-        return list(map(self.segments.__getitem__, _SEGMENT.findall(SPACE + text.replace(" ", SPACE))))
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.encode_segments(text) for i in ids]
+        return list(chain.from_iterable(map(self.segments.__getitem__, _SEGMENT.findall(SPACE + text.replace(" ", SPACE)))))
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8, the space put before the text removed."""
