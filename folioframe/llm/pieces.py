@@ -53,9 +53,9 @@ class Pieces:
         self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.matches = ahocorasick.Automaton()
         for piece in self.ids:
-            self.matches.add_word(piece, piece)
+            if self.merged(piece) == [piece]:  # others never come out of merging
+                self.matches.add_word(piece, (piece, len(piece) - 1))
         self.matches.make_automaton()
-        self.own = Memo(lambda piece: self.merged(piece) == [piece], PARTS)
         self.fits = Memo(lambda pair: self.merged(pair[0] + pair[1]) == list(pair), PARTS)
         self.parts = Memo(self._part, PARTS)
         self.segments = Memo(self._segment, SEGMENTS)
@@ -79,36 +79,33 @@ class Pieces:
 
     def _part(self, text: str) -> tuple[int, ...]:
         """Ids of a text of known characters."""
-        if text in self.ids and self.own[text]:
-            return (self.ids[text],)
-        starts: list[list[str]] = [[] for _ in text]  # pieces from each place, the shortest first
-        for end, piece in self.matches.iter(text):
-            if self.own[piece]:
-                starts[end - len(piece) + 1].append(piece)
-        for found in starts:
-            found.sort(key=len)
-        open_at = (1 << (len(text) + 1)) - 1  # places that may still lead to the end
+        starts: list[list[tuple[str, int]]] = [[] for _ in text]  # pieces from each place and where they end, the shortest first
+        for end, (piece, back) in self.matches.iter(text):
+            starts[end - back].append((piece, end + 1))
+        fits, n, at, last = self.fits, len(text), 0, None
+        open_at = (1 << (n + 1)) - 1  # places that may still lead to the end
         chosen: list[str] = []
-        at, tries = 0, [len(starts[0]) - 1]
-        while at < len(text):
-            k = tries[-1]
+        tries = [len(starts[0]) - 1]
+        while at < n:
+            found, k = starts[at], tries[-1]
             while k >= 0:
-                piece = starts[at][k]
-                if open_at >> (at + len(piece)) & 1 and (not chosen or self.fits[chosen[-1], piece]):
+                piece, after = found[k]
+                if open_at >> after & 1 and (last is None or fits[last, piece]):
                     break
                 k -= 1
             if k >= 0:
                 tries[-1] = k - 1
                 chosen.append(piece)
-                at += len(piece)
-                tries.append(len(starts[at]) - 1 if at < len(text) else -1)
+                at, last = after, piece
+                tries.append(len(starts[at]) - 1 if at < n else -1)
             else:
                 open_at &= ~(1 << at)
                 tries.pop()
                 if not chosen:
                     raise ValueError(f"no way to split {text!r}")
                 at -= len(chosen.pop())
-        return tuple(self.ids[p] for p in chosen)
+                last = chosen[-1] if chosen else None
+        return tuple(map(self.ids.__getitem__, chosen))
 
     def _segment(self, text: str) -> tuple[int, ...]:
         ids: list[int] = []
