@@ -57,6 +57,10 @@ ENTITY = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("e
                        T.StructField("canonical", T.StringType()), T.StructField("found", T.StringType())])
 
 
+# Country codes of two digits; 1 and 7 are alone, the others have three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def luhn(digits: str) -> int:
     """The remainder that is 0 for a valid card number."""
     total = 0
@@ -170,7 +174,10 @@ def stand_in(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         digits = canonical[0] + s.alike(canonical[1:-1])
         return digits + str((10 - luhn(f"{digits}0")) % 10)
     if kind in ("phone", "ssn"):
-        keep = min(len(canonical) - 4, 2 if canonical.startswith("+") else 0)
+        keep = 0
+        if canonical.startswith("+"):
+            keep = 2 if canonical[1] in "17" else 3 if canonical[1:3] in _TWO_DIGITS else 4
+        keep = min(len(canonical) - 4, keep)
         return canonical[:keep] + s.alike(canonical[keep:])
     if kind == "iban":
         return canonical[:2] + s.alike(canonical[2:])
