@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.numbers import half_up, let, round_to
@@ -377,21 +377,47 @@ def overlap_audit(region: DataFrame, token: DataFrame, field: DataFrame, by: Seq
         "reason": F.when(F.size(F.coalesce("field_ids", empty)) > 0, "FIELD_PROPOSED").otherwise("NO_MATCHING_FIELD_RULE")})
 
 
+def _edge_reach(slim: DataFrame, rects: DataFrame, line: DataFrame, by: Sequence[str], tol: float) -> DataFrame:
+    """``slim`` with how far each edge may move: ``l0 l1 t0 t1 r0 r1 b0 b1``.
+
+    An edge moves from one structure edge to the next within ``tol``, so it stays inside the chains of
+    structure edges (no gap wider than ``tol``) that it starts next to, however long they are.
+    """
+    at = lambda df, x, y: df.select(*by, F.explode(F.array(
+        *[F.struct(F.lit("x").alias("axis"), v.alias("v")) for v in x], *[F.struct(F.lit("y").alias("axis"), v.alias("v")) for v in y])).alias("_p")).select(*by, "_p.*")
+    b = box()
+    places = at(rects, (b.x, b.right), (b.y, b.bottom)).unionByName(at(line, (F.col("x1"), F.col("x2")), (F.col("y"),))).where(F.col("v").isNotNull()).distinct()
+    order = Window.partitionBy(*by, "axis").orderBy("v")
+    chained = places.withColumn("_new", F.coalesce((F.col("v") - F.lag("v").over(order) > tol).cast("int"), F.lit(0))).withColumn("_chain", F.sum("_new").over(order))
+    chains = chained.groupBy(*by, "axis", "_chain").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    edges = slim.select(*by, "field_id", F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(name).alias("edge"), v.alias("v")) for axis, name, v in (
+        ("x", "l", b.x), ("y", "t", b.y), ("x", "r", b.right), ("y", "b", b.bottom))])).alias("_p")).select(*by, "field_id", "_p.*")
+    zero = F.lit(0.0)
+    met = near_join(edges, chains, [*by, "axis"], reach=Box(F.col("v") - tol, zero, F.lit(2 * tol), zero), b_extent=Box(F.col("low"), zero, F.col("high") - F.col("low"), zero), tile=1024.0)
+    of = lambda name, value: F.when(F.col("a_edge") == name, value)
+    far = met.groupBy(*by, F.col("a_field_id").alias("field_id")).agg(
+        *[F.min(of(n, F.col("b_low"))).alias(f"{n}0") for n in "ltrb"], *[F.max(of(n, F.col("b_high"))).alias(f"{n}1") for n in "ltrb"])
+    start = {"l": b.x, "t": b.y, "r": b.right, "b": b.bottom}
+    return slim.join(far, [*by, "field_id"], "left").withColumns({
+        **{f"{n}0": F.least(v - tol, F.coalesce(f"{n}0", v) - tol) for n, v in start.items()}, **{f"{n}1": F.greatest(v + tol, F.coalesce(f"{n}1", v) + tol) for n, v in start.items()}})
+
+
 def snap_to_structure(field: DataFrame, rect: DataFrame, line: DataFrame, by: Sequence[str] = PAGE,
                       tol: float = 6.0) -> DataFrame:
     """Move box edges that lie within ``tol`` of a rectangle or line edge onto it.
 
     Edges change while rectangles, then lines, are visited in id order, so each field folds over the
-    structures within reach of it (24 pt leave room for an edge that moves several times).
+    structures along the chains its edges can follow, without a limit on their length.
     """
-    slim = field.select(*by, "field_id", "x", "y", "w", "h")
-    A = box("a_")
-    reach = box().grown(24.0, 24.0, 24.0, 24.0)
-    # a right or bottom edge snaps to any rectangle edge of that height or position, however far away
     rects = rect.select(*by, "rect_id", "x", "y", "w", "h")
-    b, zero = box(), F.lit(0.0)
-    at_right = near_join(slim, rects, by, reach=Box(b.right - 24, zero, F.lit(48.0), zero), b_extent=Box(b.right, zero, zero, zero))
-    at_bottom = near_join(slim, rects, by, reach=Box(zero, b.bottom - 24, zero, F.lit(48.0)), b_extent=Box(zero, b.bottom, zero, zero))
+    slim = _edge_reach(field.select(*by, "field_id", "x", "y", "w", "h"), rects, line, by, tol)
+    b, zero, span = box(), F.lit(0.0), lambda low, high: (F.col(low), F.col(high) - F.col(low))
+    left, top = F.least("l0", "r0"), F.least("t0", "b0") - 12  # a line's ends count up to 12 pt from the bottom edge
+    reach = Box(left, top, F.greatest("l1", "r1") - left, F.greatest("t1", "b1") + 12 - top)
+    # a right or bottom edge snaps to any rectangle edge of that height or position, however far away
+    across, down = span("r0", "r1"), span("b0", "b1")
+    at_right = near_join(slim, rects, by, reach=Box(across[0], zero, across[1], zero), b_extent=Box(b.right, zero, zero, zero))
+    at_bottom = near_join(slim, rects, by, reach=Box(zero, down[0], zero, down[1]), b_extent=Box(zero, b.bottom, zero, zero))
     around = near_join(slim, rects, by, reach=reach)
     r = around.unionByName(at_right).unionByName(at_bottom).select(
         *by, F.col("a_field_id").alias("field_id"), F.struct(

@@ -175,7 +175,7 @@ def split_coarse_tokens(a: DataFrame, b: DataFrame, regional: DataFrame | None =
     groups = inside.groupBy(*by, F.col("a_token_id").alias("token_id")).agg(
         F.first("a_text_key").alias("raw_key"), F.first(A.area).alias("raw_area"),
         F.count(F.lit(1)).alias("n"), F.collect_list(word).alias("words"))
-    groups = groups.where(F.col("n") <= 60).withColumn("ordered", reading_order_in_lines(F.col("words")))
+    groups = groups.withColumn("ordered", reading_order_in_lines(F.col("words")))
     groups = groups.withColumn("joined", F.array_join(F.transform("ordered", lambda e: e["key"]), ""))
     groups = groups.where(F.col("joined") == F.col("raw_key")).drop("joined")
     pieces = groups.select(*by, F.col("token_id").alias("raw_id"), F.explode("ordered").alias("p")).select(
@@ -275,7 +275,7 @@ def recover_coarse(a: DataFrame, local: DataFrame, b: DataFrame, page: DataFrame
         .join(flag(incomplete, "incomplete"), keys, "left")
     )
     reason = (
-        F.when(F.col("n").isNull() | (F.col("n") > 60), "NO_COMPLETE_LOCAL_READING")
+        F.when(F.col("n").isNull(), "NO_COMPLETE_LOCAL_READING")
         .when(F.col("low"), "LOW_LOCAL_CONFIDENCE").when(F.col("overlapping"), "OVERLAPPING_LOCAL_WORDS")
         .when(F.col("unwitnessed"), "INDEPENDENT_TEXT_OR_GEOMETRY_DISAGREEMENT")
         .when(F.col("incomplete"), "INCOMPLETE_LOCAL_COVERAGE").when(F.col("other"), "OTHER_PRIMARY_TOKEN_CONFLICT")

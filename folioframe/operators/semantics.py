@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,11 +137,17 @@ def binding_counters(bound: DataFrame) -> DataFrame:
         F.count_if(auto & (F.col("background_mode") == "TRANSPARENT")).alias("transparent"))
 
 
+def has_group(pattern: str) -> bool:
+    """Whether a pattern captures anything."""
+    bare = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", pattern)  # without escapes and character classes
+    return re.search(r"\((?!\?(?!<[A-Za-z]))", bare) is not None
+
+
 def extract_evidence(raw_page: DataFrame, extractors: Sequence[tuple[str, Sequence[str], float]],
                      remove: Sequence[str] = (), doc: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Per document and field: the first page, and on it the first pattern, with a non-empty value.
 
-    ``extractors``: (field id, patterns in order, confidence); group 1 is the value where it matched.
+    ``extractors``: (field id, patterns in order, confidence); group 1 is the value where the pattern has one and it matched.
     ``remove``: boilerplate patterns taken out of a value. Snippets keep 30 characters around it.
     """
     def cleaned(value: Column) -> Column:
@@ -152,7 +159,8 @@ def extract_evidence(raw_page: DataFrame, extractors: Sequence[tuple[str, Sequen
         tries = []
         for i, pattern in enumerate(patterns):
             p = "(?i)" + pattern
-            group, whole = F.regexp_extract("text", p, 1), F.regexp_extract("text", p, 0)
+            whole = F.regexp_extract("text", p, 0)
+            group = F.regexp_extract("text", p, 1) if has_group(pattern) else F.lit("")
             raw = F.when(group != "", group).otherwise(whole)
             tries.append(F.struct(F.lit(i).alias("pattern_no"), raw.alias("raw"), whole.alias("whole"), cleaned(raw).alias("value")))
         first = F.get(F.filter(F.array(*tries), lambda t: t["value"] != ""), 0)
@@ -320,7 +328,7 @@ def key_label(keyed: DataFrame, entry: DataFrame, key: str = "key") -> DataFrame
     """Display label of a key: catalogue entry, custom field name, or the key itself."""
     e = entry.select(F.col("key").alias(key), F.concat_ws(" > ", "category", "label").alias("_label"))
     parts = F.split(key, r"\.")
-    tail = F.array_join(F.slice(parts, 3, 100), ".")
+    tail = F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), ".")
     custom = F.concat(F.lit("Campo Personalizzato: "), F.when(tail != "", tail).otherwise(F.coalesce(F.get(parts, 1), F.lit("campo"))))
     return keyed.join(e, key, "left").withColumn(
         "display", F.coalesce("_label", F.when(F.col(key).startswith("custom."), custom), F.col(key), F.lit("Nessuna associazione (Non assegnata)"))).drop("_label")

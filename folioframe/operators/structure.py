@@ -475,8 +475,11 @@ def class_counts(classified: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
         of("UNDERLINE_FIELD").alias("underlines"), of("CHECKBOX").alias("checkboxes"), of("STRUCTURAL_ONLY").alias("structural"), of("NON_FILLABLE_GRAPHIC").alias("graphics"))
 
 
-def writing_lines(line: DataFrame, region: DataFrame, token: DataFrame, by: Sequence[str] = PAGE, shortest: float = 30.0, most: int = 200) -> DataFrame:
-    """Strokes to write on: no table edges, not through letters, near-duplicates out, the longest ``most`` of a page."""
+def writing_lines(line: DataFrame, region: DataFrame, token: DataFrame, by: Sequence[str] = PAGE, shortest: float = 30.0, most: int | None = None) -> DataFrame:
+    """Strokes to write on: no table edges, not through letters, near-duplicates out.
+
+    With a bound of the caller's own, only the longest ``most`` of a page stay.
+    """
     a, b = box(A), box(B)
     long = line_boxes(line.where(~F.col("is_vertical")), by).where(F.col("w") >= shortest)
     edge = near_join(long, region.select(*by, "x", "y", "w", "h"), by, reach=box().grown(0.0, 8.0, 0.0, 8.0), tile=512.0).where(
@@ -488,6 +491,8 @@ def writing_lines(line: DataFrame, region: DataFrame, token: DataFrame, by: Sequ
     free = without_partner(without_partner(long, edge, by, ["line_id"]), through, by, ["line_id"])
     kept = greedy_keep(free, by, "line_id", [-F.col("w"), F.col("line_id")], lambda k, c: (F.abs(k["y"] - c["y"]) < 6) & (F.abs(k["x"] - c["x"]) < 10),
                        Box(F.col("x") - 5, F.col("y") - 3, F.lit(10.0), F.lit(6.0)))
+    if most is None:
+        return kept
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), "line_id"))
     return kept.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 

@@ -247,3 +247,29 @@ def test_reading_order_and_snap(table):
                 if abs(right - x2) <= 6 and abs(bottom - y) <= 12:
                     right = x2
             assert snapped[(p, t["id"])] == (left, top, max(10, right - left), max(10, bottom - top))
+
+
+def test_snap_follows_long_chains(table):
+    field = table([(1, 1, 0.0, 100.0, 50.0, 20.0), (1, 2, 300.0, 400.0, 40.0, 20.0)], "page_id bigint, field_id bigint, x double, y double, w double, h double")
+    lines = [(1, k, 0.0, 95.0 - 5 * (k - 1), 60.0) for k in range(1, 15)]
+    rects = [(1, k, 300.0 - 6 * k, 400.0 - 6 * k, 40.0, 20.0) for k in range(1, 30)]
+    got = {r.field_id: (r.x, r.y, r.w, r.h) for r in geometry.snap_to_structure(
+        field, table(rects, "page_id bigint, rect_id bigint, x double, y double, w double, h double"), table(lines, "page_id bigint, line_id bigint, x1 double, y double, x2 double"), BY).collect()}
+    assert got[1] == (0.0, 30.0, 50.0, 90.0)  # the top edge climbs all fourteen lines
+    assert got[2] == (126.0, 226.0, 40.0, 20.0)  # the box follows all rectangles
+
+
+def test_evidence_without_a_group(table):
+    from folioframe.operators import semantics
+
+    page = table([(1, 1, "abc 1234 (x)", 90.0)], "doc_id bigint, page_no int, text string, confidence double")
+    got = semantics.extract_evidence(page, [("n", [r"[0-9]{3,}"], 70), ("p", [r"\(x\)"], 70), ("g", [r"(?<v>abc)"], 70), ("q", [r"(?:abc) ([0-9]+)"], 70)]).collect()
+    assert {r.field_id: r.value for r in got} == {"n": "1234", "p": "(x)", "g": "abc", "q": "1234"}
+
+
+def test_key_label_keeps_every_part(table):
+    from folioframe.operators import semantics
+
+    key = ".".join(["custom", "t", *(f"p{k}" for k in range(110))])
+    got = semantics.key_label(table([(key,)], "key string"), table([], "key string, category string, label string")).first()
+    assert got.display.endswith("p108.p109")
