@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 BY = ("doc_id", "page_no")
 # Characters that one step of a text operator holds at once; a longer text is a step of its own.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 18
 
 
 def slices(batch: pa.RecordBatch, lengths: Sequence[int], most: int = STEP_CHARS):
