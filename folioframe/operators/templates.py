@@ -151,8 +151,9 @@ def best_template(document: DataFrame, registry: DataFrame, doc: str = "doc_id",
                   preferred_year: int | None = None, school_order: str | None = None, bands: Sequence[float] = (0.85, 0.5, 0.0)) -> DataFrame:
     """Best template per document (earliest registration wins ties), exact without comparing everything.
 
-    Identical fingerprints are settled by an equi-join. The rest meet templates of similar length first;
-    only documents whose best score stays below the bound of a band go on to the next, wider one.
+    Identical fingerprints are settled by an equi-join, and precede what only rounds to the same score. The rest meet
+    templates of similar length first; only documents whose best score stays below the bound of a band go on to the
+    next, wider one.
     """
     usable = registry.where(F.col("status").isin(*statuses))
     if school_order is not None:
@@ -162,17 +163,23 @@ def best_template(document: DataFrame, registry: DataFrame, doc: str = "doc_id",
         year, wanted = F.col("validity_year").cast("string"), F.lit(str(preferred_year))
         extra = F.when(year.contains(wanted) | wanted.contains(year), 5.0).otherwise(0.0)
     bonus = 0.0 if preferred_year is None else 5.0
-    done, rest = None, document
+    payload = ["template_id", "score", "geometry_score", "structure_score", "matched_pages", "total_pages", "match_confidence", "band", "ranking"]
+    # no other template can rank higher than an identical one that has the whole bonus
+    first = usable.where(F.coalesce(extra, F.lit(0.0)) == bonus).groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("template_id"))
+    full = F.lit(100.0)
+    done = cut_lineage(document.select(doc, "fingerprint", "page_count").join(first, "fingerprint").select(
+        doc, "template_id", full.alias("score"), full.alias("geometry_score"), full.alias("structure_score"), F.col("page_count").cast("bigint").alias("matched_pages"),
+        F.col("page_count").alias("total_pages"), F.lit(1.0).alias("match_confidence"), match_band(full).alias("band"), (full + bonus).alias("ranking")))
+    rest = document.join(done.select(doc), doc, "left_anti")
     for ratio in bands:
         scored = match_score(rest, usable, doc, ratio).withColumn("ranking", F.col("score") + extra)
-        payload = ["template_id", "score", "geometry_score", "structure_score", "matched_pages", "total_pages", "match_confidence", "band", "ranking"]
         top = scored.groupBy(doc).agg(F.min(F.struct((-F.col("ranking")).alias("_r"), F.col("ord").alias("_o"), *payload)).alias("_b")).select(
             doc, *[F.col(f"_b.{c}").alias(c) for c in payload])
         settled = top if ratio == 0 else top.where(F.col("ranking") >= 100 * ratio + bonus)
         if ratio != 0:
             settled = cut_lineage(settled)
             rest = rest.join(settled.select(doc), doc, "left_anti")
-        done = settled if done is None else done.unionByName(settled)
+        done = done.unionByName(settled)
         if ratio != 0 and rest.isEmpty():
             break
     return done
