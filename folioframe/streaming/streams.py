@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,8 +18,18 @@ def page_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
 
 
 def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process what has arrived and stop; call again (or schedule) for what comes later."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    """Process what has arrived and stop; call again (or schedule) for what comes later.
+
+    Batches without data are off: state with a timeout would ask for them without end. Timeouts fire with the next data.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+    finally:
+        conf.set(name, before)
+    query.awaitTermination()
 
 
 def stream_pages(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
@@ -29,18 +40,45 @@ def stream_pages(stream: DataFrame, operator: Callable[[DataFrame], DataFrame],
     _run(stream, checkpoint, each)
 
 
-def document_complete(stream: DataFrame, out: str, checkpoint: str, doc: str = "doc_id", time: str = "ts", late: str = "1 hour") -> None:
-    """A document row whenever all announced pages of a document have arrived.
+def document_complete(stream: DataFrame, out: str, checkpoint: str, doc: str = "doc_id", time: str = "ts", idle_hours: float = 168.0) -> None:
+    """One row per document, written once: in the batch in which its last announced page arrives (``state`` complete).
 
-    ``stream``: one row per completed page with ``announced`` pages and ``elapsed_ms``.
+    ``stream``: one row per completed page with ``announced`` pages and ``elapsed_ms``. What is known of a document is
+    forgotten after ``idle_hours`` without a page; one that was never complete is then written as ``incomplete``. Pages
+    of a document already written change nothing while it is remembered.
     """
-    state = stream.withWatermark(time, late).groupBy(doc).agg(
-        F.count(F.lit(1)).alias("pages"), F.max("announced").alias("announced"), F.sum("elapsed_ms").alias("elapsed_ms"), F.max(time).alias("completed_at"))
+    key = stream.schema[doc].dataType.simpleString()
+    known = "pages bigint, announced bigint, elapsed_ms double, completed_at timestamp"
+
+    def follow(group, pieces, state):
+        if state.hasTimedOut:
+            pages, announced, elapsed, last, written = state.get
+            state.remove()
+            if not written:
+                yield pd.DataFrame([(group[0], pages, announced, elapsed, last, "incomplete")], columns=names)
+            return
+        pages, announced, elapsed, last, written = state.get if state.exists else (0, 0, 0.0, None, False)
+        for piece in pieces:
+            pages += len(piece)
+            announced = max(announced, int(piece["announced"].fillna(0).max()))
+            elapsed += float(piece["elapsed_ms"].fillna(0).sum())
+            latest = piece[time].max()
+            if not pd.isna(latest):
+                last = latest.to_pydatetime() if last is None else max(last, latest.to_pydatetime())
+        ready = not written and pages >= announced
+        state.update((pages, announced, elapsed, last, written or ready))
+        state.setTimeoutDuration(int(idle_hours * 3_600_000))
+        if ready:
+            yield pd.DataFrame([(group[0], pages, announced, elapsed, last, "complete")], columns=names)
+
+    names = [doc, "pages", "announced", "elapsed_ms", "completed_at", "state"]
+    page = stream.select(doc, F.col("announced").cast("bigint"), F.col("elapsed_ms").cast("double"), time)
+    found = page.groupBy(doc).applyInPandasWithState(follow, f"`{doc}` {key}, {known}, state string", f"{known}, written boolean", "append", "ProcessingTimeTimeout")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.where("pages >= announced").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _run(state, checkpoint, each, "update")
+    _run(found, checkpoint, each)
 
 
 def progress(event: DataFrame, doc: Sequence[str] = ("doc_id",), bucket_seconds: int = 3600) -> DataFrame:
@@ -63,21 +101,44 @@ def progress_state(stream: DataFrame, doc: str = "doc_id") -> DataFrame:
     return stream.groupBy(doc).agg(F.max(raw).alias("percent"))
 
 
-def registry_updates(stream: DataFrame, registry_folder: str, checkpoint: str) -> None:
+TEMPLATE = "template_id BIGINT, fingerprint STRING, ord BIGINT"
+BUCKETS = 256
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int")
+
+
+def _append_templates(template: DataFrame, registry_folder: str, batch_id: int, buckets: int) -> None:
+    placed = template.select("template_id", "fingerprint", "ord", _bucket(buckets).alias("bucket"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+    # files of one bucket come from few tasks, a large bucket from several
+    placed.hint("rebalance", "bucket").write.partitionBy("bucket", "batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{registry_folder}/template")
+
+
+def start_registry(template: DataFrame, registry_folder: str, buckets: int = BUCKETS) -> None:
+    """Store the templates known before the first batch (``template_id``, ``fingerprint``, ``ord``); ``buckets`` holds for the life of the registry."""
+    _append_templates(template, registry_folder, -1, buckets)
+
+
+def stored_templates(spark: SparkSession, registry_folder: str) -> DataFrame:
+    return spark.read.schema(f"{TEMPLATE}, bucket INT, batch_id BIGINT").parquet(f"{registry_folder}/template")
+
+
+def registry_updates(stream: DataFrame, registry_folder: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Registrations and status events per micro-batch against the stored registry.
 
-    Rows: ``template_id``, ``fingerprint`` (null for status events), ``status``, ``ts``, ``event_id``. Accepted
-    registrations and events are appended; a replayed batch overwrites its own folder.
+    Rows: ``template_id``, ``fingerprint`` (null for status events), ``status``, ``ts``, ``event_id``. The registry lies in
+    ``buckets`` by fingerprint, and a batch reads those of its own fingerprints. Accepted registrations and events
+    are appended; a replayed batch doesn't see what it wrote before, and overwrites it.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        stored = spark.read.option("recursiveFileLookup", True).schema("template_id BIGINT, fingerprint STRING, ord BIGINT").parquet(f"{registry_folder}/template")
-        mine = f"batch-{batch_id}/"
-        stored = stored.where(~F.input_file_name().contains(mine))
         new = batch.where(F.col("fingerprint").isNotNull()).select("template_id", "fingerprint", F.col("event_id").alias("ord"))
-        register(new, stored).select("template_id", "fingerprint", "ord").write.mode("overwrite").parquet(f"{registry_folder}/template/batch-{batch_id}")
-        batch.where(F.col("fingerprint").isNull()).select("template_id", "status", "ts", "event_id").write.mode("overwrite").parquet(f"{registry_folder}/event/batch-{batch_id}")
+        touched = [r[0] for r in new.select(_bucket(buckets)).distinct().collect()]  # at most ``buckets`` numbers
+        stored = stored_templates(spark, registry_folder).where(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
+        _append_templates(register(new, stored), registry_folder, batch_id, buckets)
+        batch.where(F.col("fingerprint").isNull()).select("template_id", "status", "ts", "event_id").write.mode("overwrite").parquet(f"{registry_folder}/event/batch_id={batch_id}")
         batch.unpersist()
 
     _run(stream, checkpoint, each)
@@ -85,4 +146,4 @@ def registry_updates(stream: DataFrame, registry_folder: str, checkpoint: str) -
 
 def stored_status(spark: SparkSession, registry_folder: str) -> DataFrame:
     """Current status per template from the stored event log."""
-    return registry_status(spark.read.option("recursiveFileLookup", True).parquet(f"{registry_folder}/event"))
+    return registry_status(spark.read.parquet(f"{registry_folder}/event"))
