@@ -67,7 +67,7 @@ def document_complete(stream: DataFrame, out: str, checkpoint: str, doc: str = "
                 last = latest.to_pydatetime() if last is None else max(last, latest.to_pydatetime())
         ready = not written and pages >= announced
         state.update((pages, announced, elapsed, last, written or ready))
-        state.setTimeoutDuration(int(idle_hours * 3_600_000))
+        state.setTimeoutDuration(max(1, round(idle_hours * 3_600_000)))
         if ready:
             yield pd.DataFrame([(group[0], pages, announced, elapsed, last, "complete")], columns=names)
 
