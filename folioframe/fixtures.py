@@ -34,6 +34,8 @@ SELECT page_id, token_id, line_id, x + (l_partkey % 5) - 2 AS x, y + (l_suppkey
        CASE WHEN l_partkey % 6 = 0 THEN concat(text_key, 'x') ELSE text_key END AS text_key,
        CAST(85 AS DOUBLE) AS conf
 FROM {fx_token} WHERE (l_partkey + l_suppkey) % 7 <> 0""",
+    "fx_reader": """
+SELECT * FROM {fx_token} WHERE text NOT LIKE 'small%' AND text NOT LIKE 'hot%'""",
     "fx_local": """
 SELECT page_id, token_id, line_id, x + 1 AS x, y AS y, w - 2 AS w, h, text, text_key,
        CAST(60 + (l_partkey % 40) AS DOUBLE) AS conf

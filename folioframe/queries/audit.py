@@ -103,11 +103,11 @@ def a16(fx):
     return q.select("doc_id", *[c(k).cast("bigint").alias(k) for k in ("confidence_score", "density_score", "structure_score", "noise", "quality")])
 
 
-@add("a17_best_variant", """WITH r AS (SELECT doc_id, v AS variant, (doc_id * 7 + v * 13) % 50 AS quality FROM documents, (VALUES (0), (1), (2), (3)) t(v))
+@add("a17_best_variant", """WITH r AS (SELECT doc_id, v AS variant, (coalesce(length(text), 0) * 7 + v * 13) % 50 AS quality FROM documents, (VALUES (0), (1), (2), (3)) t(v))
 SELECT doc_id, variant, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, variant) AS rn FROM r) s WHERE rn = 1""")
 def a17(fx):
-    r = fx.documents.select("doc_id", F.explode(F.array(*map(F.lit, range(4)))).alias("variant"))
-    return op.best_variant(r.withColumn("quality", (c("doc_id") * 7 + c("variant") * 13) % 50))
+    r = fx.documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.explode(F.array(*map(F.lit, range(4)))).alias("variant"))
+    return op.best_variant(r.withColumn("quality", (c("n") * 7 + c("variant") * 13) % 50).drop("n"))
 
 
 @add("a18_page_confidence", f"""SELECT page_id, {sql_r4('avg(CASE WHEN l_partkey % 11 = 0 THEN 0.0 ELSE conf END)')} AS confidence FROM {{fx_token}} GROUP BY page_id""")
@@ -137,11 +137,11 @@ def a19(fx):
     return op.geometry_rollup(page_geometry(fx), ("doc_key",))
 
 
-@add("a22_baseline_delta", """WITH b AS (SELECT page_id, count(*) AS baseline_fields FROM {fx_cell} GROUP BY page_id), m AS (SELECT page_id, count(*) AS measured_fields FROM {fx_field} WHERE confidence >= 0.9::DOUBLE GROUP BY page_id)
+@add("a22_baseline_delta", """WITH b AS (SELECT page_id, count(*) AS baseline_fields FROM {fx_cell} GROUP BY page_id), m AS (SELECT page_id, count(*) AS measured_fields FROM {fx_field} GROUP BY page_id)
 SELECT b.page_id, baseline_fields, measured_fields, measured_fields - baseline_fields AS delta, measured_fields IS NULL AS missing FROM b LEFT JOIN m ON m.page_id = b.page_id""")
 def a22(fx):
     base = fx.fx_cell.groupBy("page_id").agg(F.count(F.lit(1)).alias("baseline_fields"))
-    return op.baseline_delta(fx.fx_field.where(c("confidence") >= 0.9).groupBy("page_id").agg(F.count(F.lit(1)).alias("measured_fields")), base, BY)
+    return op.baseline_delta(fx.fx_field.groupBy("page_id").agg(F.count(F.lit(1)).alias("measured_fields")), base, BY)
 
 
 @add("a23_run_invariants", f"""WITH af AS (SELECT page_id, field_id, x, y, w, CASE WHEN field_id % 13 = 1 THEN h + 1 ELSE h END AS h, label FROM {{fx_field_prev}} WHERE {PROTECTED} AND label NOT LIKE 'cold%' UNION ALL SELECT page_id, field_id + 1000, x, y, w, h, label FROM {{fx_field}}),
@@ -248,10 +248,10 @@ def u7(fx):
     return reg.apply_review(f).select("page_id", "field_id", "calibration_status", "derivation", "unassigned")
 
 
-@add("u8_model_catalogue", """SELECT template_id, name, CASE WHEN template_id % 3 = 0 THEN 'builtin' ELSE 'other' END AS "group", template_id IN (SELECT DISTINCT o_custkey % 50 FROM orders WHERE o_custkey % 50 > 40) AS is_default FROM {fx_registry} WHERE status = 'active'""")
+@add("u8_model_catalogue", """SELECT template_id, name, CASE WHEN template_id % 3 = 0 THEN 'builtin' ELSE 'other' END AS "group", template_id IN (SELECT DISTINCT o_custkey % 50 FROM orders) AS is_default FROM {fx_registry} WHERE status = 'active'""")
 def u8(fx):
     r = fx.fx_registry.select("template_id", "name", "status")
-    preferred = fx.orders.select((c("o_custkey") % 50).alias("template_id")).where("template_id > 40")
+    preferred = fx.orders.select((c("o_custkey") % 50).alias("template_id"))
     return reg.model_catalogue(r.where("template_id % 3 = 0"), r.where("template_id % 3 <> 0"), preferred).select("template_id", "name", "group", "is_default")
 
 

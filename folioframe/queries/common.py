@@ -9,9 +9,8 @@ from folioframe.functions.numbers import round_to
 
 BY = ("page_id",)
 
-# Which words play the part of printed labels, prompts or words one reader missed.
+# Which words play the part of printed labels and prompts.
 PROMPT_WORDS = "(text LIKE '%gear' OR text LIKE '%bolt' OR text LIKE '%ring')"
-MISSED_WORDS = "(text LIKE 'small%' OR text LIKE 'hot%')"
 
 
 class Catalogue:

@@ -114,12 +114,12 @@ def p7(fx):
 
 
 @add("p13_background_mode", f"""WITH i AS (SELECT page_id, field_id, x + least(8.0, w * 0.1) AS x, y + least(4.0, h * 0.1) AS y, greatest(1.0, w - least(8.0, w * 0.1) * 2) AS w, greatest(1.0, h - least(4.0, h * 0.1) * 2) AS h FROM {{fx_field}}),
-hit AS (SELECT DISTINCT i.page_id, i.field_id FROM i JOIN {{fx_line}} l ON l.page_id = i.page_id JOIN {{fx_token}} t ON t.page_id = l.page_id AND t.token_id = l.line_id
-  WHERE t.text LIKE '%gear' AND {sql_inter('i', 't')} / least(i.w * i.h, t.w * t.h) > 0.25)
+hit AS (SELECT DISTINCT i.page_id, i.field_id FROM i JOIN {{fx_token_b}} t ON t.page_id = i.page_id
+  WHERE {sql_inter('i', 't')} / least(i.w * i.h, t.w * t.h) > 0.25)
 SELECT f.page_id, f.field_id, CASE WHEN hit.field_id IS NULL THEN 'TRANSPARENT' ELSE 'OPAQUE_WHITE' END AS background_mode
 FROM {{fx_field}} f LEFT JOIN hit ON hit.page_id = f.page_id AND hit.field_id = f.field_id""")
 def p13(fx):
-    return op.background_mode(fx.fx_field, fx.fx_token.where("text LIKE '%gear'"), BY).select("page_id", "field_id", "background_mode")
+    return op.background_mode(fx.fx_field, fx.fx_token_b, BY).select("page_id", "field_id", "background_mode")
 
 
 @add("p15_presentation_override", """SELECT f.page_id, f.field_id, CASE WHEN f.field_id % 4 = 0 THEN least(greatest(1.0, p.page_w - f.x), greatest(least(6.0, greatest(1.0, p.page_w - f.x)), CASE WHEN f.field_id % 8 = 0 THEN 900.0 ELSE f.w END)) ELSE f.w END AS w,
@@ -278,7 +278,7 @@ def j19(fx):
 
 
 @add("f9_cell_interior", f"""WITH pr AS (SELECT * FROM (SELECT c.page_id, c.cell_id, t.x AS px, t.y AS py, t.w AS pw, t.h AS ph, {LABEL} AS said, row_number() OVER (PARTITION BY c.page_id, c.cell_id ORDER BY t.token_id) AS rn
-   FROM (SELECT * REPLACE (CASE WHEN cell_id % 3 = 0 THEN 70.0 ELSE h END AS h) FROM {{fx_cell}}) c JOIN (SELECT * FROM {{fx_token}} WHERE text NOT LIKE 'small%') t ON t.page_id = c.page_id WHERE {sql_share('t', 'c')} > 0.55) s WHERE rn = 1),
+   FROM (SELECT * REPLACE (CASE WHEN cell_id % 3 = 0 THEN 70.0 ELSE h END AS h) FROM {{fx_cell}}) c JOIN {{fx_token}} t ON t.page_id = c.page_id WHERE {sql_share('t', 'c')} > 0.55) s WHERE rn = 1),
 j AS (SELECT c.*, px, py, pw, ph, coalesce(said, false) AS said, px IS NULL AS none, c.x + c.w - (px + pw) - 2 AS rw, c.y + c.h - (py + ph) - 2 AS rh, py >= c.y - 2 AS inside
   FROM (SELECT * REPLACE (CASE WHEN cell_id % 3 = 0 THEN 70.0 ELSE h END AS h) FROM {{fx_cell}}) c LEFT JOIN pr ON pr.page_id = c.page_id AND pr.cell_id = c.cell_id),
 k AS (SELECT *, NOT none AND ((inside AND NOT said AND (h < 50 OR rh < 30)) OR (rh < 18 AND rw < 28) OR (NOT said AND rh < 30) OR (pw / w >= 0.55 AND rh < 18)) AS header,
@@ -290,7 +290,7 @@ SELECT page_id, cell_id, z = 'static' AS header_only, CASE z WHEN 'static' THEN
  CASE WHEN z = 'static' THEN h WHEN z IN ('whole', 'beside') THEN greatest(16.0, h - 4) ELSE greatest(16.0, y + h - 2 - greatest(y + 2, py + ph + 2)) END AS in_h FROM m""")
 def f9(fx):
     cells = fx.fx_cell.withColumn("h", F.when(F.col("cell_id") % 3 == 0, 70.0).otherwise(F.col("h")))
-    prompts = fx.fx_token.where("text NOT LIKE 'small%'").withColumn("is_prompt", F.expr(LABEL))
+    prompts = fx.fx_token.withColumn("is_prompt", F.expr(LABEL))
     return op.cell_interior(cells, prompts, BY).select("page_id", "cell_id", "header_only", "in_x", "in_y", "in_w", "in_h")
 
 

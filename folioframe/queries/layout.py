@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout as op
-from folioframe.queries.common import BY, MISSED_WORDS, PROMPT_WORDS, Catalogue, sql_inter, sql_share
+from folioframe.queries.common import BY, PROMPT_WORDS, Catalogue, sql_inter, sql_share
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -71,7 +71,7 @@ def k1(fx):
 
 @add("k2_retry_plan")
 def k2(fx):
-    return op.retry_plan(fx.fx_token.where(f"NOT {MISSED_WORDS}"), fx.fx_token_b, fx.fx_page, BY).select(
+    return op.retry_plan(fx.fx_reader, fx.fx_token_b, fx.fx_page, BY).select(
         "page_id", "first_id", "reason", "priority", "selected", "region_no")
 
 

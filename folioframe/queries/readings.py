@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import readings as op
-from folioframe.queries.common import BY, MISSED_WORDS, Catalogue, r4, sql_inter, sql_r4, sql_share, sql_vertical
+from folioframe.queries.common import BY, Catalogue, r4, sql_inter, sql_r4, sql_share, sql_vertical
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -133,7 +133,7 @@ def r2(fx):
 
 def _gaps(fx):
     """A without the words it missed, and the whole page as the region to look in."""
-    return fx.fx_token.where(f"NOT {MISSED_WORDS}"), fx.fx_page.select(
+    return fx.fx_reader, fx.fx_page.select(
         "page_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("page_w").alias("w"), F.col("page_h").alias("h"))
 
 
@@ -156,7 +156,7 @@ def numbered(view: str) -> str:
 
 
 VOTE = f"""a AS (SELECT * FROM {numbered('fx_token')}), fullb AS (SELECT * FROM {numbered('fx_token_b')}),
-{comparable_sql('a', 'fullb', 'f_')}, regb AS (SELECT * FROM fullb WHERE text_key LIKE '%r%'), {comparable_sql('a', 'regb', 'g_')},
+{comparable_sql('a', 'fullb', 'f_')}, regb AS (SELECT * FROM {numbered('fx_local')}), {comparable_sql('a', 'regb', 'g_')},
 vote AS (SELECT a.*, f.b_text_key AS fkey, coalesce(f.b_text_key = g.b_text_key AND f.b_text_key <> a.text_key AND a.conf < 80, false) AS changed
   FROM a LEFT JOIN f_reading f ON f.page_id = a.page_id AND f.token_id = a.token_id
   LEFT JOIN g_reading g ON g.page_id = a.page_id AND g.token_id = a.token_id)"""
@@ -165,7 +165,7 @@ vote AS (SELECT a.*, f.b_text_key AS fkey, coalesce(f.b_text_key = g.b_text_key
 @add("r6_vote_reading", f"WITH {VOTE} SELECT page_id, token_id, CASE WHEN changed THEN fkey ELSE text_key END AS selected_key, changed, CASE WHEN changed THEN 'TWO_OBSERVATIONS_AGREE' ELSE 'PRIMARY_KEPT' END AS reason FROM vote")
 def r6(fx):
     b = _digits(fx.fx_token_b)
-    return op.vote_reading(_digits(fx.fx_token), b, b.where("text_key LIKE '%r%'"), None, BY).select(
+    return op.vote_reading(_digits(fx.fx_token), b, _digits(fx.fx_local), None, BY).select(
         "page_id", "token_id", "selected_key", "changed", "reason")
 
 
@@ -177,7 +177,7 @@ SELECT page_id, token_id, ch AND NOT coalesce(stopped, false) AS changed, CASE W
 def r5(fx):
     b = _digits(fx.fx_token_b)
     local = b.withColumn("conf", F.when(F.col("page_id") % 2 == 0, 90.0).otherwise(60.0))
-    return op.vote_reading(_digits(fx.fx_token), b, b.where("text_key LIKE '%r%'"), local, BY).select(
+    return op.vote_reading(_digits(fx.fx_token), b, _digits(fx.fx_local), local, BY).select(
         "page_id", "token_id", "changed", "reason")
 
 

@@ -146,11 +146,11 @@ def e6(fx):
     return classified(fx).drop("school_year")
 
 
-@add("e7_structural_fallback", f"""WITH {CLASSIFY}, bm AS (SELECT doc_id, doc_id % 13 AS t, 90.0 + doc_id % 11 AS score FROM documents)
+@add("e7_structural_fallback", f"""WITH {CLASSIFY}, bm AS (SELECT doc_id, doc_id % 13 AS t, 90.0 + coalesce(length(text), 0) % 11 AS score FROM documents)
 SELECT c.doc_id, CASE WHEN recognised_by = 'unrecognised' AND score >= 95 THEN CAST(t AS VARCHAR) ELSE model_id END AS model_id, CASE WHEN recognised_by = 'unrecognised' AND score >= 95 THEN 'structure' ELSE recognised_by END AS recognised_by,
  CASE WHEN recognised_by = 'unrecognised' AND score >= 95 THEN CAST(floor(score + 0.5) AS BIGINT) ELSE confidence END AS confidence FROM cl c LEFT JOIN bm ON bm.doc_id = c.doc_id""")
 def e7(fx):
-    match = fx.documents.select("doc_id", (c("doc_id") % 13).alias("template_id"), (90.0 + c("doc_id") % 11).alias("score"))
+    match = fx.documents.select("doc_id", (c("doc_id") % 13).alias("template_id"), (90.0 + F.coalesce(F.length("text"), F.lit(0)) % 11).alias("score"))
     return op.structural_fallback(classified(fx), match).select("doc_id", "model_id", "recognised_by", "confidence")
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import structure as op
-from folioframe.queries.common import BY, MISSED_WORDS, PROMPT_WORDS, Catalogue, r4, sql_inter, sql_r4, sql_share
+from folioframe.queries.common import BY, PROMPT_WORDS, Catalogue, r4, sql_inter, sql_r4, sql_share
 from folioframe.queries.geometry import SQL_HEIGHTS, upper_heights
 from folioframe.session import cut_lineage
 
@@ -52,11 +52,10 @@ def j7(fx):
     return op.row_group_prompt(boxes, fx.fx_word, BY).select("page_id", "region_id", "group_prompt")
 
 
-@add("j10_uncovered_labels", """SELECT t.page_id, t.token_id, 'NO_PHYSICAL_GEOMETRY' AS reason FROM {fx_word} t WHERE is_prompt AND NOT EXISTS (SELECT 1 FROM {fx_rect} r WHERE r.page_id = t.page_id AND r.w = 20
+@add("j10_uncovered_labels", """SELECT t.page_id, t.token_id, 'NO_PHYSICAL_GEOMETRY' AS reason FROM {fx_word} t WHERE is_prompt AND NOT EXISTS (SELECT 1 FROM {fx_rect} r WHERE r.page_id = t.page_id
  AND ((abs(r.y - t.y) < 20 AND r.x + r.w >= t.x - 30 AND r.x <= t.x + t.w + 150) OR (r.y >= t.y + t.h - 5 AND r.y <= t.y + t.h + 40 AND abs(r.x - t.x) < 60)))""")
 def j10(fx):
-    # the checkboxes of a page are its only physical regions here
-    return op.uncovered_labels(fx.fx_word, fx.fx_rect.where("w = 20"), BY).select("page_id", "token_id", "reason")
+    return op.uncovered_labels(fx.fx_word, fx.fx_rect, BY).select("page_id", "token_id", "reason")
 
 
 @add("j11_uncovered_tokens", f"""SELECT t.page_id, t.token_id FROM {{fx_word}} t WHERE (is_marker OR is_prompt) AND NOT EXISTS (SELECT 1 FROM {{fx_field_prev}} f WHERE f.page_id = t.page_id AND ({sql_share('t', 'f')} >= 0.5
@@ -80,7 +79,7 @@ def f1(fx):
 
 
 def readers(fx):
-    return fx.stored("fx_token").where(f"NOT {MISSED_WORDS}"), fx.stored("fx_token_b")
+    return fx.stored("fx_reader"), fx.stored("fx_token_b")
 
 
 def stored_heights(fx):
@@ -88,7 +87,7 @@ def stored_heights(fx):
 
 
 SQL_HEAD = SQL_GRID + f""",
-ta AS (SELECT g.page_id, g.cell_id, string_agg(t.text, ' ' ORDER BY t.line_id, t.x) AS k FROM g JOIN (SELECT * FROM {{fx_token}} WHERE NOT {MISSED_WORDS}) t ON t.page_id = g.page_id WHERE g.h <= g.th * 6 AND {sql_share('t', 'g')} > 0.55 GROUP BY ALL),
+ta AS (SELECT g.page_id, g.cell_id, string_agg(t.text, ' ' ORDER BY t.line_id, t.x) AS k FROM g JOIN {{fx_reader}} t ON t.page_id = g.page_id WHERE g.h <= g.th * 6 AND {sql_share('t', 'g')} > 0.55 GROUP BY ALL),
 tb AS (SELECT g.page_id, g.cell_id, string_agg(t.text, ' ' ORDER BY t.line_id, t.x) AS k FROM g JOIN {{fx_token_b}} t ON t.page_id = g.page_id WHERE g.h <= g.th * 6 AND {sql_share('t', 'g')} > 0.55 GROUP BY ALL),
 cd AS (SELECT g.*, m.component, d.label AS pl, d.is_group AS pg, e.label AS sl, e.is_group AS sg FROM g JOIN comp m ON m.page_id = g.page_id AND m.cell_id = g.cell_id LEFT JOIN ta ON ta.page_id = g.page_id AND ta.cell_id = g.cell_id LEFT JOIN {{fx_header}} d ON d.header_key = lower(ta.k)
   LEFT JOIN tb ON tb.page_id = g.page_id AND tb.cell_id = g.cell_id LEFT JOIN {{fx_header}} e ON e.header_key = lower(tb.k) WHERE d.label IS NOT NULL OR e.label IS NOT NULL),
@@ -136,7 +135,7 @@ def f5(fx):
 def f6(fx):
     cells = fx.stored("fx_cell").select("page_id", "cell_id", "x", "y", "w", "h", (c("cell_id") == 3).alias("is_caption"), ((c("page_id") % 11) / 500).alias("ink_ratio"))
     fields = fx.stored("fx_field_prev").withColumn("status", F.when(c("calibration_status") == "REJECTED", "ignored").otherwise("review"))
-    return op.recover_uncovered(cells, fields.where(PROMPT_WORDS.replace("text", "label")), fx.stored("fx_line"), fx.stored("fx_word").where("is_label"), fx.fx_page, stored_heights(fx), BY).select(
+    return op.recover_uncovered(cells, fields, fx.stored("fx_line"), fx.stored("fx_word").where("is_label"), fx.fx_page, stored_heights(fx), BY).select(
         "page_id", "evidence_id", "kind", "plausible", "outcome", "reason")
 
 
@@ -176,9 +175,7 @@ def f10(fx):
 @add("f11_field_candidates")
 def f11(fx):
     rects = fx.stored("fx_rect").withColumn("is_checkbox", c("rect_id") % 5 == 0)
-    text_field = fx.stored("fx_field").where("derivation = 'TEXT_ANCHOR'")
-    stored = fx.stored("fx_field_prev").where("calibration_status = 'CONFIRMED'")
-    return op.field_candidates(fx.stored("fx_line"), rects, fx.stored("fx_word"), text_field, stored, fx.fx_page, BY).select("page_id", "field_id", "field_type", "derivation", "label", "confidence")
+    return op.field_candidates(fx.stored("fx_line"), rects, fx.stored("fx_word"), fx.stored("fx_field"), fx.stored("fx_field_prev"), fx.fx_page, BY).select("page_id", "field_id", "field_type", "derivation", "label", "confidence")
 
 
 @add("f14_infer_region_fields")

@@ -202,12 +202,12 @@ def t13(fx):
 
 
 @add("t14_readiness", """WITH t AS (SELECT s_suppkey AS template_id, s_suppkey % 6 = 0 AS built_in, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'REVIEW_REQUIRED' ELSE 'CALIBRATED' END AS cs, CAST(s_suppkey % 10 AS VARCHAR) AS sha FROM supplier),
-s AS (SELECT s_suppkey AS template_id, CASE WHEN s_suppkey % 3 = 0 THEN 'REVIEW_REQUIRED' ELSE 'CALIBRATED' END AS ss, CAST(s_suppkey % 20 AS VARCHAR) AS sha2 FROM supplier WHERE s_acctbal > 3000)
+s AS (SELECT 2 * s_suppkey AS template_id, CASE WHEN s_suppkey % 3 = 0 THEN 'REVIEW_REQUIRED' ELSE 'CALIBRATED' END AS ss, CAST(s_suppkey % 20 AS VARCHAR) AS sha2 FROM supplier)
 SELECT template_id, CASE WHEN built_in THEN NULL WHEN ss IS NULL AND cs IS NULL THEN 'TEMPLATE_SOURCE_MISSING' WHEN coalesce(ss, cs) <> 'CALIBRATED' THEN 'MODEL_CALIBRATION_REQUIRED' WHEN sha <> sha2 THEN 'TEMPLATE_INTEGRITY_MISMATCH' END AS error_code FROM t LEFT JOIN s USING (template_id)""")
 def t14(fx):
     k = c("s_suppkey")
     t = fx.supplier.select(k.alias("template_id"), (k % 6 == 0).alias("built_in"), F.when(k % 4 == 0, None).when(k % 4 == 1, "REVIEW_REQUIRED").otherwise("CALIBRATED").alias("calibration_status"), (k % 10).cast("string").alias("sha256"))
-    s = fx.supplier.where("s_acctbal > 3000").select(k.alias("template_id"), F.when(k % 3 == 0, "REVIEW_REQUIRED").otherwise("CALIBRATED").alias("calibration_status"), (k % 20).cast("string").alias("sha256"))
+    s = fx.supplier.select((2 * k).alias("template_id"), F.when(k % 3 == 0, "REVIEW_REQUIRED").otherwise("CALIBRATED").alias("calibration_status"), (k % 20).cast("string").alias("sha256"))
     return op.readiness(t, s).select("template_id", "error_code")
 
 
