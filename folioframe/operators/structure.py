@@ -57,9 +57,11 @@ def associate_label(region: DataFrame, token: DataFrame, by: Sequence[str] = PAG
     ``region.kind``: checkbox, cell, underline (its ``y`` two above the stroke); ``token``: ``is_label``, ``is_prompt``.
     """
     a, b = box(A), box(B)
+    keys = [*by, "region_id"]
     far = lambda cell, checkbox, rule: F.when(F.col("kind") == "cell", cell).when(F.col("kind") == "checkbox", checkbox).otherwise(rule)
-    pairs = near_join(region.select(*by, "region_id", "kind", "x", "y", "w", "h"), token.select(*by, "token_id", "x", "y", "w", "h", "text", "is_label", "is_prompt"), by,
-                      reach=box().grown(far(120.0, 80.0, 140.0), far(250.0, 20.0, 26.0), far(50.0, 100.0, 60.0), 20.0))
+    words = token.select(*by, "token_id", "x", "y", "w", "h", "text", "is_label", "is_prompt")
+    slim = region.select(*keys, "kind", "x", "y", "w", "h")
+    pairs = near_join(slim, words, by, reach=box().grown(far(120.0, 80.0, 140.0), far(30.0, 20.0, 26.0), far(50.0, 100.0, 60.0), 20.0))
     ok, asks, kind, rise = F.col("b_is_label"), F.col("b_is_prompt"), F.col("a_kind"), a.y - b.bottom
     box_, cell, rule = kind == "checkbox", kind == "cell", kind == "underline"
     level, stroke = F.abs(b.y - a.y) < 14, a.y + 2
@@ -69,7 +71,6 @@ def associate_label(region: DataFrame, token: DataFrame, by: Sequence[str] = PAG
         (box_ & ok & (rise >= 0) & (rise < 20) & (F.abs(b.x - a.x) < 80), "TOP_HEADER", 0.90, b.bottom),
         (cell & asks & (b.right <= a.x + 8) & (a.x - b.right < 120) & (F.abs(b.y - a.y) < 20), "LEFT_NEIGHBOR", 0.88, F.lit(0.0)),
         (cell & (rise >= -2) & (rise < 30) & (F.abs(b.x - a.x) < 50), "TOP_HEADER", 0.85, F.lit(0.0)),
-        (cell & (rise >= 0) & (rise < 250) & (b.x >= a.x - 10) & (b.x <= a.right), "COLUMN_HEADER", 0.80, F.lit(0.0)),
         (rule & asks & (F.abs(b.y - stroke) < 18) & (b.right <= a.x + 10) & (a.x - b.right < 140), "LEFT_NEIGHBOR", 0.88, a.x - b.right),
         (rule & asks & (stroke - b.bottom >= 0) & (stroke - b.bottom < 24) & (F.abs(b.x - a.x) < 60), "TOP_HEADER", 0.88, stroke - b.bottom),
     ]
@@ -78,9 +79,15 @@ def associate_label(region: DataFrame, token: DataFrame, by: Sequence[str] = PAG
         row = F.struct(F.lit(i).alias("rank"), away.cast("double").alias("away"), F.lit(method).alias("method"), F.lit(sure).alias("sure"))
         found = F.when(test, row) if found is None else found.when(test, row)
     hit = pairs.withColumn("_m", found).where(F.col("_m").isNotNull()).withColumnRenamed("a_region_id", "region_id")
-    best = best_partner(hit, [*by, "region_id"], [F.col("_m.rank"), F.col("_m.away"), F.col("b_token_id")],
-                        {"label": F.trim(F.regexp_replace("b_text", ":$", "")), "method": F.col("_m.method"), "label_confidence": F.col("_m.sure")})
-    return region.join(best, [*by, "region_id"], "left").withColumns({
+    said = F.trim(F.regexp_replace("b_text", ":$", ""))
+    best = cut_lineage(best_partner(hit, keys, [F.col("_m.rank"), F.col("_m.away"), F.col("b_token_id")],
+                                    {"label": said, "method": F.col("_m.method"), "label_confidence": F.col("_m.sure")}))
+    # only cells that nothing nearer names look for a header high above their column
+    alone = slim.where(F.col("kind") == "cell").join(best.select(*keys), keys, "left_anti")
+    above = near_join(alone, words, by, reach=box().grown(10.0, 250.0, 0.0, 0.0)).where(
+        (rise >= 0) & (rise < 250) & (b.x >= a.x - 10) & (b.x <= a.right)).withColumnRenamed("a_region_id", "region_id")
+    headed = best_partner(above, keys, [F.col("b_token_id")], {"label": said, "method": F.lit("COLUMN_HEADER"), "label_confidence": F.lit(0.80)})
+    return region.join(best.unionByName(headed), keys, "left").withColumns({
         "method": F.coalesce("method", F.lit("UNASSOCIATED")), "label_confidence": F.coalesce("label_confidence", F.lit(0.0))})
 
 
@@ -250,6 +257,23 @@ def signature_lines(line: DataFrame, token: DataFrame, heights: DataFrame, by: S
     return best
 
 
+def _row_numbers(placed: DataFrame, below: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``row_no``: which body row of its table a cell stands in, counted over the distinct (rounded) tops under its header.
+
+    One running count over the tops of a table, read at both ends of every cell's span: never a row for cell and row top.
+    """
+    keys = [*by, "cell_id"]
+    top = placed.groupBy(*by, "component", half_up(F.col("y") / F.col("tol")).alias("_row")).agg(F.min("y").alias("at"))
+    ends = placed.join(below, keys).select(*keys, "component", F.explode(F.array(
+        F.struct((F.col("hb") - F.col("tol")).alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("sign")),
+        F.struct((F.col("y") + F.col("tol")).alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("sign")))).alias("e"))
+    events = top.select(*by, "component", F.lit(None).cast(placed.schema["cell_id"].dataType).alias("cell_id"), "at", F.lit(1).alias("turn"), F.lit(0).alias("sign"), F.lit(1).alias("one")).unionByName(
+        ends.select(*by, "component", "cell_id", "e.at", "e.turn", "e.sign", F.lit(0).alias("one")))
+    upto = Window.partitionBy(*by, "component").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.withColumn("_n", F.sum("one").over(upto)).where(F.col("sign") != 0)
+    return counted.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("sign")).alias("row_no"))
+
+
 def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field: DataFrame, page: DataFrame, dictionary: DataFrame, prompt_key: DataFrame,
                      heights: DataFrame, by: Sequence[str] = PAGE, checkbox: DataFrame | None = None,
                      instruction: str = r"(?i)^(?:specificare|indicare|descrivere|a cura|descrizione del servizio|tipologia di assistenza|numero di ore)\b") -> DataFrame:
@@ -281,11 +305,7 @@ def associate_fields(cell: DataFrame, token: DataFrame, second: DataFrame, field
     rivals = left.join(lefts.select(*keys, "_lx"), keys).where(F.abs(F.col("b_x") - F.col("_lx")) < F.col("a_tol")).groupBy(*keys).agg(F.countDistinct(label_key(F.col("b_own_text"))).alias("_labels"))
     axis = best_partner(side.where("b_axis").withColumnRenamed("a_cell_id", "cell_id"), keys, [-F.col("b_x"), F.col("b_cell_id")], {"axis_text": tidy(F.col("b_own_text"))})
     tops = above.groupBy(*keys).agg(F.countDistinct("label").alias("_heads"), F.min(F.struct("steps", "head_id", "label", "type", "source", "conflict", "head_w", "head_bottom")).alias("_h"))
-    # which body row of its table a cell stands in: rows counted once per distinct (rounded) top below the header
-    row_tops = base.join(member, keys)
-    starts = row_tops.select(*by, "component", half_up(F.col("y") / F.col("tol")).alias("_row"), "y").groupBy(*by, "component", "_row").agg(F.min("y").alias("_top"))
-    placed = row_tops.select(*keys, "component", "y", "tol").join(tops.select(*keys, F.col("_h.head_bottom").alias("hb")), keys)
-    numbered = placed.join(starts, [*by, "component"]).where((F.col("_top") >= F.col("hb") - F.col("tol")) & (F.col("_top") <= F.col("y") + F.col("tol"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("row_no"))
+    numbered = _row_numbers(base.join(member, keys), tops.select(*keys, F.col("_h.head_bottom").alias("hb")), by)
     prompts = token.where("is_prompt").select(*by, "token_id", "x", "y", "w", "h", "text")
     outside = without_partner(prompts, near_join(prompts, cell.select(*by, "cell_id", "x", "y", "w", "h"), by).where(share(a, b) > 0.55), by, ["token_id"])
     wide = base.where(F.col("w") > F.col("page_w") * 0.35).select(*by, "cell_id", "x", "y", "w", "h", "th", "pad")

@@ -186,9 +186,15 @@ def best_template(document: DataFrame, registry: DataFrame, doc: str = "doc_id",
 
 
 def top_templates(document: DataFrame, registry: DataFrame, k: int = 3, doc: str = "doc_id", ratio: float = 0.0) -> DataFrame:
-    """The k best templates of every document by similarity."""
+    """The k best templates of every document by similarity.
+
+    Templates with one and the same fingerprint score alike, so only the k earliest of each are compared, and a
+    document sees no more than k of them: copies in the registry add no pairs.
+    """
+    copies = Window.partitionBy("fingerprint").orderBy("ord")
+    early = registry.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     order = Window.partitionBy(doc).orderBy(F.desc("score"), "ord")
-    return match_score(document, registry, doc, ratio).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return match_score(document, early, doc, ratio).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 # ---------------------------------------------------------------- structural difference
@@ -317,17 +323,23 @@ def roots(parent: DataFrame, node: str = "node", up: str = "parent") -> DataFram
 def cluster_templates(template: DataFrame) -> DataFrame:
     """Families: every template joins its most similar earlier one if they are related, else starts its own.
 
-    Page counts of related templates differ at most by half, which bounds the comparison exactly.
+    Page counts of related templates differ at most by half, which bounds the comparison exactly. Only the earliest
+    template of each fingerprint is compared; its copies follow it, or what it follows if that is just as similar.
     ``template``: template_id, ord and the profile columns.
     """
     cols = ["template_id", "ord", "page_count", "boxes", "fingerprint", "pages"]
-    later = template.select(*[F.col(c).alias("c_" + c) for c in cols]).withColumn("page_count", F.col("c_page_count"))
-    earlier = template.select(*[F.col(c).alias("s_" + c) for c in cols]).withColumn("t_page_count", F.col("s_page_count"))
+    earliest = template.groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("first_id"))
+    first = cut_lineage(template.join(earliest, "fingerprint").where(F.col("template_id") == F.col("first_id")).select(*cols))
+    later = first.select(*[F.col(c).alias("c_" + c) for c in cols]).withColumn("page_count", F.col("c_page_count"))
+    earlier = first.select(*[F.col(c).alias("s_" + c) for c in cols]).withColumn("t_page_count", F.col("s_page_count"))
     pairs = _in_band(later, earlier, 0.5).where(F.col("s_ord") < F.col("c_ord")).drop("page_count", "t_page_count")
     diff = structural_diff(pairs)
     best = diff.groupBy("c_template_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("s_ord").alias("o"), F.col("s_template_id").alias("parent"), F.col("class").alias("class"))).alias("_b"))
-    related = best.where(F.col("_b.class") != "UNKNOWN").select(F.col("c_template_id").alias("template_id"), F.col("_b.parent").alias("parent"), (-F.col("_b.s")).alias("similarity"))
-    forest = template.select("template_id").join(related, "template_id", "left")
+    related = best.where(F.col("_b.class") != "UNKNOWN").select(F.col("c_template_id").alias("first_id"), F.col("_b.parent").alias("parent"), (-F.col("_b.s")).alias("similarity"))
+    placed = template.select("template_id", "fingerprint").join(earliest, "fingerprint").join(related, "first_id", "left")
+    follows = (F.col("template_id") != F.col("first_id")) & (F.coalesce("similarity", F.lit(0.0)) < 100)
+    forest = cut_lineage(placed.select("template_id", F.when(follows, F.col("first_id")).otherwise(F.col("parent")).alias("parent"),
+                                       F.when(follows, 100.0).otherwise(F.col("similarity")).alias("similarity")))
     return roots(forest, "template_id", "parent").withColumnRenamed("root", "cluster_id").join(forest, "template_id")
 
 
