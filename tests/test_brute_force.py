@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.operators import geometry, layout, readings, structure
+from folioframe.operators import geometry, layout, readings, structure, templates
 from folioframe.plans import greedy
 from folioframe.plans.spatial import box, box_of, share_of_smaller
 
@@ -273,3 +273,62 @@ def test_key_label_keeps_every_part(table):
     key = ".".join(["custom", "t", *(f"p{k}" for k in range(110))])
     got = semantics.key_label(table([(key,)], "key string"), table([], "key string, category string, label string")).first()
     assert got.display.endswith("p108.p109")
+
+
+def test_row_numbers(table):
+    """Tops under the header, counted in a loop; ties, cells above their header and a table of its own included."""
+    rng = random.Random(5)
+    cells = [(p, i, i % 2, float(rng.choice([0, 20, 21, 40, 43, 60, 80, 200])), rng.choice([5.0, 7.2])) for p in range(4) for i in range(25)]
+    heads = [(p, i, float(rng.choice([20, 40, 60, 150]))) for p, i, *_ in cells if i % 5]
+    placed = table(cells, "page_id bigint, cell_id bigint, component bigint, y double, tol double")
+    got = {(r["page_id"], r["cell_id"]): r["row_no"] for r in structure._row_numbers(placed, table(heads, "page_id bigint, cell_id bigint, hb double"), BY).collect()}
+    tops = {}
+    for p, _, k, y, tol in cells:
+        row = tops.setdefault((p, k), {})
+        at = math.floor(y / tol + 0.5)
+        row[at] = min(y, row.get(at, y))
+    where = {(p, i): (k, y, tol) for p, i, k, y, tol in cells}
+    assert len(got) == len(heads)
+    for p, i, hb in heads:
+        k, y, tol = where[p, i]
+        want = sum(hb - tol <= top <= y + tol for top in tops[p, k].values())
+        assert max(1, got[p, i]) == max(1, want)
+
+
+def profile_rows(seed, n=24, kinds=7):
+    """Page profiles of templates, most of which are copies of a few."""
+    rng = random.Random(seed)
+    made = [[(595.0 + rng.randrange(3), 842.0, 0, rng.randrange(0, 40), rng.randrange(0, 2), rng.randrange(0, 40)) for _ in range(rng.randrange(1, 4))] for _ in range(kinds)]
+    made.append([(*p[:4], p[4] + 1, p[5]) for p in made[0]])  # differs in what a difference does not look at
+    return [(f"t{t:02}", o, *page, ["A"], f"g{page[:4]}", f"s{page}", 1.0) for t in range(n) for o, page in enumerate(made[rng.randrange(len(made))])]
+
+
+def templates_of(table, seed):
+    pages = table(profile_rows(seed), "template_id string, o int, page_width double, page_height double, rotation int, vector_count bigint, raster_count bigint, text_count bigint,"
+                                      " fonts array<string>, geometry_hash string, structure_hash string, confidence double")
+    return templates.profiles(pages, "template_id", "o").withColumn("ord", F.substring("template_id", 2, 2).cast("int"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_among_copies(table, seed):
+    """Comparing one copy of each fingerprint gives the parents that comparing all pairs gives."""
+    made = templates_of(table, seed)
+    side = lambda p: made.select(*[F.col(c).alias(p + c) for c in ("template_id", "ord", "page_count", "boxes", "fingerprint", "pages")])
+    pairs = side("s_").join(side("c_"), F.col("s_ord") < F.col("c_ord"))
+    best = {}
+    for r in templates.structural_diff(pairs).orderBy("c_ord", F.desc("similarity"), "s_ord").collect():
+        best.setdefault(r["c_template_id"], (r["s_template_id"] if r["class"] != "UNKNOWN" else None, r["similarity"]))
+    got = {r["template_id"]: r["parent"] for r in templates.cluster_templates(made).collect()}
+    assert len(got) == made.count() and got == {t: best.get(t, (None, 0))[0] for t in got}
+
+
+def test_top_templates_among_copies(table):
+    made = templates_of(table, 3)
+    docs = made.withColumnRenamed("template_id", "doc_id").drop("ord")
+    ranked = {}
+    for r in templates.match_score(docs, made, "doc_id", 0.0).orderBy("doc_id", F.desc("score"), "ord").collect():
+        ranked.setdefault(r["doc_id"], []).append((r["template_id"], r["score"]))
+    got = {}
+    for r in templates.top_templates(docs, made, 3).orderBy("doc_id", "position").collect():
+        got.setdefault(r["doc_id"], []).append((r["template_id"], r["score"]))
+    assert got == {d: rows[:3] for d, rows in ranked.items()}
