@@ -248,6 +248,24 @@ def u7(fx):
     return reg.apply_review(f).select("page_id", "field_id", "calibration_status", "derivation", "unassigned")
 
 
+RUN_COLUMNS = "page_id, field_id, x, y, w, h, label"
+
+
+@add("a23_same_result", f"""WITH a AS (SELECT {RUN_COLUMNS} FROM {{fx_field_prev}}), b AS (SELECT {RUN_COLUMNS} FROM {{fx_field}})
+SELECT *, 1 AS run FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) p UNION ALL SELECT *, 2 AS run FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) q""")
+def a23_same(fx):
+    """What two runs disagree on."""
+    cols = RUN_COLUMNS.split(", ")
+    return op.same_result(fx.fx_field_prev.select(*cols), fx.fx_field.select(*cols))
+
+
+@add("p14_overflow_shares")
+def p14_shares(fx):
+    """How many values of each template field, here a source and language, do not fit."""
+    v = fx.documents.select("source", "lang", "text", F.lit(320.0).alias("w"), (20 + c("n_chars") % 400).cast("double").alias("h"), F.lit("RIGID").alias("policy"))
+    return op.overflow_shares(op.overflow_audit(v), ["source", "lang"])
+
+
 @add("u8_model_catalogue", """SELECT template_id, name, CASE WHEN template_id % 3 = 0 THEN 'builtin' ELSE 'other' END AS "group", template_id IN (SELECT DISTINCT o_custkey % 50 FROM orders) AS is_default FROM {fx_registry} WHERE status = 'active'""")
 def u8(fx):
     r = fx.fx_registry.select("template_id", "name", "status")

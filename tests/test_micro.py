@@ -160,3 +160,12 @@ def test_fold_over_bands_equals_whole_page(table, monkeypatch):
     whole = sorted(map(tuple, layout.reconstruct_text(word, BY).collect()))
     monkeypatch.setattr(folds.fold_groups, "__defaults__", (10,))
     assert sorted(map(tuple, layout.reconstruct_text(word, BY).collect())) == whole
+
+
+def test_overflow_shares_and_differing_rows(table):
+    value = table([("s", "a b", 100.0, 40.0, "RIGID"), ("s", "word " * 400, 60.0, 20.0, "RIGID"), ("t", None, 60.0, 20.0, "RIGID")], "source string, text string, w double, h double, policy string")
+    shares = {r["source"]: (r["values"], r["overflowing"], r["overflow_share"]) for r in audit.overflow_shares(audit.overflow_audit(value), ["source"]).collect()}
+    assert shares == {"s": (2, 1, 0.5), "t": (1, 0, 0.0)}
+    once, twice = table([(1,), (1,), (2,)], "k int"), table([(1,), (2,), (3,)], "k int")
+    assert sorted(map(tuple, audit.same_result(once, twice).collect())) == [(1, 1), (3, 2)]
+    assert audit.same_result(once, once).isEmpty()
