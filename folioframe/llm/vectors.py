@@ -15,6 +15,7 @@ from folioframe.session import cut_lineage
 COLUMNS = 16  # dimensions between two tests
 BLOCK = 4096  # vectors or queries of a list that one task holds
 MOST_LISTS = 4096
+SAMPLE = 256  # queries whose neighbours are looked for everywhere, to learn how many lists to scan
 
 
 class Lists:
@@ -81,6 +82,47 @@ def hash_of(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw)
 
 
+def _true_ranks(batches, lists, sample, k):
+    """The ``k`` best vectors of the batches for each sampled query, itself aside, and the place of their list in the query's order of lists."""
+    own = {raw: q for q, raw in enumerate(sample)}
+    asked = lists.turned(np.frombuffer(b"".join(sample), dtype="<f8").reshape(len(sample), -1))
+    places = np.empty((len(sample), len(lists.centres)), dtype=np.int32)
+    np.put_along_axis(places, lists.nearest(asked, len(lists.centres)), np.arange(len(lists.centres), dtype=np.int32)[None, :], axis=1)
+    scores, ranks = np.full((len(sample), k), -np.inf, dtype=np.float32), np.zeros((len(sample), k), dtype=np.int32)
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            raws = batch.column(0).slice(at, BLOCK)
+            turned = lists.turned(_matrix(raws))
+            near = asked @ turned.T
+            for j, raw in enumerate(raws.to_pylist()):
+                if raw in own:
+                    near[own[raw], j] = -np.inf
+            every = np.concatenate([scores, near], axis=1)
+            best = np.argpartition(-every, k - 1, axis=1)[:, :k]
+            ranks = np.take_along_axis(np.concatenate([ranks, places[:, lists.nearest(turned, 1)[:, 0]]], axis=1), best, axis=1)
+            scores = np.take_along_axis(every, best, axis=1)
+    q, c = np.nonzero(scores > -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(scores[q, c]), pa.array(ranks[q, c])], names=["q", "score", "place"])
+
+
+def probes_for(vectors: DataFrame, questions: DataFrame, lists: Lists, k: int, recall: float, least: int) -> int:
+    """How many lists to scan for each query, at least ``least``, so that they hold ``recall`` of the ``k`` true neighbours of sampled queries."""
+    if len(lists.centres) <= least:
+        return least
+    sample = [bytes(r["raw"]) for r in questions.orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).select("raw").collect()]
+    if not sample:
+        return least
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "place")
+    places = (vectors.select("raw").mapInArrow(partial(_true_ranks, lists=lists, sample=sample, k=k), "q int, score float, place int")
+              .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("place").count().orderBy("place").collect())
+    held, total = 0, sum(r["count"] for r in places)
+    for r in places:
+        held += r["count"]
+        if held >= recall * total:
+            return max(least, r["place"] + 1)
+    return least
+
+
 def scan(query: np.ndarray, turned: np.ndarray, k: int, confidence: float = 2.1) -> np.ndarray:
     """Places of about the ``k`` rotated unit vectors next to a query, found block of columns by block of columns.
 
@@ -124,7 +166,7 @@ def _search(key, ours: pa.Table, theirs: pa.Table, lists, k):
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, probes: int = 48, sample_per_list: int = 64,
-                    seed: int = 11) -> DataFrame:
+                    seed: int = 11, recall: float = 0.96) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest cosine to each row of ``queries`` (rows of the same table), the row itself aside.
 
     Gives ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``, the cosine in double precision on the vectors as they are;
@@ -133,9 +175,10 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str = "vec_id",
     keep their ``k + 1`` least keys, which is all that k neighbours can need. Fewer rows than k give all; an empty table gives none.
 
     There are about as many lists as the root of the number of vectors, up to 4096, with centres from a sample of
-    ``sample_per_list`` vectors each. Every vector is in one list; ``probes`` lists are scanned for each query. A list or the
-    queries for it beyond 4096 are dealt to several tasks. Approximate: neighbours in lists that are not probed,
-    or that the test drops, are missed. The library's records have no vectors, so this works on any table with some.
+    ``sample_per_list`` vectors each. Every vector is in one list; at least ``probes`` lists are scanned for each query. Where there are more,
+    the neighbours of 256 queries are first looked for among all vectors, and as many lists are scanned for every query as hold
+    the share ``recall`` of these. A list or the queries for it beyond 4096 are dealt to several tasks. Approximate: neighbours
+    in lists that are not probed, or that the test drops, are missed. The library's records have no vectors, so this works on any table with some.
     """
     values = lambda frame: frame.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0) & F.col("id").isNotNull())
@@ -157,6 +200,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str = "vec_id",
     if not len(sample):
         sample = distinct.select("raw").limit(1).toPandas()["raw"]
     lists = Lists(np.frombuffer(b"".join(sample), dtype="<f8").reshape(len(sample), -1), count, seed)
+    probes = probes_for(distinct, questions, lists, k, recall, probes)
 
     def blocks(frame, probes):
         rows = frame.select("raw").mapInArrow(partial(_listed, lists=lists, probes=probes, dealt=None, other=None, names=["list"]), "list int").groupBy("list").count().collect()

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import sentencepiece
@@ -307,6 +308,19 @@ def test_nearest_vectors(spark):
     assert vectors.nearest_vectors(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_nearest_vectors_where_lists_exceed_probes(spark):
+    rng = np.random.default_rng(5)
+    n = 30_000  # 173 lists
+    values = rng.standard_normal((n, 64)).astype("float32")
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(values))}))
+    got = collections.defaultdict(set)
+    for r in vectors.nearest_vectors(table, table.where("vec_id % 100 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    hits = sum(len(got[q] & {k for k in np.argsort(-(unit @ unit[q]))[:6].tolist() if k != q}) for q in range(0, n, 100))
+    assert len(got) == 300 and hits >= 0.9 * 5 * 300
+
+
 # quality
 
 
