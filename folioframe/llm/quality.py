@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.llm.similar import similar_pages
 from folioframe.llm.texts import BY, annotate
 from folioframe.session import cut_lineage
 
@@ -82,11 +83,12 @@ def _measure(texts):
 
 
 def page_quality(pages: DataFrame, text: str = "text", host: str = "source", by: Sequence[str] = BY, least_words: int = 20, most_repeated: float = 30,
-                 most_share: float = 0.1, most_documents: int = 20, least_left: float = 0.3) -> DataFrame:
+                 most_documents: int = 20, least_left: float = 0.3) -> DataFrame:
     """Counts and verdict of every page text.
 
     A line (lower case, single spaces) is above the limit if more than ``most_documents`` different texts of its
-    host and more than ``most_share`` of the host's texts hold it; copies of one text count once. Such lines
+    host hold it, whatever the size of the host; copies and near copies of one text (classes of ``similar_pages``, which
+    only texts with such lines are sorted into) count once. Such lines
     count as removed (``removed``: hashes of the lines, as ``remove_lines`` takes them); a page that keeps less than
     ``least_left`` of its words is depleted. ``base_failed``: fewer than ``least_words`` words, or more than
     ``most_repeated`` per cent of them in repeated windows of eight. ``kept``: neither.
@@ -98,9 +100,14 @@ def page_quality(pages: DataFrame, text: str = "text", host: str = "source", by:
     measured = cut_lineage(annotate(slim, [*by, "host", "text_hash"], "text", FIELDS, _measure))
     # one row for each line of each different text of a host
     held = measured.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line_hash", "l.words").distinct()
-    texts = measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    above = (held.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > most_documents)
-             .join(texts, "host").where(F.col("documents") > F.col("texts") * most_share).select("host", "line_hash"))
+    often = held.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > most_documents).select("host", "line_hash")
+    holders = cut_lineage(held.join(often, ["host", "line_hash"]).select("host", "line_hash", "text_hash"))
+    key = F.xxhash64("host", "text_hash").alias("text_key")
+    told = slim.select(key, "text").join(holders.select(key).distinct(), "text_key", "left_semi")
+    classes = similar_pages(told, by=("text_key",)).select("text_key", "class_id").distinct()
+    above = (holders.withColumn("text_key", key).join(classes, "text_key").select("host", "line_hash", "class_id").distinct()
+             .groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > most_documents).select("host", "line_hash"))
+    above = cut_lineage(above)
     lost = (held.join(above, ["host", "line_hash"]).groupBy("host", "text_hash")
             .agg(F.sum("words").alias("lost"), F.collect_set("line_hash").alias("removed")))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))

@@ -336,6 +336,16 @@ def test_quality_counts_and_lines(spark, pages):
     assert quality.page_quality(pages([])).count() == 0
 
 
+def test_quality_limit_is_the_same_for_big_hosts(pages):
+    line = "tutti i diritti sono riservati alla casa"
+    rows = [(k, 1, f"{prose(k, 40)}\n{line if k < 25 else prose(-k, 7)}") for k in range(400)]
+    copy = [prose(9000 + k, 12) for k in range(20)]
+    rows += [(1000 + k, 1, "\n".join([*copy, f"copia {k}"])) for k in range(50)]  # near copies of one text count once
+    got = {r.doc_id: r for r in quality.page_quality(pages(rows)).collect()}
+    assert all(len(got[k].removed) == (k < 25) for k in range(400))
+    assert not any(got[1000 + k].removed for k in range(50)) and got[1000].kept
+
+
 def test_repeated_words_match_plain_loops():
     rng = random.Random(8)
     for _ in range(200):
