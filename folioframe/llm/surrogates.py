@@ -42,17 +42,17 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # One pattern for everything that holds a digit or an @; the first kind that fits at a place wins.
 CODED = re.compile("|".join([
     r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)",
-    r"(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?(?P<secret>[A-Za-z0-9_/+-]{8,})",
+    r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?(?P<secret>[A-Za-z0-9_/+-]{8,})",
     r"(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|gho_|sk-)[A-Za-z0-9]{20,})",
     r"(?P<taxcode>(?<![A-Za-z0-9])[A-Z]{6}\d\d[ABCDEHLMPRST]\d\d[A-Z]\d{3}[A-Z](?![A-Za-z0-9]))",
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
-    r"(?P<hex>(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,}(?![A-Za-z0-9]))",
+    r"(?P<hex>(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{32,}(?![A-Za-z0-9]))",
     rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))",
     r"(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))",
-    r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
+    r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]))",
 ]))
-_MARK = re.compile(r"[0-9@]|(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:]")
+_MARK = re.compile(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:]")
 ENTITY = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()),
                        T.StructField("canonical", T.StringType()), T.StructField("found", T.StringType())])
 
@@ -70,6 +70,28 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def cards_in(run: str) -> list[tuple[int, int]]:
+    """Places of the valid card numbers of a run of digits; each begins and ends where a group of digits does, the longest first."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    out: list[tuple[int, int]] = []
+    k = 0
+    while k < len(groups):
+        best, n = None, 0
+        for e in range(k, len(groups)):
+            n += groups[e][1] - groups[e][0]
+            if n > 19:
+                break
+            digits = re.sub(r"\D", "", run[groups[k][0]:groups[e][1]])
+            if n >= 13 and not luhn(digits) and len(set(digits)) > 1:
+                best = e
+        if best is None:
+            k += 1
+        else:
+            out.append((groups[k][0], groups[best][1]))
+            k = best + 1
+    return out
+
+
 def script_of(name: str) -> str:
     first = next((c for c in name if c.isalpha()), "a")
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" or "ἀ" <= first <= "῿" else "latin"
@@ -111,7 +133,9 @@ def entities_of(text: str) -> list[tuple[int, int, str, str, str]]:
         for m in CODED.finditer(text, max(low, done), high):
             kind = m.lastgroup
             found = m.group(kind)
-            if kind == "card" and (luhn(re.sub(r"\D", "", found)) or len(set(found)) < 3):
+            if kind == "card":
+                for start, end in cards_in(found):
+                    out.append((m.start() + start, m.start() + end, kind, canonical_of(kind, found[start:end]), found[start:end]))
                 continue
             if kind == "secret" and not any(c.isdigit() for c in found):
                 continue
@@ -150,7 +174,7 @@ class _Stream:
         out = []
         for c in text:
             if hexed:
-                out.append("0123456789abcdef"[self.below(16)])
+                out.append(("0123456789ABCDEF" if text.isupper() else "0123456789abcdef")[self.below(16)])
             elif c.isdigit():
                 out.append("0123456789"[self.below(10)])
             elif c.isascii() and c.isalpha():
@@ -193,7 +217,7 @@ def stand_in(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         return f"{gender}:{' '.join([*given, last])}"
     head = re.match(r"AKIA|ASIA|ghp_|gho_|sk-", canonical)
     cut = head.end() if head else 0
-    return canonical[:cut] + s.alike(canonical[cut:], re.fullmatch(r"[0-9a-f]{8,}", canonical) is not None)
+    return canonical[:cut] + s.alike(canonical[cut:], re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", canonical) is not None)
 
 
 def shaped(kind: str, stand: str, found: str) -> str:

@@ -393,6 +393,18 @@ def test_surrogates_keep_kind_and_identity(pages):
     assert surrogates.replace_entities(pages([]), b"key").count() == 0
 
 
+def test_surrogates_in_any_case_and_cards_within_digits():
+    secret = "9233A8ECF7D04B61"
+    for text in (f'TOKEN = "{secret}"', f"PASSWORD={secret}", f"Api_Key: {secret}", f"id {secret * 2} x"):
+        assert [(e[2], e[4]) for e in surrogates.entities_of(text)] == [("secret", secret * (1 + text.startswith("id")))], text
+    card = "4785 3805 9239 1139"
+    for text in (f"{card} 12/25", f"{card.replace(' ', '')} 123", f"room 3 {card.replace(' ', '')}", f"pay {card} {card} now", f"{card.replace(' ', '')}."):
+        found = [e for e in surrogates.entities_of(text) if e[2] == "card"]
+        assert len(found) == 1 + text.startswith("pay") and all(e[3] == "4785380592391139" for e in found), text
+        assert all(text[e[0]:e[1]] == e[4] for e in found)
+    assert not surrogates.entities_of("4785 3805 9239 1138") and not surrogates.entities_of("0000 0000 0000 0000")
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     # a generator with few results clashes all the time
     entities = spark.createDataFrame([("ssn", f"{k:09d}") for k in range(40)], "kind string, canonical string")
