@@ -76,25 +76,24 @@ def _search(notices: tuple[tuple[str, str], ...]):
 def near_notices(line: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int, str]]:
     """Places of ``line`` (words with single spaces) that read like a notice with its bounded number of edits."""
     found, patterns = _search(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: set[tuple[int, int, int]] = set()
     for end, (length, uses) in found.iter(line):
         for k, at in uses:
             notice = notices[k][0]
             slack = edits_of(notice)
             start = end + 1 - length - at  # where the notice would begin without insertions
             low, high = max(0, start - slack - 1), min(len(line), start + len(notice) + 2 * slack + 1)
-            seen = windows.setdefault(k, [])
-            if seen and low <= seen[-1][1]:
-                seen[-1][0], seen[-1][1] = min(low, seen[-1][0]), max(high, seen[-1][1])
-            else:
-                seen.append([low, high])
+            high = line.find(" ", high)  # a window holds whole words
+            windows.add((k, line.rfind(" ", 0, low + 1) + 1, len(line) if high < 0 else high))
     spans = []
-    for k, places in windows.items():
-        for low, high in places:
-            for m in patterns[k].finditer(line, low, high):
-                # the words it holds in full; a window's border never cuts one
-                if m.end() > m.start() and (m.start() == 0 or line[m.start() - 1] == " ") and (m.end() == len(line) or line[m.end()] == " "):
-                    spans.append((notices[k][1], m.start(), m.end(), sum(m.fuzzy_counts), m.group()))
+    while windows:
+        k, low, high = windows.pop()
+        # the best of the window comes first, worse ones stand before and after it
+        m = patterns[k].search(line, low, high)
+        if m and m.end() > m.start():
+            if (m.start() == 0 or line[m.start() - 1] == " ") and (m.end() == len(line) or line[m.end()] == " "):
+                spans.append((notices[k][1], m.start(), m.end(), sum(m.fuzzy_counts), m.group()))
+            windows |= {(k, lo, hi) for lo, hi in ((low, m.start() - 1), (m.end(), high)) if hi - lo >= len(notices[k][0]) - edits_of(notices[k][0])}
     kept: list[tuple[str, int, int, int, str]] = []
     for s in sorted(set(spans), key=lambda s: (s[3], s[1] - s[2], s[1], s[0])):  # of two at one place, the better reading
         if all(s[2] <= k[1] or k[2] <= s[1] for k in kept):

@@ -96,6 +96,29 @@ def test_licenses_match_plain_search():
         assert found <= plain and (not plain or found) and (label in found or label not in plain or {"gpl-2", "gpl-3"} & found)
 
 
+def test_licenses_find_every_place():
+    notices = tuple(licenses.NOTICES.items())
+    line = "foo under the mit licence or under the mit license bar"
+    assert [s[1:4] for s in licenses.near_notices(line, notices)] == [(4, 25, 1), (29, 50, 0)]
+    rng = random.Random(4)
+    notice, bound = "under the mit license", 2
+    for _ in range(40):
+        words = []
+        for _ in range(12):
+            letters = list(notice)
+            for at in rng.sample([k for k, c in enumerate(letters) if c != " "], rng.randint(0, bound + 1)):
+                letters[at] = "q"
+            words += ["".join(letters), rng.choice(["or", "license", "so the mit"])]
+        line = " ".join(words)
+        plain = set()
+        for at in range(len(line) - len(notice) + 1):  # letters are replaced only, so a place has the length of the notice
+            if (at == 0 or line[at - 1] == " ") and line[at + len(notice):at + len(notice) + 1] in ("", " "):
+                if sum(a != b for a, b in zip(notice, line[at:])) <= bound:
+                    plain.add(at)
+        found = [s for s in licenses.near_notices(line, notices) if s[0] == "mit"]
+        assert all(any(s[1] < at + len(notice) and at < s[2] for s in found) for at in plain) and len(found) >= len(plain)
+
+
 def test_licenses_base_and_edges(pages):
     text = "Under the MIT License. under the mit license; CC BY-NC 4.0 and the Apache License, Version 2; under the nit licence"
     rows = by_row(licenses.license_notices(pages([(1, 1, text), *EDGES[1:]])))
