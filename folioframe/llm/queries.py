@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from folioframe.llm import language, licenses, packing, pieces, quality, similar, surrogates, token_files, urls, vectors
+from folioframe.llm import centroids, contamination, language, licenses, oracles, packing, pieces, quality, similar, spelling, surrogates, token_files, urls, vectors
 
 BY = ("doc_id",)
 BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -71,6 +71,22 @@ def op10_surrogates(spark, sf_dir):
     return surrogates.replace_entities(documents(spark, sf_dir), SURROGATE_KEY, by=BY).select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
 
 
+def op11_centroids(spark, sf_dir):
+    found = centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digests = found.centroids.select("cluster", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+    return found.assigned.join(digests, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_contamination(spark, sf_dir):
+    found = contamination.page_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by=BY)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_spelling(spark, sf_dir):
+    counts = spelling.count_words(documents(spark, sf_dir), misread_every=31)
+    return spelling.spelling_variants(counts)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -78,5 +94,5 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_licenses, op3_packing, op4_urls, op5_token_files, op6_similar, op7_vectors, op8_quality, op9_pieces,
-                                   op10_surrogates, pipeline)}
-ORACLES: dict[str, str] = {}
+                                   op10_surrogates, op11_centroids, op12_contamination, op13_spelling, pipeline)}
+ORACLES: dict[str, str] = oracles.SQL
