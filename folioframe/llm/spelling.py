@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -149,7 +150,7 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
 
 def spelling_variants(words: DataFrame, word: str = "word", n: str = "n", min_length: int = MIN_LENGTH, least: int = 2, ratio: int = 10,
-                      symbols: int = SYMBOLS) -> DataFrame:
+                      symbols: int | None = None) -> DataFrame:
     """Which words are rare spellings of a frequent near word, and the word at the end of such a chain.
 
     ``words`` has one row for each scanned word and its number ``n`` (as ``count_words`` gives); words of at least ``min_length`` code points
@@ -158,7 +159,8 @@ def spelling_variants(words: DataFrame, word: str = "word", n: str = "n", min_le
     Gives ``word``, ``form``, ``root``, ``n``, ``n_near``, ``form_n`` for every word that takes part.
 
     Counts rise by ``ratio`` along a chain, so following it takes few steps and always ends. Rows of one word are added up; null words and words without a
-    number are left out; an empty table gives no rows; other columns are not read.
+    number are left out; an empty table gives no rows; other columns are not read. ``symbols`` grows with the vocabulary if not given, so that
+    a reduced word stands for a few words at any size; the rows do not depend on it.
     """
     if ratio < 2:
         raise ValueError("forms of a ratio below 2 may lead in circles")
@@ -166,6 +168,8 @@ def spelling_variants(words: DataFrame, word: str = "word", n: str = "n", min_le
              .where((F.col("n") >= least) & (F.length("word") >= min_length)))
     vocabulary = cut_lineage(taken)
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near")))
+    if symbols is None:
+        symbols = max(SYMBOLS, math.ceil((vocabulary.count() / 64) ** (1 / max(min_length, 1))))
     near = near_words(vocabulary, symbols).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     strong = -F.col("best.less") >= ratio * F.col("n")
     forms = cut_lineage(vocabulary.join(near, "word", "left").select(
