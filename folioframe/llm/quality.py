@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.similar import similar_pages
 from folioframe.llm.texts import BY, annotate
 from folioframe.session import cut_lineage
 
@@ -83,32 +82,35 @@ def _measure(texts):
 
 
 def page_quality(pages: DataFrame, text: str = "text", host: str = "source", by: Sequence[str] = BY, least_words: int = 20, most_repeated: float = 30,
-                 most_documents: int = 20, least_left: float = 0.3) -> DataFrame:
+                 most_documents: int = 20, copied_share: float = 0.3, least_left: float = 0.3) -> DataFrame:
     """Counts and verdict of every page text.
 
-    A line (lower case, single spaces) is above the limit if more than ``most_documents`` different texts of its
-    host hold it, whatever the size of the host; copies and near copies of one text (classes of ``similar_pages``, which
-    only texts with such lines are sorted into) count once. Such lines
+    A line (lower case, single spaces) is often repeated if more than ``most_documents`` different texts of its host hold it, whatever the
+    size of the host. Documents are counted by a sketch of their lines, so that near copies count once: a text of whose words
+    ``copied_share`` or more stand in often repeated lines counts as the least hash of these lines, any other as itself. Lines in more than
+    ``most_documents`` documents are above the limit: they
     count as removed (``removed``: hashes of the lines, as ``remove_lines`` takes them); a page that keeps less than
     ``least_left`` of its words is depleted. ``base_failed``: fewer than ``least_words`` words, or more than
     ``most_repeated`` per cent of them in repeated windows of eight. ``kept``: neither.
+
     Gives ``by``, the five counts, ``words_left``, ``removed``, ``base_failed``, ``kept`` and ``text_hash`` (``xxhash64``). A null text counts as empty
-    (all counts 0, not kept), a null host as a host of its own; repeated rows stay.
+    (all counts 0, not kept), a null host as a host of its own; repeated rows stay; an empty table gives no rows; texts are read whole and only hashes of
+    lines are shuffled.
     """
     slim = pages.select(*by, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
                         F.col(text).cast("string").alias("text"))
     measured = cut_lineage(annotate(slim, [*by, "host", "text_hash"], "text", FIELDS, _measure))
-    # one row for each line of each different text of a host
-    held = measured.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line_hash", "l.words").distinct()
-    often = held.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > most_documents).select("host", "line_hash")
-    holders = cut_lineage(held.join(often, ["host", "line_hash"]).select("host", "line_hash", "text_hash"))
-    key = F.xxhash64("host", "text_hash").alias("text_key")
-    told = slim.select(key, "text").join(holders.select(key).distinct(), "text_key", "left_semi")
-    classes = similar_pages(told, by=("text_key",)).select("text_key", "class_id").distinct()
-    above = (holders.withColumn("text_key", key).join(classes, "text_key").select("host", "line_hash", "class_id").distinct()
-             .groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > most_documents).select("host", "line_hash"))
-    above = cut_lineage(above)
-    lost = (held.join(above, ["host", "line_hash"]).groupBy("host", "text_hash")
+    count = F.count(F.lit(1)).alias("n")
+    # the lines of each different text of a host
+    held = measured.select("host", "text_hash", "n_words", "lines").dropDuplicates(["host", "text_hash"]).select("host", "text_hash", "n_words", F.inline("lines"))
+    often = cut_lineage(held.groupBy("host", "line_hash").agg(count).where(F.col("n") > most_documents).select("host", "line_hash"))
+    holders = cut_lineage(held.join(often, ["host", "line_hash"]))
+    share = F.sum("words") / F.max("n_words")
+    sketches = holders.groupBy("host", "text_hash").agg(share.alias("share"), F.min(F.xxhash64("line_hash")).alias("least")).select(
+        "host", "text_hash", F.when(F.col("share") >= copied_share, F.col("least")).otherwise(F.col("text_hash")).alias("sketch"))
+    above = cut_lineage(holders.join(sketches, ["host", "text_hash"]).select("host", "line_hash", "sketch").distinct()
+                        .groupBy("host", "line_hash").agg(count).where(F.col("n") > most_documents).select("host", "line_hash"))
+    lost = (holders.join(above, ["host", "line_hash"]).groupBy("host", "text_hash")
             .agg(F.sum("words").alias("lost"), F.collect_set("line_hash").alias("removed")))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
