@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from functools import lru_cache, partial
 
@@ -96,9 +97,10 @@ def near_notices(line: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[
             windows |= {(k, lo, hi) for lo, hi in ((low, m.start() - 1), (m.end(), high)) if hi - lo >= len(notices[k][0]) - edits_of(notices[k][0])}
     kept: list[tuple[str, int, int, int, str]] = []
     for s in sorted(set(spans), key=lambda s: (s[3], s[1] - s[2], s[1], s[0])):  # of two at one place, the better reading
-        if all(s[2] <= k[1] or k[2] <= s[1] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s[1])
+        at = bisect_left(kept, s[1], key=lambda k: k[1])
+        if (at == 0 or kept[at - 1][2] <= s[1]) and (at == len(kept) or s[2] <= kept[at][1]):
+            kept.insert(at, s)
+    return kept
 
 
 def _scan(texts, exact, notices):
@@ -107,13 +109,18 @@ def _scan(texts, exact, notices):
         words = words_of(text)
         line = b" ".join(words).decode()
         framed = f" {line} "
-        starts, base = [], set()
+        places, base = [], set()
         for phrase, label in exact:
             at = framed.find(f" {phrase} ")
             while at >= 0:
-                starts.append(framed.count(" ", 0, at))
+                places.append(at)
                 base.add(label)
                 at = framed.find(f" {phrase} ", at + 1)
+        starts, passed, n = [], 0, 0
+        for at in sorted(places):
+            n += framed.count(" ", passed, at)
+            starts.append(n)
+            passed = at
         spans = near_notices(line, notices)
         labels = base | {s[0] for s in spans}
         lengths = {}

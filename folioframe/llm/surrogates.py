@@ -38,10 +38,13 @@ SYLLABLES = {"latin": "ba be bo da de di fa fi ga gi la le lo ma mi na ne no ra
 _TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
 _PERSON = r"(?<!\w)(?:{})\.?[  ](?P<person>[^\W\d_a-zа-яα-ω][\w'’-]*(?:[  ][^\W\d_a-zа-яα-ω][\w'’-]*){{0,2}})".format("|".join(re.escape(t) for t in sorted(_TITLE_OF, key=len, reverse=True)))
 PERSON = re.compile(_PERSON)
+# Capitalised words, alone and in a row.
+_NAME = re.compile(r"(?<![\w@.-])[^\W\d_a-zа-яα-ω][\w'’-]*(?![\w@])")
+_NAMES = re.compile(r"(?<![\w@.-])[^\W\d_a-zа-яα-ω][\w'’-]*(?:[ \u00a0][^\W\d_a-zа-яα-ω][\w'’-]*)*(?![\w@])")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # One pattern for everything that holds a digit or an @; the first kind that fits at a place wins.
 CODED = re.compile("|".join([
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)",
+    r"(?P<email>(?<!\w)\w[\w.%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)",
     r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?[\"']?(?P<secret>[A-Za-z0-9_/+-]{8,})",
     r"(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|gho_|sk-)[A-Za-z0-9]{20,})",
     r"(?P<taxcode>(?<![A-Za-z0-9])[A-Z]{6}\d\d[ABCDEHLMPRST]\d\d[A-Z]\d{3}[A-Z](?![A-Za-z0-9]))",
@@ -92,6 +95,21 @@ def cards_in(run: str) -> list[tuple[int, int]]:
     return out
 
 
+# What a character of a tax code counts in odd places, for 0-9 and again A-J, then K-Z; in even places it is its number.
+_ODD = [int(n) for n in "1 0 5 7 9 13 15 17 19 21 2 4 18 20 11 3 6 8 12 14 16 10 22 25 24 23".split()]
+
+
+def tax_letter(code: str) -> str:
+    """The check letter that follows the 15 characters of a tax code."""
+    numbers = [int(c) if c.isdigit() else ord(c) - 65 for c in code[:15]]
+    return chr(65 + sum(n if k % 2 else _ODD[n] for k, n in enumerate(numbers)) % 26)
+
+
+def iban_digits(country: str, account: str) -> str:
+    """The two check digits of an IBAN."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{account}{country}00')) % 97:02d}"
+
+
 def script_of(name: str) -> str:
     first = next((c for c in name if c.isalpha()), "a")
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" or "ἀ" <= first <= "῿" else "latin"
@@ -143,11 +161,8 @@ def entities_of(text: str) -> list[tuple[int, int, str, str, str]]:
                 kind = "secret"
             out.append((m.start(m.lastgroup), m.end(m.lastgroup), kind, canonical_of(kind, found), found))
         done = max(done, out[-1][1] if out else 0)
-    for m in PERSON.finditer(text):
-        title = text[m.start():m.start("person")].rstrip(" . ")
-        gender = _TITLE_OF.get(title) or _TITLE_OF.get(f"{title}.") or "n"
-        out.append((m.start("person"), m.end("person"), "person", canonical_of("person", m.group("person"), gender), m.group("person")))
-    out.sort()
+    out += people_of(text)
+    out.sort(key=lambda e: (e[0], -e[1]))
     kept: list[tuple[int, int, str, str, str]] = []
     for e in out:
         if not kept or e[0] >= kept[-1][1]:
@@ -155,6 +170,57 @@ def entities_of(text: str) -> list[tuple[int, int, str, str, str]]:
     return kept
 
 
+def people_of(text: str) -> list[tuple[int, int, str, str, str]]:
+    """Names after titles, and all later and earlier mentions of these people in the text.
+
+    Mentions with one surname are one person if their given names agree or are missing; the fullest name and any title that tells the gender
+    make the canonical form. Untitled mentions count if they have the surname as a title has it, alone or after the given names.
+    """
+    titled = []
+    for m in PERSON.finditer(text):
+        title = text[m.start():m.start("person")].rstrip(" .\u00a0")
+        titled.append((m.start("person"), m.group("person"), _TITLE_OF.get(title) or _TITLE_OF.get(f"{title}.") or "n"))
+    if not titled:
+        return []
+    people: list[dict] = []
+    # the fullest names come first, so that a bare surname joins the one person who has it
+    for _, name, gender in sorted(titled, key=lambda t: (-len(t[1].split()), t[0])):
+        *given, last = name.split()
+        given = [g.casefold() for g in given]
+        fits = [p for p in people if p["last"].casefold() == last.casefold() and p["given"][:len(given)] == given and (gender == "n" or p["gender"] in ("n", gender))]
+        if fits:
+            fits[0]["gender"] = gender if fits[0]["gender"] == "n" else fits[0]["gender"]
+        else:
+            people.append({"last": last, "given": given, "gender": gender})
+    surnames: dict[str, list[dict]] = {}
+    for person in people:
+        surnames.setdefault(person["last"].casefold(), []).append(person)
+    spelled = {name.split()[-1] for _, name, _ in titled}
+    genders = {at: gender for at, _, gender in titled}
+    out = []
+    for m in _NAMES.finditer(text):
+        words = [(w.start(), w.end(), w.group()) for w in _NAME.finditer(text, m.start(), m.end())]
+        first = 0
+        for k, (start, end, word) in enumerate(words):
+            if start in genders:
+                first = k
+            if word not in spelled:
+                continue
+            same = surnames[word.casefold()]
+            # given names before it; words that only begin a sentence are none
+            for at in range(max(first, k - 2), k + 1):
+                given = [w.casefold() for _, _, w in words[at:k]]
+                told = genders.get(words[at][0], "n")
+                fits = [p for p in same if p["given"][:len(given)] == given and (told == "n" or p["gender"] in ("n", told))]
+                if fits:
+                    p = fits[0]
+                    canonical = canonical_of("person", " ".join([*p["given"], p["last"]]), p["gender"])
+                    out.append((words[at][0], end, "person", canonical, text[words[at][0]:end]))
+                    break
+            first = k + 1
+    return out
+
+
 class _Stream:
     """Keyed choices that depend on nothing but key, entity and attempt."""
 
@@ -177,7 +243,7 @@ class _Stream:
                 out.append(("0123456789ABCDEF" if text.isupper() else "0123456789abcdef")[self.below(16)])
             elif c.isdigit():
                 out.append("0123456789"[self.below(10)])
-            elif c.isascii() and c.isalpha():
+            elif c.isalpha():
                 out.append(chr((65 if c.isupper() else 97) + self.below(26)))
             else:
                 out.append(c)
@@ -185,13 +251,17 @@ class _Stream:
 
 
 def stand_in(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
-    """The canonical form of the stand-in: the same kind, length, script and gender, valid where the entity is."""
+    """The canonical form of the stand-in: the same kind, length, script and gender, with valid check digits.
+
+    Every eighth attempt makes e-mail names and numbers one place longer, so the space of stand-ins never runs out.
+    """
     s = _Stream(key, kind, canonical, attempt)
+    longer = "0" * (attempt // 8)
     if kind == "email":
         name, _, host = canonical.rpartition("@")
         labels = host.split(".")
         own = _Stream(key, "host", host)  # one host, one stand-in
-        return f"{s.alike(name)}@{'.'.join([own.alike(x) for x in labels[:-2]] + [own.alike(labels[-2]), labels[-1]])}"
+        return f"{s.alike(name + longer)}@{'.'.join([own.alike(x) for x in labels[:-2]] + [own.alike(labels[-2]), labels[-1]])}"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
@@ -202,12 +272,14 @@ def stand_in(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         if canonical.startswith("+"):
             keep = 2 if canonical[1] in "17" else 3 if canonical[1:3] in _TWO_DIGITS else 4
         keep = min(len(canonical) - 4, keep)
-        return canonical[:keep] + s.alike(canonical[keep:])
+        return canonical[:keep] + s.alike(canonical[keep:] + longer)
     if kind == "iban":
-        return canonical[:2] + s.alike(canonical[2:])
+        account = s.alike(canonical[4:])
+        return canonical[:2] + iban_digits(canonical[:2], account) + account
     if kind == "taxcode":  # the day tells the gender: above 40 for women
         day = 1 + s.below(28) + (40 if int(canonical[9:11]) > 40 else 0)
-        return f"{s.alike(canonical[:8])}{'ABCDEHLMPRST'[s.below(12)]}{day:02d}{s.alike(canonical[11:])}"
+        code = f"{s.alike(canonical[:8])}{'ABCDEHLMPRST'[s.below(12)]}{day:02d}{s.alike(canonical[11:15])}"
+        return code + tax_letter(code)
     if kind == "person":
         gender, _, name = canonical.partition(":")
         script, words = script_of(name), name.split(" ")
@@ -224,9 +296,10 @@ def shaped(kind: str, stand: str, found: str) -> str:
     """A stand-in in the spelling of the place it goes to."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(stand.lstrip("+"))
-        return "".join(next(left) if c.isalnum() else c for c in found)
+        return "".join(next(left) if c.isalnum() else c for c in found) + "".join(left)
     if kind == "person":
-        stand = stand.partition(":")[2]
+        *given, last = stand.partition(":")[2].split(" ")
+        stand = " ".join([*given[:len(found.split()) - 1], last])
         return stand.upper() if found.isupper() and len(found) > 1 else stand
     if kind == "email":
         return stand.upper() if found.isupper() else stand
@@ -302,11 +375,12 @@ FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 def replace_entities(pages: DataFrame, key: bytes, text: str = "text", by: Sequence[str] = BY, carry: Sequence[str] = ()) -> DataFrame:
     """``by``, ``carry`` and ``text`` with every entity replaced, and ``entities`` (start, end, kind, stand_in).
 
-    Kinds: e-mail, secret, tax code, IBAN, IP, phone, social security number, card, person (a name after a title). A
+    Kinds: e-mail, secret, tax code, IBAN, IP, phone, social security number, card, person (a name after a title, and every other mention in that text). A
     stand-in depends on ``key`` and the entity alone, so it is the same on every page; it keeps length, separators,
     country, issuer, check digit, gender and script. Different entities get different stand-ins, none of which is an
     entity of the corpus: the few that would clash are found by a join over all entities and drawn again.
-    Places count characters of the original. Null texts stay null and have no entities; repeated rows stay. Texts are
+    IBANs and tax codes count as found even if mistyped; their stand-ins are valid.
+    Places count characters of the original. An empty table gives no rows; texts are read whole. Null texts stay null and have no entities; repeated rows stay. Texts are
     not shuffled unless clashes are so many that their pages can't be sent along.
     """
     keep = [c for c in dict.fromkeys([*by, *carry]) if c not in (text, "entities")]
@@ -314,7 +388,8 @@ def replace_entities(pages: DataFrame, key: bytes, text: str = "text", by: Seque
     row_key = F.xxhash64(*by)  # equal for a few pages by chance: they only learn of more stand-ins
     found = cut_lineage(slim.select(row_key.alias("row_key"), F.col(text).alias("text")).mapInArrow(_entities, "row_key long, kind string, canonical string"), compression="zstd")
     moved = settled(found.select("kind", "canonical").distinct(), key)
-    over = (found.join(moved, ["kind", "canonical"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "canonical", "stand")).alias("__over")))
+    # written, so that its size is known and texts stay where they are if it is small
+    over = cut_lineage(found.join(moved, ["kind", "canonical"]).groupBy("row_key").agg(F.collect_set(F.struct("kind", "canonical", "stand")).alias("__over")))
     joined = slim.withColumn("row_key", row_key).join(over, "row_key", "left").select(*keep, text, "__over")
     schema = T.StructType([*slim.schema.fields, T.StructField("entities", FOUND)])
     at = len(keep)
