@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.numbers import half_up, let, round_to
+from folioframe.plans.candidates import Classed, PageRange, Range, best_of, class_pairs, classed, mean_bound, meet, page_ratio
 from folioframe.plans.spatial import PAGE
 from folioframe.session import cut_lineage
 
@@ -109,26 +110,34 @@ def match_band(score: Column) -> Column:
     return F.when(score >= 99, "IDENTICAL").when(score >= 95, "COMPATIBLE").when(score >= 85, "DERIVED").otherwise("DIFFERENT")
 
 
-def _in_band(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
-    """Rows of both sides whose page counts differ by at most ``ratio`` (smaller over larger).
+# Rounding of page scores and of the total lifts a score above its bound by less than this.
+_ROUNDED = 0.02
 
-    The band is resolved on the distinct page counts, which are few; the profiles then meet by equality.
-    """
-    a = left.select(F.col("page_count").alias("_pa")).distinct()
-    b = right.select(F.col("t_page_count").alias("_pb")).distinct()
-    near = a.join(b, F.least("_pa", "_pb") >= F.greatest("_pa", "_pb") * F.lit(ratio))
-    return left.join(near, F.col("page_count") == F.col("_pa")).join(right, F.col("t_page_count") == F.col("_pb")).drop("_pa", "_pb")
 
+def _score_bound() -> Column:
+    """Upper bound of :func:`match_score` for a pair of profile classes."""
+    def page(a: PageRange, b: PageRange) -> Column:
+        apart, v = a.w.apart(b.w) + a.h.apart(b.h), a.vec.likeness(b.vec)
+        turned = F.when(a.rot.meets(b.rot), 1.0).otherwise(0.5)
+        geometry = (F.greatest(F.lit(0.0), 1 - apart / 100) * 0.35 + v * 0.4 + turned * 0.15 + F.greatest(F.lit(0.0), 1 - apart / 200) * 0.1) * 100
+        structure = (v * 0.3 + a.ras.likeness(b.ras) * 0.2 + a.txt.likeness(b.txt) * 0.2 + 0.3) * 100
+        # equal hashes score 100, and only pages of equal size and counts have them
+        equal_g = a.vec.meets(b.vec) & a.w.meets(b.w) & a.h.meets(b.h) & a.rot.meets(b.rot)
+        equal_s = a.vec.meets(b.vec) & a.ras.meets(b.ras)
+        return (F.when(equal_g, 100.0).otherwise(F.least(F.lit(98.5), geometry)) + F.when(equal_s, 100.0).otherwise(F.least(F.lit(98.5), structure))) / 2
 
-def match_score(document: DataFrame, template: DataFrame, doc: str = "doc_id", ratio: float = 0.85) -> DataFrame:
-    """Similarity of documents and templates whose page counts allow ``ratio`` or more.
+    return F.least(F.lit(100.0), mean_bound(page) + _ROUNDED)
 
-    Documents with one and the same profile are scored once. A score cannot exceed 100·min/max of the page counts, so
-    every pair that can reach 100·``ratio`` is here; ``ratio=0`` scores all.
-    """
-    t = template.select(*[F.col(c).alias("t_" + c) for c in template.columns])
-    shape = document.dropDuplicates(["fingerprint"]).select("fingerprint", "page_count", "confidence", "pages")
-    pairs = _in_band(shape, t, ratio)
+
+def _classes(shape: DataFrame, template: DataFrame) -> Classed:
+    """Classes of document shapes (by fingerprint) and of templates, whose columns come back with ``t_``."""
+    sides = classed(shape, template, "fingerprint", "template_id")
+    renamed = sides.right.select(*[F.col(c).alias("t_" + c) for c in template.columns], "_class")
+    return sides._replace(right=renamed)
+
+
+def _scored(pairs: DataFrame, more: Sequence[str]) -> DataFrame:
+    """Scores of document shapes and templates that stand in one row."""
     most, least = F.greatest("page_count", "t_page_count"), F.least("page_count", "t_page_count")
     both = F.transform(F.sequence(F.lit(0), F.least(F.size("pages"), F.size("t_pages")) - 1), lambda i: let(F.get("pages", i), lambda p: let(
         F.get("t_pages", i), lambda q: F.struct(_page_geometry(p, q).alias("g"), _page_structure(p, q).alias("s")))))
@@ -139,21 +148,42 @@ def match_score(document: DataFrame, template: DataFrame, doc: str = "doc_id", r
         "geometry_score": F.when(same, 100.0).otherwise(round_to(F.col("_s.g") / 100 / most, 2)),
         "structure_score": F.when(same, 100.0).otherwise(round_to(F.col("_s.s") / 100 / most, 2))})
     scored = scored.withColumn("score", F.when(same, 100.0).otherwise(round_to(F.col("geometry_score") * 0.5 + F.col("structure_score") * 0.5, 2)))
-    result = scored.select(
+    return scored.select(
         "fingerprint", F.col("t_template_id").alias("template_id"), "score", "geometry_score", "structure_score",
         F.when(same, F.col("page_count")).otherwise(F.col("_s.n")).cast("bigint").alias("matched_pages"), most.alias("total_pages"),
         F.when(same, 1.0).otherwise(round_to(F.least("confidence", "t_confidence") * (least / most), 2)).alias("match_confidence"),
-        match_band(F.col("score")).alias("band"), *[F.col("t_" + c).alias(c) for c in ("ord", "status", "school_order", "validity_year") if c in template.columns])
-    return document.select(doc, "fingerprint").join(result, "fingerprint").drop("fingerprint")
+        match_band(F.col("score")).alias("band"), *[F.col("t_" + c).alias(c) for c in more])
+
+
+def _shapes(document: DataFrame) -> DataFrame:
+    """Documents with one and the same profile are scored once."""
+    return document.dropDuplicates(["fingerprint"]).select("fingerprint", "page_count", "confidence", "pages")
+
+
+_MORE = ("ord", "status", "school_order", "validity_year")
+
+
+def match_score(document: DataFrame, template: DataFrame, doc: str = "doc_id", ratio: float = 0.85, least: float = 0.0) -> DataFrame:
+    """Similarity of documents and templates.
+
+    Gives every pair that scores ``least`` or more and whose page counts (smaller over larger) allow ``ratio``. A score can't exceed 100 times the ratio of
+    the page counts, so with ``ratio=0`` and ``least=85`` no pair of 85 or more is missing; 0 and 0 give all pairs. Pairs meet by classes
+    of profiles whose upper bound reaches ``least``: their number grows with what can score that high.
+    """
+    sides = _classes(_shapes(document), template)
+    pairs = class_pairs(sides, F.when(page_ratio() >= ratio, _score_bound()), least)
+    met = meet(sides.left, sides.right, pairs, "fingerprint").drop("bound")
+    met = met.where(F.least("page_count", "t_page_count") >= F.greatest("page_count", "t_page_count") * F.lit(ratio))
+    scored = _scored(met, [c for c in _MORE if c in template.columns]).where(F.col("score") >= least)
+    return document.select(doc, "fingerprint").join(scored, "fingerprint").drop("fingerprint")
 
 
 def best_template(document: DataFrame, registry: DataFrame, doc: str = "doc_id", *, statuses: Sequence[str] = ("active",),
-                  preferred_year: int | None = None, school_order: str | None = None, bands: Sequence[float] = (0.85, 0.5, 0.0)) -> DataFrame:
+                  preferred_year: int | None = None, school_order: str | None = None) -> DataFrame:
     """Best template per document (earliest registration wins ties), exact without comparing everything.
 
-    Identical fingerprints are settled by an equi-join, and precede what only rounds to the same score. The rest meet
-    templates of similar length first; only documents whose best score stays below the bound of a band go on to the
-    next, wider one.
+    Identical fingerprints are settled by an equi-join, and precede what only rounds to the same score. The others
+    meet classes of templates in the order of their bounds (:func:`best_of`).
     """
     usable = registry.where(F.col("status").isin(*statuses))
     if school_order is not None:
@@ -161,40 +191,38 @@ def best_template(document: DataFrame, registry: DataFrame, doc: str = "doc_id",
     extra = F.lit(0.0)
     if preferred_year is not None:
         year, wanted = F.col("validity_year").cast("string"), F.lit(str(preferred_year))
-        extra = F.when(year.contains(wanted) | wanted.contains(year), 5.0).otherwise(0.0)
+        extra = F.coalesce(F.when(year.contains(wanted) | wanted.contains(year), 5.0), F.lit(0.0))
     bonus = 0.0 if preferred_year is None else 5.0
     payload = ["template_id", "score", "geometry_score", "structure_score", "matched_pages", "total_pages", "match_confidence", "band", "ranking"]
     # no other template can rank higher than an identical one that has the whole bonus
-    first = usable.where(F.coalesce(extra, F.lit(0.0)) == bonus).groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("template_id"))
+    first = usable.where(extra == bonus).groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("template_id"))
     full = F.lit(100.0)
     done = cut_lineage(document.select(doc, "fingerprint", "page_count").join(first, "fingerprint").select(
-        doc, "template_id", full.alias("score"), full.alias("geometry_score"), full.alias("structure_score"), F.col("page_count").cast("bigint").alias("matched_pages"),
+        doc, "fingerprint", "template_id", full.alias("score"), full.alias("geometry_score"), full.alias("structure_score"), F.col("page_count").cast("bigint").alias("matched_pages"),
         F.col("page_count").alias("total_pages"), F.lit(1.0).alias("match_confidence"), match_band(full).alias("band"), (full + bonus).alias("ranking")))
-    rest = document.join(done.select(doc), doc, "left_anti")
-    for ratio in bands:
-        scored = match_score(rest, usable, doc, ratio).withColumn("ranking", F.col("score") + extra)
-        top = scored.groupBy(doc).agg(F.min(F.struct((-F.col("ranking")).alias("_r"), F.col("ord").alias("_o"), *payload)).alias("_b")).select(
-            doc, *[F.col(f"_b.{c}").alias(c) for c in payload])
-        settled = top if ratio == 0 else top.where(F.col("ranking") >= 100 * ratio + bonus)
-        if ratio != 0:
-            settled = cut_lineage(settled)
-            rest = rest.join(settled.select(doc), doc, "left_anti")
-        done = done.unionByName(settled)
-        if ratio != 0 and rest.isEmpty():
-            break
-    return done
-
-
-def top_templates(document: DataFrame, registry: DataFrame, k: int = 3, doc: str = "doc_id", ratio: float = 0.0) -> DataFrame:
+    shape = cut_lineage(_shapes(document).join(done.select("fingerprint").distinct(), "fingerprint", "left_anti"))
+    sides = _classes(shape, usable.select("template_id", "ord", "page_count", "confidence", "pages", "fingerprint", extra.alias("extra")))
+    score = lambda pairs: _scored(pairs, ["ord", "extra"]).withColumn("ranking", F.col("score") + F.col("extra")).drop("extra")
+    found = best_of(sides, class_pairs(sides, _score_bound(), 0.0), "fingerprint", score, bonus=bonus)
+    top = found.groupBy("fingerprint").agg(F.min(F.struct((-F.col("ranking")).alias("_r"), F.col("ord").alias("_o"), *payload)).alias("_b")).select(
+        "fingerprint", *[F.col(f"_b.{c}").alias(c) for c in payload])
+    return done.drop("fingerprint").unionByName(document.select(doc, "fingerprint").join(top, "fingerprint").drop("fingerprint"))
+
+
+def top_templates(document: DataFrame, registry: DataFrame, k: int = 3, doc: str = "doc_id") -> DataFrame:
     """The k best templates of every document by similarity.
 
     Templates with one and the same fingerprint score alike, so only the k earliest of each are compared, and a
-    document sees no more than k of them: copies in the registry add no pairs.
+    document sees no more than k of them: copies in the registry add no pairs. Classes of templates are met in the order of their bounds.
     """
     copies = Window.partitionBy("fingerprint").orderBy("ord")
-    early = registry.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    order = Window.partitionBy(doc).orderBy(F.desc("score"), "ord")
-    return match_score(document, early, doc, ratio).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    early = cut_lineage(registry.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy"))
+    sides = _classes(cut_lineage(_shapes(document)), early)
+    more = [c for c in _MORE if c in early.columns]
+    found = best_of(sides, class_pairs(sides, _score_bound(), 0.0), "fingerprint", lambda pairs: _scored(pairs, more).withColumn("ranking", F.col("score")), k)
+    order = Window.partitionBy("fingerprint").orderBy(F.desc("score"), "ord")
+    top = found.drop("ranking").withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return document.select(doc, "fingerprint").join(top, "fingerprint").drop("fingerprint")
 
 
 # ---------------------------------------------------------------- structural difference
@@ -320,20 +348,60 @@ def roots(parent: DataFrame, node: str = "node", up: str = "parent") -> DataFram
             return state.withColumnRenamed("node", node)
 
 
+def _similarity_bound() -> Column:
+    """Upper bound of the similarity of :func:`structural_diff` for a pair of profile classes (a: candidate, b: source)."""
+    def page(a: PageRange, b: PageRange) -> Column:
+        apart, v = a.w.apart(b.w) + a.h.apart(b.h), a.vec.likeness(b.vec)
+        boxes = lambda r: Range(_box_count(r.vec.low, r.txt.low), _box_count(r.vec.high, r.txt.high))
+        score = (F.greatest(F.lit(0.0), 1 - apart / 200) * 0.2 + v * 0.25 + a.txt.likeness(b.txt) * 0.25 + boxes(a).likeness(boxes(b)) * 0.3) * 100
+        return F.when(a.vec.meets(b.vec) & a.w.meets(b.w) & a.h.meets(b.h), 100.0).otherwise(score)
+
+    apart = Range(F.col("a_pages_low"), F.col("a_pages_high")).apart(Range(F.col("b_pages_low"), F.col("b_pages_high")))
+    return F.greatest(F.lit(0.0), mean_bound(page) - F.least(F.lit(40.0), apart / F.greatest(F.col("b_pages_high"), F.lit(1)) * 40) + _ROUNDED)
+
+
+def candidate_diffs(template: DataFrame, least: float = 50.0) -> DataFrame:
+    """:func:`structural_diff` of every template and every earlier one with a similarity of ``least`` or more.
+
+    ``template``: template_id, ord and the profile columns. Columns of the later template begin with ``c_``, of the earlier with ``s_``.
+    """
+    sides = _earlier_classes(template)
+    met = meet(sides.left, sides.right, class_pairs(sides, _similarity_bound(), least), "template_id").drop("bound")
+    return _diffs(met).where(F.col("similarity") >= least)
+
+
+_PROFILE = ["template_id", "ord", "page_count", "boxes", "fingerprint", "pages"]
+
+
+def _earlier_classes(template: DataFrame) -> Classed:
+    rows = template.select(*_PROFILE)
+    sides = classed(rows, rows, "template_id", "template_id")
+    return sides._replace(right=sides.right.select(*[F.col(c).alias("s_" + c) for c in _PROFILE], "_class"))
+
+
+def _diffs(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where(F.col("s_ord") < F.col("ord")).select(*[F.col(c).alias("c_" + c) for c in _PROFILE], *["s_" + c for c in _PROFILE])
+    return structural_diff(pairs)
+
+
+def _best_earlier(template: DataFrame) -> DataFrame:
+    """Differences among which is the most similar earlier template of each, if that has 50 or more."""
+    sides = _earlier_classes(template)
+    score = lambda pairs: _diffs(pairs).select(F.col("c_template_id").alias("template_id"), F.col("similarity").alias("ranking"), "c_template_id", "s_template_id", "s_ord", "similarity", "class")
+    return best_of(sides, class_pairs(sides, _similarity_bound(), 50.0), "template_id", score)
+
+
 def cluster_templates(template: DataFrame) -> DataFrame:
     """Families: every template joins its most similar earlier one if they are related, else starts its own.
 
-    Page counts of related templates differ at most by half, which bounds the comparison exactly. Only the earliest
+    Related templates have a similarity of 50 or more; classes of templates whose bound is below are not compared. Only the earliest
     template of each fingerprint is compared; its copies follow it, or what it follows if that is just as similar.
     ``template``: template_id, ord and the profile columns.
     """
     cols = ["template_id", "ord", "page_count", "boxes", "fingerprint", "pages"]
     earliest = template.groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("first_id"))
     first = cut_lineage(template.join(earliest, "fingerprint").where(F.col("template_id") == F.col("first_id")).select(*cols))
-    later = first.select(*[F.col(c).alias("c_" + c) for c in cols]).withColumn("page_count", F.col("c_page_count"))
-    earlier = first.select(*[F.col(c).alias("s_" + c) for c in cols]).withColumn("t_page_count", F.col("s_page_count"))
-    pairs = _in_band(later, earlier, 0.5).where(F.col("s_ord") < F.col("c_ord")).drop("page_count", "t_page_count")
-    diff = structural_diff(pairs)
+    diff = _best_earlier(first.select(*cols))
     best = diff.groupBy("c_template_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("s_ord").alias("o"), F.col("s_template_id").alias("parent"), F.col("class").alias("class"))).alias("_b"))
     related = best.where(F.col("_b.class") != "UNKNOWN").select(F.col("c_template_id").alias("first_id"), F.col("_b.parent").alias("parent"), (-F.col("_b.s")).alias("similarity"))
     placed = template.select("template_id", "fingerprint").join(earliest, "fingerprint").join(related, "first_id", "left")

@@ -103,11 +103,8 @@ dh AS (SELECT *, CASE WHEN similarity >= 99.5::DOUBLE AND NOT differs THEN 'EXAC
 
 def diffs(fx):
     """Difference of every earlier and later template of comparable length."""
-    _, registry = both(fx)
-    cols = ["template_id", "ord", "page_count", "boxes", "fingerprint", "pages"]
-    later = registry.select(*[c(k).alias("c_" + k) for k in cols]).withColumn("page_count", c("c_page_count"))
-    earlier = registry.select(*[c(k).alias("s_" + k) for k in cols]).withColumn("t_page_count", c("s_page_count"))
-    return op.structural_diff(op._in_band(later, earlier, 0.5).where("s_ord < c_ord").drop("page_count", "t_page_count"))
+    found = op.candidate_diffs(both(fx)[1], 0.0)
+    return found.where(F.least("c_page_count", "s_page_count") >= F.greatest("c_page_count", "s_page_count") * 0.5)
 
 
 @add("t4_structural_diff", f"WITH {SQL_DIFF} SELECT s AS source_id, c AS candidate_id, added, removed, shifted, page_count_delta, similarity, class, layout_shift FROM dh")
