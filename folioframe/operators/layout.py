@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe.functions.numbers import half_up, let
 from folioframe.operators.readings import LETTER_OR_DIGIT, comparable_reading, overlapping_words, typical_height, valid_boxes
-from folioframe.plans.folds import fold_assign, fold_groups, fold_merge, sorted_rows
-from folioframe.plans.greedy import greedy_keep, greedy_owner
+from folioframe.plans import folds
+from folioframe.plans.folds import by_bands, fold_assign, fold_merge, sorted_rows
+from folioframe.plans.greedy import greedy_keep, greedy_owner, split_by_size
+from folioframe.plans.sweeps import Fused, MissingWords, MovingRows, Phrases, Regions, Stacks, Strokes, sweep
 from folioframe.plans.spatial import (
     PAGE, Box, box, box_of, iou, near_join, share_either, share_of_smaller, shared_area, with_partner, without_partner,
 )
@@ -18,6 +21,12 @@ from folioframe.plans.spatial import (
 LETTERS = "[a-zA-ZàèìòùéÀÈÌÒÙÉ]"
 
 
+def _numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str], rule: type, number: str) -> DataFrame:
+    """``keys``, ``columns`` and the group that the swept rule gives every row."""
+    fields = T.StructType([rows.schema[c] for c in columns] + [T.StructField(number, T.IntegerType())])
+    return sweep(rows, keys, order, lambda: rule(columns), fields)
+
+
 def assign_lines(token: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
     """``line_no``: words in (y, x) order join the first row whose founding centre is close enough."""
     slack = F.greatest(F.lit(3.0), F.col("h") * 0.55)
@@ -56,7 +65,8 @@ def group_words(token: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
     keys = [*by, "source", "line_id", "region_id"]
     values = ["token_id", "x", "y", "w", "h", "text"]
     native = F.col("source") == "pdf"
-    rows = sorted_rows(token.where(~native), keys, [F.col("x"), F.col("token_id")], values)
+    usual, crowded = split_by_size(token.where(~native), keys, folds.FOLD_LIMIT)
+    rows = sorted_rows(usual, keys, [F.col("x"), F.col("token_id")], values)
     at = fold_assign(
         F.col("rows"), "struct<cy:double,h:double,lx:double,lr:double>",
         new=lambda t: F.struct((t["y"] + t["h"] / 2).alias("cy"), t["h"].alias("h"), t["x"].alias("lx"), (t["x"] + t["w"]).alias("lr")),
@@ -64,7 +74,17 @@ def group_words(token: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
         & (t["x"] >= g["lx"]) & (t["x"] - g["lr"] < F.greatest(F.lit(10.0), t["h"] * 2)),
         extend=lambda g, t: F.struct(g["cy"].alias("cy"), g["h"].alias("h"), t["x"].alias("lx"), (t["x"] + t["w"]).alias("lr")))
     flat = rows.select(*keys, F.inline(F.arrays_zip(F.col("rows").alias("_row"), at.alias("p"))))
-    flat = flat.select(*keys, "_row.*", F.col("p").cast("bigint").alias("phrase_no")).unionByName(
+    flat = flat.select(*keys, "_row.*", F.col("p").cast("bigint").alias("phrase_no"))
+    if crowded is not None:
+        # lines and regions without a number meet as null-safe keys
+        tall = crowded.groupBy(*keys).agg(F.max("h").alias("_tallest"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}"))
+        high = crowded.select(*keys, *values).alias("c").join(tall.alias("t"), same).select("c.*", "t._tallest")
+        swept = _numbered(high, keys, [F.col("x"), F.col("token_id")], values, Phrases, "phrase_no")
+        flat = flat.unionByName(swept.withColumn("phrase_no", F.col("phrase_no").cast("bigint")))
+    flat = flat.unionByName(
         token.where(native).select(*keys, *values, F.col("token_id").cast("bigint").alias("phrase_no")))
     words = F.array_sort(F.collect_list(F.struct("x", "token_id", "text")))
     return flat.groupBy(*keys, "phrase_no").agg(
@@ -83,9 +103,10 @@ def reconstruct_text(word: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
     sized = usable.join(heights.select(*by, "mh"), list(by))
     tol = F.greatest(F.lit(5.0), F.col("mh") * 0.42)
     cy = F.col("y") + F.col("h") / 2
-    banded = fold_groups(sized, by, cy - tol / 2, cy + tol / 2)
-    keys = [*by, "_island"]
-    rows = sorted_rows(banded, keys, [F.col("y"), F.col("x"), F.col("token_id")], ["token_id", "x", "y", "w", "h", "text", "mh"])
+    usual, crowded = by_bands(sized, by, cy - tol / 2, cy + tol / 2)
+    keys, values = [*by, "_island"], ["token_id", "x", "y", "w", "h", "text", "mh"]
+    order = [F.col("y"), F.col("x"), F.col("token_id")]
+    rows = sorted_rows(usual, keys, order, values)
 
     def nearest(open_rows, t):
         away = F.transform(open_rows, lambda r: F.abs(t["y"] + t["h"] / 2 - r["sum"] / r["n"]))
@@ -98,6 +119,8 @@ def reconstruct_text(word: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
         extend=lambda r, t: F.struct((r["sum"] + (t["y"] + t["h"] / 2)).alias("sum"), (r["n"] + 1).alias("n")), position=nearest)
     flat = rows.select(*keys, F.inline(F.arrays_zip(F.col("rows").alias("_row"), at.alias("row_no"))))
     flat = flat.select(*keys, "_row.*", "row_no")
+    if crowded is not None:
+        flat = flat.unionByName(_numbered(crowded, keys, order, values, MovingRows, "row_no"))
     line = Window.partitionBy(*keys, "row_no").orderBy("x", "y", "token_id")
     right = F.max(F.col("x") + F.col("w")).over(line.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.col("x") - right
@@ -113,7 +136,10 @@ def reconstruct_text(word: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
 
 
 def merge_colinear(line: DataFrame, token: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
-    """Join horizontal segments of one height (2.5 pt from the founder) over gaps below 16 pt without words."""
+    """Join horizontal segments of one height (2.5 pt from the founder) over gaps below 16 pt without words.
+
+    One row per joined line: the first segment's ``line_id`` and ``y``, ``x1``, ``x2``, ``parts`` and the ``line_ids`` of all.
+    """
     band = Box(F.lit(0.0), F.col("y") - 1.25, F.lit(0.0), F.lit(2.5))
     owned = greedy_owner(line.select(*by, "line_id", "x1", "x2", "y"), by, "line_id", [F.col("y"), F.col("x1"), F.col("line_id")],
                          lambda k, c: F.abs(k["y"] - c["y"]) <= 2.5, band)
@@ -122,11 +148,13 @@ def merge_colinear(line: DataFrame, token: DataFrame, by: Sequence[str] = PAGE)
     words = token.where(F.col("text").rlike(LETTERS)).select(*by, "x", "y", "w")
     strips = levels.select(*keys, F.lit(0.0).alias("x"), F.col("ya").alias("y"), F.lit(0.0).alias("w"), (F.col("yb") - F.col("ya")).alias("h"))
     flat = words.select(*by, F.lit(0.0).alias("x"), F.col("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"), F.col("x").alias("wx"), (F.col("x") + F.col("w")).alias("wr"))
-    near = near_join(strips, flat, by, reach=box().grown(0.0, 12.0, 0.0, 12.0), b_extent=box()).groupBy(
-        *by, F.col("a_owner_rank").alias("owner_rank")).agg(
-        F.collect_set(F.struct(F.col("b_y").alias("y"), F.col("b_wx").alias("x"), F.col("b_wr").alias("r"))).alias("words"))
-    rows = sorted_rows(owned, keys, [F.col("x1"), F.col("y"), F.col("line_id")], ["line_id", "y", "x1", "x2"]).join(near, keys, "left")
-    seg = "struct<line_id:bigint,y:double,x1:double,x2:double,parts:int>"
+    between = near_join(strips, flat, by, reach=box().grown(0.0, 12.0, 0.0, 12.0), b_extent=box()).select(
+        *by, F.col("a_owner_rank").alias("owner_rank"), F.col("b_y").alias("y"), F.col("b_wx").alias("x"), F.col("b_wr").alias("r")).distinct()
+    both = owned.select(*keys, "y", "x1", "x2", F.col("line_id").cast("bigint").alias("line_id")).unionByName(between, allowMissingColumns=True)
+    usual, crowded = split_by_size(both, keys, folds.FOLD_LIMIT)
+    near = usual.where(F.col("line_id").isNull()).groupBy(*keys).agg(F.collect_list(F.struct("y", "x", "r")).alias("words"))
+    rows = sorted_rows(usual.where(F.col("line_id").isNotNull()), keys, [F.col("x1"), F.col("y"), F.col("line_id")], ["line_id", "y", "x1", "x2"]).join(near, keys, "left")
+    seg = "struct<line_id:bigint,y:double,x1:double,x2:double,parts:int,line_ids:array<bigint>>"
     none = F.array().cast("array<struct<y:double,x:double,r:double>>")
 
     def step(done, t):
@@ -134,13 +162,21 @@ def merge_colinear(line: DataFrame, token: DataFrame, by: Sequence[str] = PAGE)
         blocked = F.exists(F.coalesce("words", none), lambda k: (F.abs(k["y"] - cur["y"]) < 12) & (k["x"] >= cur["x2"] - 5) & (k["r"] <= t["x1"] + 5))
         grows = (F.size(done) > 0) & (t["x1"] <= cur["x2"] + 16) & ~blocked
         grown = F.struct(cur["line_id"].alias("line_id"), cur["y"].alias("y"), F.least(cur["x1"], t["x1"]).alias("x1"),
-                         F.greatest(cur["x2"], t["x2"]).alias("x2"), (cur["parts"] + 1).alias("parts"))
-        fresh = F.struct(t["line_id"].cast("bigint").alias("line_id"), t["y"].alias("y"), t["x1"].alias("x1"), t["x2"].alias("x2"), F.lit(1).alias("parts"))
+                         F.greatest(cur["x2"], t["x2"]).alias("x2"), (cur["parts"] + 1).alias("parts"),
+                         F.concat(cur["line_ids"], F.array(t["line_id"])).alias("line_ids"))
+        fresh = F.struct(t["line_id"].cast("bigint").alias("line_id"), t["y"].alias("y"), t["x1"].alias("x1"), t["x2"].alias("x2"), F.lit(1).alias("parts"),
+                         F.array(t["line_id"]).alias("line_ids"))
         return F.when(grows, F.concat(F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1)), F.array(grown))).otherwise(
             F.concat(done, F.array(fresh)))
 
     merged = rows.select(*by, F.explode(F.aggregate("rows", F.array().cast(f"array<{seg}>"), step)).alias("_seg"))
-    return merged.select(*by, "_seg.*")
+    merged = merged.select(*by, "_seg.*")
+    if crowded is not None:
+        fields = merged.drop(*by).schema
+        # a word comes before the segments it may stand in front of
+        order = [F.coalesce(F.col("x1"), F.col("x") - 5), F.col("line_id").isNotNull(), F.col("y"), F.col("line_id")]
+        merged = merged.unionByName(sweep(crowded, keys, order, Strokes, fields).drop("owner_rank"))
+    return merged
 
 
 def _prompts_above(line: DataFrame, token: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -166,9 +202,9 @@ def multiline_areas(line: DataFrame, token: DataFrame, by: Sequence[str] = PAGE)
     ).select(*by, F.col("a_line_id").alias("line_id")).distinct().withColumn("own", F.lit(True))
     marked = wide.join(own, [*by, "line_id"], "left").join(_prompts_above(wide, token, by), [*by, "line_id"], "left")
     marked = marked.withColumn("own", F.coalesce("own", F.lit(False)))
-    banded = fold_groups(marked, by, F.col("y"), F.col("y") + 36)
+    usual, crowded = by_bands(marked, by, F.col("y"), F.col("y") + 36)
     keys = [*by, "_island"]
-    rows = sorted_rows(banded, keys, [F.col("y"), F.col("line_id")], ["line_id", "x1", "x2", "y", "own", "above"])
+    rows = sorted_rows(usual, keys, [F.col("y"), F.col("line_id")], ["line_id", "x1", "x2", "y", "own", "above"])
     rows = rows.withColumn("rows", F.transform("rows", lambda r, i: F.struct(i.alias("i"), *[r[c].alias(c) for c in ("line_id", "x1", "x2", "y", "own", "above")])))
 
     def grow(base, used):
@@ -205,7 +241,10 @@ def multiline_areas(line: DataFrame, token: DataFrame, by: Sequence[str] = PAGE)
     kind = "array<struct<line_ids:array<bigint>,x:double,y:double,w:double,h:double,prompt_id:bigint>>"
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(kind).alias("areas"))
     areas = rows.select(*by, F.explode(F.aggregate("rows", start, visit, lambda acc: acc["areas"])).alias("_area"))
-    return areas.select(*by, "_area.*")
+    areas = areas.select(*by, "_area.*")
+    if crowded is not None:
+        areas = areas.unionByName(sweep(crowded, keys, [F.col("y"), F.col("line_id")], Stacks, areas.drop(*by).schema).drop("_island"))
+    return areas
 
 
 def table_structure(line: DataFrame, rect: DataFrame, token: DataFrame, page: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
@@ -273,9 +312,9 @@ def fuse_candidates(field: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
 
     ``field`` has ``ord`` (order of detection), ``label``, ``semantic_key``, ``derivation``, ``confidence``.
     """
-    pairs = fold_groups(field, by, F.col("y") - 10, F.col("y") + F.col("h") + 10)
+    usual, crowded = by_bands(field, by, F.col("y") - 10, F.col("y") + F.col("h") + 10)
     cols = ["field_id", "x", "y", "w", "h", "label", "semantic_key", "derivation", "confidence"]
-    pairs = pairs.withColumn("merged", F.lit(0))
+    pairs = usual.withColumn("merged", F.lit(0))
     keys = [*by, "_island"]
     rows = sorted_rows(pairs, keys, [F.col("ord"), F.col("field_id")], [*cols, "merged"])
     kind = dict(rows.dtypes)["rows"][len("array<"):-1]
@@ -298,7 +337,10 @@ def fuse_candidates(field: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
             pick(cell, "derivation"), F.greatest(F.coalesce(k["confidence"], F.lit(0.8)), F.coalesce(c["confidence"], F.lit(0.8))).alias("confidence"),
             (k["merged"] + 1).alias("merged"))
 
-    return rows.select(*by, F.inline(fold_merge(F.col("rows"), kind, same, merge)))
+    fused = rows.select(*by, F.inline(fold_merge(F.col("rows"), kind, same, merge)))
+    if crowded is not None:
+        fused = fused.unionByName(sweep(crowded, keys, [F.col("ord"), F.col("field_id")], lambda: Fused(cols), fused.drop(*by).schema).drop("_island"))
+    return fused
 
 
 def second_pass_merge(first: DataFrame, second: DataFrame, by: Sequence[str] = PAGE, over: float = 0.55) -> DataFrame:
@@ -324,17 +366,11 @@ def box_set_diff(source: DataFrame, candidate: DataFrame, by: Sequence[str] = PA
     moved = (away <= shift) & (F.abs(B.w - A.w) <= size) & (F.abs(B.h - A.h) <= size)
     # an equal pair may also come back as a shifted pair once its partner is taken
     options = pairs.where(equal | moved).select(
-        *by, F.col("a_box_id").alias("s"), F.col("b_box_id").alias("c"), F.col("a_y").alias("y"), F.col("a_h").alias("h"), away.alias("away"),
+        *by, F.col("a_box_id").alias("s"), F.col("b_box_id").alias("c"), *[F.col(f"a_{v}").alias(v) for v in ("x", "y", "w", "h")],
         F.explode(F.array_compact(F.array(F.when(equal, 0), F.when(moved, 1)))).alias("round"))
-    banded = fold_groups(options, by, F.col("y") - shift, F.col("y") + F.col("h") + shift)
-    rows = sorted_rows(banded, [*by, "_island"], [F.col("round"), F.col("s"), F.col("c")], ["round", "s", "c", "away"])
-    kind = dict(rows.dtypes)["rows"]
-
-    def step(taken, p):
-        clash = F.exists(taken, lambda t: (t["s"] == p["s"]) | (t["c"] == p["c"]))
-        return F.when(clash, taken).otherwise(F.concat(taken, F.array(p)))
-
-    matched = rows.select(*by, F.inline(F.aggregate("rows", F.array().cast(kind), step)))
+    pair = F.concat_ws("|", F.col("round").cast("string"), F.col("s").cast("string"), F.col("c").cast("string"))
+    matched = greedy_keep(options.withColumn("pair_id", pair), by, "pair_id", [F.col("round"), F.col("s"), F.col("c")],
+                          lambda k, p: (k["s"] == p["s"]) | (k["c"] == p["c"]), box().grown(*(shift + 1,) * 4), fold_limit=folds.FOLD_LIMIT)
     hit = matched.select(*by, F.col("s").alias("source_id"), F.col("c").alias("candidate_id"),
                          F.when(F.col("round") == 0, "equal").otherwise("shifted").alias("change"))
     lost = source.select(*by, F.col("box_id").alias("source_id")).join(hit.select(*by, "source_id"), [*by, "source_id"], "left_anti")
@@ -403,7 +439,9 @@ def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] =
     held = overlapping_words(b_ok, a, by)
     orphans = without_partner(b_ok, held, by, ["token_id"]).join(sized.select(*by, "th"), list(by))
     keys = [*by, "line_id"]
-    rows = sorted_rows(orphans, keys, [F.col("x"), F.col("token_id")], ["token_id", "x", "y", "w", "h", "th"])
+    values = ["token_id", "x", "y", "w", "h", "th"]
+    usual, crowded = split_by_size(orphans, keys, folds.FOLD_LIMIT)
+    rows = sorted_rows(usual, keys, [F.col("x"), F.col("token_id")], values)
     at = fold_assign(
         F.col("rows"), "struct<y:double,h:double,lx:double,lr:double>",
         new=lambda t: F.struct(t["y"].alias("y"), t["h"].alias("h"), t["x"].alias("lx"), (t["x"] + t["w"]).alias("lr")),
@@ -411,6 +449,8 @@ def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] =
                               / F.greatest(F.lit(1.0), F.least(g["h"], t["h"])) > 0.6) & (t["x"] >= g["lx"]) & (t["x"] - g["lr"] < t["th"] * 3),
         extend=lambda g, t: F.struct(g["y"].alias("y"), g["h"].alias("h"), t["x"].alias("lx"), (t["x"] + t["w"]).alias("lr")))
     flat = rows.select(*keys, F.inline(F.arrays_zip(F.col("rows").alias("_row"), at.alias("g")))).select(*keys, "_row.*", "g")
+    if crowded is not None:
+        flat = flat.unionByName(_numbered(crowded, keys, [F.col("x"), F.col("token_id")], values, MissingWords, "g"))
     missing = flat.groupBy(*keys, "g").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("bt"),
         F.array_sort(F.collect_list("token_id")).alias("token_ids")).select(
@@ -420,7 +460,9 @@ def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] =
     budget = F.col("page_w") * F.col("page_h") * area
     requests = requests.withColumns({"budget": budget, "n": F.lit(0)})
     cols = ["x", "y", "w", "h", "token_ids", "reason", "priority", "part", "first_id", "budget"]
-    rows = sorted_rows(requests, by, [-F.col("priority"), F.col("y"), F.col("x"), F.col("part"), F.col("first_id")], cols)
+    order = [-F.col("priority"), F.col("y"), F.col("x"), F.col("part"), F.col("first_id")]
+    usual, crowded = split_by_size(requests, by, folds.FOLD_LIMIT)
+    rows = sorted_rows(usual, by, order, cols)
     region = "struct<x:double,y:double,w:double,h:double,missing:boolean>"
     any_missing = F.exists("rows", lambda r: r["part"] == 1)
 
@@ -448,6 +490,10 @@ def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] =
 
     start = F.struct(F.array().cast(f"array<{region}>").alias("regions"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("at"))
     planned = rows.withColumn("plan", F.aggregate("rows", start, step))
-    return planned.select(*by, F.inline(F.arrays_zip(F.col("rows").alias("_req"), F.col("plan.at").alias("region_no")))).select(
+    plan = planned.select(*by, F.inline(F.arrays_zip(F.col("rows").alias("_req"), F.col("plan.at").alias("region_no")))).select(
         *by, F.col("_req.first_id").alias("first_id"), F.col("_req.reason").alias("reason"), F.col("_req.priority").alias("priority"),
         F.col("_req.token_ids").alias("token_ids"), F.col("region_no").isNotNull().alias("selected"), F.col("region_no").cast("bigint").alias("region_no"))
+    if crowded is not None:
+        some = crowded.groupBy(*by).agg(F.max(F.col("part") == 1).alias("_any_missing"))
+        plan = plan.unionByName(sweep(crowded.join(some, list(by)), by, order, lambda: Regions(limit), plan.drop(*by).schema))
+    return plan

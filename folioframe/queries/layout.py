@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout as op
-from folioframe.queries.common import BY, PROMPT_WORDS, Catalogue, sql_inter, sql_share
+from folioframe.queries.common import BY, Catalogue, sql_inter, sql_share
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -38,12 +38,12 @@ def a5(fx):
 
 @add("a6_merge_colinear")
 def a6(fx):
-    return op.merge_colinear(fx.fx_line, fx.fx_token.where(PROMPT_WORDS), BY)
+    return op.merge_colinear(fx.fx_line, fx.fx_token, BY).drop("line_ids")
 
 
 @add("a7_multiline_areas")
 def a7(fx):
-    return op.multiline_areas(fx.fx_line, fx.fx_token.where(PROMPT_WORDS), BY).withColumn("lines", F.size("line_ids")).drop("line_ids")
+    return op.multiline_areas(fx.fx_line, fx.fx_token, BY).withColumn("lines", F.size("line_ids")).drop("line_ids")
 
 
 @add("a8_table_structure", """WITH ln AS (SELECT *, x2 - x1 AS len, is_vertical OR abs(x2 - x1) < 4 AS vertical, floor(x1 / 15 + 0.5) * 15 AS s1, floor(x2 / 15 + 0.5) * 15 AS s2 FROM {fx_line}),
