@@ -379,12 +379,18 @@ def box_set_diff(source: DataFrame, candidate: DataFrame, by: Sequence[str] = PA
         new.withColumn("change", F.lit("added")), allowMissingColumns=True)
 
 
-def cap_candidates(field: DataFrame, by: Sequence[str] = PAGE, many: int = 30, refine_over: int = 35, keep: int = 32) -> DataFrame:
-    """Pages with more than ``many`` proposals are refined as the report asks: stacked generic lines
-    merge, weak generic ones go, and above ``refine_over`` the best ``keep`` by confidence remain.
+def judge_candidates(field: DataFrame, by: Sequence[str] = PAGE, many: int | None = None, refine_over: int | None = None, keep: int | None = None) -> DataFrame:
+    """Every proposal with ``reason``: null if it stays, else why a bounded page gives it up.
+
+    The bounds belong to the caller; without them every proposal stays. Pages with more than ``many`` proposals: a generic line is merged
+    into the one stacked above it, which becomes a long field (``MERGED``), weak generic ones go (``LOW_CONFIDENCE``). Of pages with more than
+    ``refine_over`` left, the best ``keep`` by confidence stay, the others go as ``OVER_BOUND``.
 
     ``field``: ``field_type``, ``semantic_key``, ``label``, ``confidence``, box, ``field_id``.
     """
+    none = F.lit(None).cast("string")
+    if many is None:
+        return field.withColumn("reason", none)
     sizes = field.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     marked = field.join(sizes, list(by)).withColumn("_big", F.col("_n") > many).drop("_n")
     small, big = marked.where(~F.col("_big")).drop("_big"), marked.where("_big").drop("_big")
@@ -402,15 +408,24 @@ def cap_candidates(field: DataFrame, by: Sequence[str] = PAGE, many: int = 30, r
     big = big.withColumn("_absorbs", F.col("_j") & even)
     big = big.withColumn("_gone", F.coalesce(F.lag("_absorbs").over(page), F.lit(False)))
     merged_h = F.floor((F.col("_ny") + F.col("_nh") - F.col("y")) * 10 + 0.5) / 10
-    big = big.where(~F.col("_gone")).withColumns({
-        "field_type": F.when(F.col("_absorbs"), "TEXT_LONG").otherwise(F.col("field_type")),
-        "h": F.when(F.col("_absorbs"), merged_h).otherwise(F.col("h"))})
-    weak = (F.col("confidence") > 0) & (F.col("confidence") < 0.85) & F.col("semantic_key").isNull() & F.col("label").contains("Riga")
-    big = big.where(~F.coalesce(weak, F.lit(False)))
-    left = big.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "y", "field_id"))
-    big = big.join(left, list(by)).withColumn("_rank", rank).where((F.col("_m") <= refine_over) | (F.col("_rank") <= keep))
-    return small.unionByName(big.select(*small.columns))
+    takes = F.col("_absorbs") & ~F.col("_gone")
+    big = big.withColumns({
+        "field_type": F.when(takes, "TEXT_LONG").otherwise(F.col("field_type")),
+        "h": F.when(takes, merged_h).otherwise(F.col("h"))})
+    weak = F.coalesce((F.col("confidence") > 0) & (F.col("confidence") < 0.85) & F.col("semantic_key").isNull() & F.col("label").contains("Riga"), F.lit(False))
+    big = big.withColumn("reason", F.when(F.col("_gone"), "MERGED").when(weak, "LOW_CONFIDENCE"))
+    if refine_over is not None:
+        open_ = F.col("reason").isNull()
+        whole = Window.partitionBy(*by)
+        rank = F.row_number().over(Window.partitionBy(*by, open_).orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "y", "field_id"))
+        over = open_ & (F.count_if(open_).over(whole) > refine_over) & (rank > (refine_over if keep is None else keep))
+        big = big.withColumn("reason", F.when(over, "OVER_BOUND").otherwise(F.col("reason")))
+    return small.withColumn("reason", none).unionByName(big.select(*small.columns, "reason"))
+
+
+def cap_candidates(field: DataFrame, by: Sequence[str] = PAGE, many: int | None = None, refine_over: int | None = None, keep: int | None = None) -> DataFrame:
+    """The proposals that :func:`judge_candidates` lets stay; without bounds, all."""
+    return judge_candidates(field, by, many, refine_over, keep).where(F.col("reason").isNull()).drop("reason")
 
 
 def retry_plan(a: DataFrame, b: DataFrame, page: DataFrame, by: Sequence[str] = PAGE, limit: int = 6, area: float = 0.16) -> DataFrame:

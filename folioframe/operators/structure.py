@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.keys import label_key, tidy
-from folioframe.functions.numbers import half_up
+from folioframe.functions.numbers import half_up, round_to
 from folioframe.operators.geometry import (
     aligned_peers, cell_adjacency, clamp_boxes, diff_against_existing, geometry_fit, is_protected, snap_to_structure, union_coverage, validate_geometry,
 )
-from folioframe.operators.layout import cap_candidates, fuse_candidates, merge_colinear, multiline_areas, page_text, table_structure
+from folioframe.operators.layout import fuse_candidates, judge_candidates, merge_colinear, multiline_areas, page_text, table_structure
 from folioframe.operators.readings import typical_height
 from folioframe.plans.graphs import both_ways, components
 from folioframe.plans.greedy import greedy_keep, greedy_owner
@@ -649,45 +650,127 @@ def free_space_fields(token: DataFrame, region: DataFrame, page: DataFrame, heig
         *by, "token_id", tidy(F.col("text")).alias("label"), F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fw").alias("w"), F.col("fh").alias("h"))
 
 
-def field_candidates(line: DataFrame, rect: DataFrame, token: DataFrame, text_field: DataFrame, stored: DataFrame, page: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
-    """All candidates of a page: strokes cleaned and joined, writing areas, cells, single lines and given text fields,
-    then snapped, clipped, checked, fused, compared with stored fields and refined.
+class Candidates(NamedTuple):
+    """``kept``: proposals with ``item`` and ``recovered``; ``dropped``: ``by``, ``stage``, ``item_id``, ``reason`` of every input that led to none;
+    ``expected``: places of a page where a field is likely (``by``, ``expected``)."""
 
-    ``token``: ``is_prompt``; ``text_field``: field_id, box, label, confidence. One row per final proposal.
+    kept: DataFrame
+    dropped: DataFrame
+    expected: DataFrame
+
+
+# What a field number means: the kind of input it comes from is its remainder by 8.
+_KINDS = ("line", "rect", "rect", "line", "text", "line")
+
+
+def _item(field_id: Column) -> Column:
+    kinds = F.array(*map(F.lit, _KINDS))
+    return F.concat(F.get(kinds, F.pmod(field_id, F.lit(8)).cast("int")), F.lit(":"), F.floor(field_id / 8).cast("bigint").cast("string"))
+
+
+def _recovered_lines(line: DataFrame, pool: DataFrame, prompts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Lines of 45 pt or more that no proposal stands on, with a prompt up to 70 pt to the left or 32 pt above: the first in order names them."""
+    a, b = box(A), box(B)
+    strokes = line_boxes(line.where(F.col("x2") - F.col("x1") >= 45), by)
+    held = near_join(strokes, pool.select(*by, "x", "y", "w", "h"), by, reach=box().grown(0.0, 9.0, 0.0, 9.0)).where(
+        (F.abs(b.bottom - a.y) <= 8) & (a.right > b.x) & (a.x < b.right))
+    free = without_partner(strokes, held, by, ["line_id"])
+    beside = (F.abs(b.bottom - a.y) < 20) & (b.right <= a.x + 25) & (a.x - b.right < 70)
+    above = (a.y - b.bottom >= 0) & (a.y - b.bottom < 32) & (F.abs(b.x - a.x) < 60)
+    near = near_join(free, prompts, by, reach=box().grown(75.0, 35.0, 65.0, 25.0)).where(beside | above)
+    named = near.groupBy(*by, F.col("a_line_id").alias("line_id")).agg(
+        F.min(F.struct(F.col("b_token_id").alias("t"), F.col("b_text").alias("label"), (F.col("b_x") + F.col("b_w")).alias("end"))).alias("p"))
+    found = free.join(named, [*by, "line_id"])
+    start = F.greatest(F.col("x"), round_to(F.col("p.end") + 4, 1))
+    return found.select(*by, "line_id", start.alias("x"), F.greatest(F.lit(0.0), F.col("y") - 18).alias("y"), F.greatest(F.lit(30.0), F.col("x") + F.col("w") - start).alias("w"),
+                        F.lit(20.0).alias("h"), F.col("p.label").alias("label"))
+
+
+def field_candidates(line: DataFrame, rect: DataFrame, token: DataFrame, text_field: DataFrame, stored: DataFrame, page: DataFrame, by: Sequence[str] = PAGE,
+                     **bounds: int | None) -> Candidates:
+    """All candidates of a page: strokes cleaned and joined, writing areas, cells, single lines and given text fields, lines recovered under a relaxed reach of prompts,
+    then snapped, clipped, checked, fused and compared with stored fields.
+
+    ``token``: ``is_prompt``; ``text_field``: field_id, box, label, confidence. Every horizontal line, every rectangle and every text field leaves
+    either as the ``item`` of a kept proposal or with one stage and reason; ``discard_trace`` and ``discard_funnel`` read ``dropped`` as they are.
+    ``bounds`` (``many``, ``refine_over``, ``keep``) go to :func:`judge_candidates`; by default no page is bounded.
     """
+    dropped: list[DataFrame] = []
+
+    def drop(stage: str, rows: DataFrame, item: Column, reason: str | Column) -> None:
+        told = F.lit(reason) if isinstance(reason, str) else reason
+        dropped.append(rows.select(*by, F.lit(stage).alias("stage"), item.alias("item_id"), told.alias("reason")))
+
+    named_item = lambda kind, number: F.concat(F.lit(f"{kind}:"), F.col(number).cast("bigint").cast("string"))
     # one written table per stage: every later stage reads several earlier ones
-    joined = merge_colinear(line.where(~F.col("is_vertical")), token, by).withColumn("is_vertical", F.lit(False))
-    judged = table_structure(joined.select(*by, "line_id", "x1", "x2", "y", "is_vertical"), rect, token, page, by)
+    joined = cut_lineage(merge_colinear(line.where(~F.col("is_vertical")), token, by).withColumn("is_vertical", F.lit(False)))
+    drop("strokes", joined.select(*by, F.explode(F.slice("line_ids", 2, F.greatest(F.lit(1), F.size("line_ids")))).alias("line_id")), named_item("line", "line_id"), "MERGED")
+    judged = cut_lineage(table_structure(joined.select(*by, "line_id", "x1", "x2", "y", "is_vertical"), rect, token, page, by))
+    drop("structure", judged.where(F.col("reason").isNotNull()), named_item("line", "line_id"), "TABLE_STRUCTURE")
     usable = cut_lineage(judged.where(F.col("reason").isNull()).drop("reason"))
     areas = cut_lineage(multiline_areas(usable, token, by))
     used = areas.select(*by, F.explode("line_ids").alias("line_id"))
+    drop("areas", areas.select(*by, F.explode(F.slice("line_ids", 2, F.size("line_ids"))).alias("line_id")), named_item("line", "line_id"), "MERGED")
     single = usable.join(used, [*by, "line_id"], "left_anti")
     prompts = token.where("is_prompt").select(*by, "token_id", "x", "y", "w", "h", "text")
-    named = nearest_label(line_boxes(single, by).withColumnRenamed("line_id", "field_id").withColumns({"y": F.col("y") - 18, "h": F.lit(18.0)}), prompts, by).where(F.col("label_text").isNotNull())
+    raised = line_boxes(single, by).withColumnRenamed("line_id", "field_id").withColumns({"y": F.col("y") - 18, "h": F.lit(18.0)})
+    named = cut_lineage(nearest_label(raised, prompts, by).where(F.col("label_text").isNotNull()))
+    large = (F.col("w") >= 30) & (F.col("h") >= 16)
+    drop("boxes", rect.where(~F.col("is_checkbox") & ~large), named_item("rect", "rect_id"), "TOO_SMALL")
+
+    def proposal(rows: DataFrame, part: int, number: Column, label, kind, derivation: str, confidence) -> DataFrame:
+        column = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return rows.select(*by, (number.cast("bigint") * 8 + part).alias("field_id"), (F.lit(part) * F.lit(1_000_000_000).cast("bigint") + number.cast("bigint")).alias("ord"),
+                           *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], column(label).alias("label"), column(kind).alias("field_type"),
+                           F.lit(derivation).alias("derivation"), column(confidence).cast("double").alias("confidence"))
+
+    stacked = areas.select(*by, F.col("line_ids")[0].alias("n"), "x", (F.col("y") - 14).alias("y"), "w", (F.col("h") + 14).alias("h"))
+    inner = rect.where(~F.col("is_checkbox") & large).select(*by, "rect_id", (F.col("x") + 2).alias("x"), (F.col("y") + 2).alias("y"), (F.col("w") - 4).alias("w"), (F.col("h") - 4).alias("h"), F.col("h").alias("tall"))
     kinds = [
-        areas.select(*by, F.lit(0).alias("_part"), F.col("line_ids")[0].alias("_n"), "x", (F.col("y") - 14).alias("y"), "w", (F.col("h") + 14).alias("h"), F.lit("Area di testo").alias("label"), F.lit("TEXT_LONG").alias("field_type"), F.lit("VECTOR_LINE").alias("derivation"), F.lit(0.9).alias("confidence")),
-        rect.where(~F.col("is_checkbox") & (F.col("w") >= 30) & (F.col("h") >= 16)).select(*by, F.lit(1).alias("_part"), F.col("rect_id").alias("_n"), (F.col("x") + 2).alias("x"), (F.col("y") + 2).alias("y"), (F.col("w") - 4).alias("w"), (F.col("h") - 4).alias("h"),
-                                                                                         F.lit("Cella").alias("label"), F.when(F.col("h") >= 45, "TEXT_LONG").otherwise("TEXT_SHORT").alias("field_type"), F.lit("TABLE_CELL").alias("derivation"), F.lit(0.88).alias("confidence")),
-        rect.where("is_checkbox").select(*by, F.lit(2).alias("_part"), F.col("rect_id").alias("_n"), "x", "y", "w", "h", F.lit("Scelta").alias("label"), F.lit("CHECKBOX").alias("field_type"), F.lit("CHECKBOX_BOX").alias("derivation"), F.lit(0.9).alias("confidence")),
-        named.select(*by, F.lit(3).alias("_part"), F.col("field_id").alias("_n"), "x", "y", "w", "h", F.col("label_text").alias("label"), F.lit("TEXT_SHORT").alias("field_type"), F.lit("VECTOR_LINE").alias("derivation"), F.lit(0.85).alias("confidence")),
-        text_field.select(*by, F.lit(4).alias("_part"), F.col("field_id").alias("_n"), "x", "y", "w", "h", "label", F.lit("TEXT_SHORT").alias("field_type"), F.lit("TEXT_ANCHOR").alias("derivation"), "confidence"),
+        proposal(stacked, 0, F.col("n"), "Area di testo", "TEXT_LONG", "VECTOR_LINE", 0.9),
+        proposal(inner, 1, F.col("rect_id"), "Cella", F.when(F.col("tall") >= 45, "TEXT_LONG").otherwise("TEXT_SHORT"), "TABLE_CELL", 0.88),
+        proposal(rect.where("is_checkbox"), 2, F.col("rect_id"), "Scelta", "CHECKBOX", "CHECKBOX_BOX", 0.9),
+        proposal(named, 3, F.col("field_id"), F.col("label_text"), "TEXT_SHORT", "VECTOR_LINE", 0.85),
+        proposal(text_field, 4, F.col("field_id"), F.col("label"), "TEXT_SHORT", "TEXT_ANCHOR", F.col("confidence")),
     ]
     pool = kinds[0]
     for k in kinds[1:]:
         pool = pool.unionByName(k)
-    pool = pool.withColumns({"field_id": F.col("_n").cast("bigint") * 8 + F.col("_part"), "ord": F.col("_part").cast("bigint") * 1_000_000_000 + F.col("_n").cast("bigint")}).drop("_part", "_n")
+    pool = cut_lineage(pool)
+    left = single.join(named.select(*by, F.col("field_id").alias("line_id")), [*by, "line_id"], "left_anti")
+    back = cut_lineage(_recovered_lines(left, pool, prompts, by))
+    drop("labels", left.join(back.select(*by, "line_id"), [*by, "line_id"], "left_anti"), named_item("line", "line_id"), "NO_LABEL")
+    pool = pool.unionByName(proposal(back, 5, F.col("line_id"), F.col("label"), F.when(F.lower("label").rlike("data|nato il|lì"), "DATE").otherwise("TEXT_SHORT"), "VECTOR_LINE", 0.86))
     snapped = cut_lineage(snap_to_structure(cut_lineage(pool), rect, usable, by))
-    checked = validate_geometry(clamp_boxes(snapped, page, by), page, by).where(F.col("reason").isNull()).drop("reason")
+    clipped = cut_lineage(clamp_boxes(snapped, page, by))
+    from_field = _item(F.col("field_id"))
+    drop("bounds", snapped.join(clipped.select(*by, "field_id"), [*by, "field_id"], "left_anti"), from_field, "OUT_OF_BOUNDS")
+    checked = cut_lineage(validate_geometry(clipped, page, by))
+    why = F.when(F.col("reason") == "OUT_OF_BOUNDS", F.col("reason")).when(F.col("reason").isin("FIELD_TOO_SMALL", "MULTILINE_TOO_SMALL"), "TOO_SMALL").otherwise("GEOMETRY_SUSPECT")
+    drop("geometry", checked.where(F.col("reason").isNotNull()), from_field, why)
     cells = rect.withColumnRenamed("rect_id", "cell_id")
-    fitting = geometry_fit(checked, prompts, cells, page, by).where(~(F.col("suspect") & (F.col("fit_score") < 0.45))).drop("fit_score", "suspect", "fit_reason")
-    fitting = cut_lineage(fitting)
-    fused = fuse_candidates(fitting.withColumn("semantic_key", F.lit(None).cast("string")), by)
+    fit = cut_lineage(geometry_fit(checked.where(F.col("reason").isNull()).drop("reason"), prompts, cells, page, by))
+    suspect = F.coalesce(F.col("suspect") & (F.col("fit_score") < 0.45), F.lit(False))
+    drop("fit", fit.where(suspect), from_field, "GEOMETRY_SUSPECT")
+    fitting = fit.where(~suspect).drop("fit_score", "suspect", "fit_reason")
+    fused = cut_lineage(fuse_candidates(fitting.withColumn("semantic_key", F.lit(None).cast("string")), by))
+    drop("fusion", fitting.join(fused.select(*by, "field_id"), [*by, "field_id"], "left_anti"), from_field, "DUPLICATE")
     typed = fused.join(fitting.select(*by, "field_id", "field_type"), [*by, "field_id"])
-    new = cut_lineage(diff_against_existing(cut_lineage(typed).withColumn("generic", F.lit(False)), stored, by).where(F.col("class") == "new").drop("class", "generic", "merged"))
-    return cap_candidates(new, by)
+    compared = cut_lineage(diff_against_existing(cut_lineage(typed).withColumn("generic", F.lit(False)), stored, by))
+    drop("stored", compared.where(F.col("class") != "new"), from_field, "DUPLICATE")
+    last = cut_lineage(judge_candidates(compared.where(F.col("class") == "new").drop("class", "generic", "merged"), by, **bounds))
+    drop("refinement", last.where(F.col("reason").isNotNull()), from_field, F.col("reason"))
+    gone = dropped[0]
+    for d in dropped[1:]:
+        gone = gone.unionByName(d)
+    kept = last.where(F.col("reason").isNull()).drop("reason").withColumns({"item": from_field, "recovered": F.pmod(F.col("field_id"), F.lit(8)) == 5})
+    likely = (rect.where(~F.col("is_checkbox") & (F.col("w") >= 40) & (F.col("h") >= 18)).select(*by).unionByName(areas.select(*by)).unionByName(text_field.select(*by))
+              .groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("expected")))
+    expected = page.select(*by).join(likely, list(by), "left").na.fill(0.0, ["expected"])
+    return Candidates(kept, gone, expected)
 
 
 def detection_flags(final: DataFrame, uncovered: DataFrame, expected: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
-    """Over- and under-detection per page: many proposals, or few beside many uncovered regions."""
+    """Over- and under-detection per page: more than 30 proposals, or few beside three or more places that only the recovery pass found."""
     joined = expected.join(final.groupBy(*by).agg(F.count(F.lit(1)).alias("fields")), list(by), "left").join(uncovered.groupBy(*by).agg(F.count(F.lit(1)).alias("open")), list(by), "left").na.fill(0)
     return joined.withColumns({"over_detection": F.col("fields") > 30, "under_detection": (F.col("open") >= 3) & (F.col("fields") < F.greatest(F.lit(6.0), F.col("expected") * 0.6))})

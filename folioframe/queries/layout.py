@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout as op
-from folioframe.queries.common import BY, Catalogue, sql_inter, sql_share
+from folioframe.queries.common import BY, Catalogue, r4, sql_inter, sql_r4, sql_share
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -75,14 +75,26 @@ def k2(fx):
         "page_id", "first_id", "reason", "priority", "selected", "region_no")
 
 
-@add("k3_cap_candidates")
+# bounds as the caller of a crowded form would set them; every proposal comes back, with a reason if it goes
+@add("k3_cap_candidates", """WITH f AS (SELECT page_id, field_id, x, y, w, h, confidence, field_type, CASE WHEN field_id % 4 = 0 THEN concat('Riga ', label) ELSE label END AS label, field_id % 5 = 0 AS keyed FROM {fx_field}),
+t AS (SELECT * FROM f UNION ALL SELECT page_id, field_id + 1000, x, y + 24, w, h, confidence, field_type, label, keyed FROM f),
+m AS (SELECT *, count(*) OVER (PARTITION BY page_id) > 30 AS big, lead(field_type) OVER p AS nt, lead(y) OVER p AS ny, lead(h) OVER p AS nh, lead(x) OVER p AS nx, lead(w) OVER p AS nw FROM t WINDOW p AS (PARTITION BY page_id ORDER BY y, field_id)),
+j AS (SELECT *, coalesce(field_type = 'TEXT_SHORT' AND NOT keyed AND nt = 'TEXT_SHORT' AND ny - y <= 35 AND ny > y AND abs(nx - x) <= 25 AND abs(nw - w) <= 30, false) AS jn FROM m WHERE big),
+r AS (SELECT *, coalesce(sum(CASE WHEN jn THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY y, field_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM j),
+a AS (SELECT *, jn AND row_number() OVER (PARTITION BY page_id, run ORDER BY y, field_id) % 2 = 1 AS absorbs FROM r),
+g AS (SELECT *, coalesce(lag(absorbs) OVER (PARTITION BY page_id ORDER BY y, field_id), false) AS gone FROM a),
+z AS (SELECT page_id, field_id, y, confidence, CASE WHEN absorbs AND NOT gone THEN 'TEXT_LONG' ELSE field_type END AS field_type, CASE WHEN absorbs AND NOT gone THEN floor((ny + nh - y) * 10 + 0.5) / 10 ELSE h END AS h,
+  CASE WHEN gone THEN 'MERGED' WHEN confidence > 0 AND confidence < 0.85::DOUBLE AND NOT keyed AND contains(label, 'Riga') THEN 'LOW_CONFIDENCE' END AS why FROM g),
+q AS (SELECT *, count(*) FILTER (WHERE why IS NULL) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id, why IS NULL ORDER BY coalesce(confidence, 0) DESC, y, field_id) AS rn FROM z)
+SELECT page_id, field_id, field_type, """ + sql_r4("h") + """ AS h, CASE WHEN why IS NULL AND n > 35 AND rn > 32 THEN 'OVER_BOUND' ELSE why END AS reason FROM q
+UNION ALL SELECT page_id, field_id, field_type, """ + sql_r4("h") + """, NULL FROM m WHERE NOT big""")
 def k3(fx):
     # two proposals per word, so that many pages pass the limit
     field = fx.fx_field.select("page_id", "field_id", "x", "y", "w", "h", "confidence", "field_type",
                                F.when(F.col("field_id") % 4 == 0, F.concat(F.lit("Riga "), "label")).otherwise(F.col("label")).alias("label"),
                                F.when(F.col("field_id") % 5 == 0, F.lit("key")).alias("semantic_key"))
     twice = field.unionByName(field.withColumns({"field_id": F.col("field_id") + 1000, "y": F.col("y") + 24}))
-    return op.cap_candidates(twice, BY).select("page_id", "field_id", "field_type", "h")
+    return op.judge_candidates(twice, BY, many=30, refine_over=35, keep=32).select("page_id", "field_id", "field_type", r4("h", "h"), "reason")
 
 
 @add("u2_fuse_candidates")

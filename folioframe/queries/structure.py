@@ -172,10 +172,25 @@ def f10(fx):
     return op.writing_lines(lines, fx.fx_rect, fx.fx_token, BY).select("page_id", "line_id", "x", "y", "w")
 
 
+def candidates(fx):
+    rects = fx.stored("fx_rect").withColumn("is_checkbox", c("rect_id") % 5 == 0)
+    return op.field_candidates(fx.stored("fx_line"), rects, fx.stored("fx_word"), fx.stored("fx_field"), fx.stored("fx_field_prev"), fx.fx_page, BY)
+
+
 @add("f11_field_candidates")
 def f11(fx):
-    rects = fx.stored("fx_rect").withColumn("is_checkbox", c("rect_id") % 5 == 0)
-    return op.field_candidates(fx.stored("fx_line"), rects, fx.stored("fx_word"), fx.stored("fx_field"), fx.stored("fx_field_prev"), fx.fx_page, BY).select("page_id", "field_id", "field_type", "derivation", "label", "confidence")
+    return candidates(fx).kept.select("page_id", "field_id", "item", "field_type", "derivation", "label", "confidence", "recovered")
+
+
+@add("f11_discarded")
+def f11_discarded(fx):
+    return candidates(fx).dropped
+
+
+@add("f11_detection_flags")
+def f11_flags(fx):
+    found = candidates(fx)
+    return op.detection_flags(found.kept, found.kept.where("recovered"), found.expected, BY)
 
 
 @add("f14_infer_region_fields")
