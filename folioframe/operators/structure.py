@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe.functions.keys import label_key, tidy
 from folioframe.functions.numbers import half_up, round_to
@@ -18,6 +19,7 @@ from folioframe.operators.readings import typical_height
 from folioframe.plans.graphs import both_ways, components
 from folioframe.plans.greedy import greedy_keep, greedy_owner
 from folioframe.plans.spatial import PAGE, Box, best_partner, box, box_of, near_join, share, touches, without_partner
+from folioframe.plans.sweeps import Reached, sweep
 from folioframe.session import cut_lineage
 
 A, B = "a_", "b_"
@@ -199,10 +201,11 @@ def column_headers(cell: DataFrame, token: DataFrame, second: DataFrame, diction
 
 
 def header_ancestors(cell: DataFrame, header: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE, component: DataFrame | None = None) -> DataFrame:
-    """(cell, header) pairs: headers over the column of a cell, reached through cells not below it.
+    """(cell, header) pairs: headers over the column of a cell, reached through cells not below it, those of the nearest level.
 
-    Only pairs of one table that share a column are followed. From each such cell the walk spreads over touching
-    cells that lie no lower than it, one step a round, and stops as soon as its nearest headers are met.
+    Only pairs of one table that share a column are asked for. One sweep down every table joins touching cells as they begin; a
+    cell's pairs are judged when all that lies no lower than it is joined. Rounds of joins are left for cells with several nearest headers: ``steps`` is the length of
+    the path to each of these, and null where there is one header only.
     """
     a, b = box(A), box(B)
     keys = [*by, "cell_id"]
@@ -213,29 +216,46 @@ def header_ancestors(cell: DataFrame, header: DataFrame, heights: DataFrame, by:
     column = near_join(slim, heads, [*by, "component"], reach=Box(F.col("x"), F.lit(0.0), F.col("w"), F.col("y") + F.col("h")), tile=512.0).where(
         (F.col("a_cell_id") != F.col("b_head_id")) & (b.bottom <= a.y + F.col("a_tol"))
         & ((F.least(a.right, b.right) - F.greatest(a.x, b.x)) >= F.least(a.w, b.w) * 0.7))
-    pending = cut_lineage(column.select(*by, "component", F.col("a_cell_id").alias("cell_id"), F.col("b_head_id").alias("head_id"), (b.y + b.h).alias("head_bottom"), F.col("b_w").alias("head_w"),
-                                     F.col("b_label").alias("label"), F.col("b_type").alias("type"), F.col("b_source").alias("source"), F.col("b_conflict").alias("conflict"), F.col("a_tol").alias("tol")))
-    edges = both_ways(cell_adjacency(cell, heights, by), by, "cell_a", "cell_b")
-    links = cut_lineage(edges.join(cell.select(*by, F.col("cell_id").alias("dst"), F.col("y").alias("dst_y")), [*by, "dst"]))
-    start = pending.select(*keys).distinct().join(slim.select(*keys, (F.col("y") + F.col("tol")).alias("limit")), keys)
-    front = cut_lineage(start.select(*keys, "limit", F.col("cell_id").alias("at")))
-    seen, reached, step = front.select(*keys, "at"), None, 0
-    while True:
+    pending = cut_lineage(column.select(*by, "component", F.col("a_cell_id").alias("cell_id"), F.col("b_head_id").alias("head_id"), (a.y + F.col("a_tol")).alias("limit"), (b.y + b.h).alias("head_bottom"),
+                                     F.col("b_w").alias("head_w"), F.col("b_label").alias("label"), F.col("b_type").alias("type"), F.col("b_source").alias("source"), F.col("b_conflict").alias("conflict"), F.col("a_tol").alias("tol")))
+    # only tables with a header are swept
+    live = slim.join(heads.select(*by, "component").distinct(), [*by, "component"], "left_semi")
+    adjacent = cut_lineage(cell_adjacency(cell, heights, by).select(*by, "cell_a", "cell_b"))
+    ends = lambda p: live.select(*by, F.col("cell_id").alias(f"cell_{p}"), "component", F.col("y").alias(f"y_{p}"))
+    links = adjacent.join(ends("a"), [*by, "cell_a"]).join(ends("b").drop("component"), [*by, "cell_b"]).select(
+        *by, "component", F.greatest("y_a", "y_b").alias("at"), F.lit(False).alias("ask"), F.col("cell_a").alias("one"), F.col("cell_b").alias("other"))
+    asked = pending.select(*by, "component", F.col("limit").alias("at"), F.lit(True).alias("ask"), F.col("cell_id").alias("one"), F.col("head_id").alias("other"))
+    kind = T.StructType([T.StructField("cell_id", cell.schema["cell_id"].dataType), T.StructField("head_id", cell.schema["cell_id"].dataType)])
+    met = sweep(links.unionByName(asked), [*by, "component"], [F.col("at"), F.col("ask"), F.col("one"), F.col("other")], Reached, kind).drop("component")
+    reached = cut_lineage(pending.join(met, [*keys, "head_id"]))
+    nearest = reached.groupBy(*keys).agg(F.max("head_bottom").alias("_near"))
+    near = reached.join(nearest, keys).where(F.col("_near") - F.col("head_bottom") <= F.col("tol")).drop("_near")
+    rivals = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    near = cut_lineage(near.join(_flag(rivals, "_rival"), keys, "left"))
+    steps = _path_lengths(near.where("_rival"), adjacent, cell, by)
+    return near.join(steps, [*keys, "head_id"], "left").drop("_rival", "tol", "component", "limit")
+
+
+def _path_lengths(pair: DataFrame, adjacent: DataFrame, cell: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``steps`` from a cell to each of its headers through cells that begin no lower than its limit; a round a step, until the last of them is met."""
+    keys = [*by, "cell_id"]
+    links = both_ways(adjacent, by, "cell_a", "cell_b")
+    links = links.join(cell.select(*by, F.col("cell_id").alias("dst"), F.col("y").alias("dst_y")), [*by, "dst"])
+    open_ = cut_lineage(pair.select(*keys, "head_id", "limit"))
+    front = open_.select(*keys, "limit", F.col("cell_id").alias("at")).distinct()
+    seen, found, step = front.select(*keys, "at"), open_.limit(0).select(*keys, "head_id", F.lit(0).alias("steps")), 0
+    if not open_.isEmpty():
+        links = cut_lineage(links)
+    while not open_.isEmpty():
         step += 1
         nxt = front.join(links.withColumnRenamed("src", "at"), [*by, "at"]).where(F.col("dst_y") <= F.col("limit")).select(*keys, "limit", F.col("dst").alias("at")).distinct()
         front = cut_lineage(nxt.join(seen, [*keys, "at"], "left_anti"))
-        hits = cut_lineage(pending.join(front.select(*keys, F.col("at").alias("head_id")), [*keys, "head_id"]).withColumn("steps", F.lit(step)))
-        reached = hits if reached is None else reached.unionByName(hits)
-        # met headers leave, and so do those more than a level above the lowest one met
-        level = reached.groupBy(*keys).agg(F.max("head_bottom").alias("_near"))
-        left = pending.join(hits.select(*keys, "head_id"), [*keys, "head_id"], "left_anti").join(level, keys, "left")
-        pending = cut_lineage(left.where(F.col("_near").isNull() | (F.col("_near") - F.col("head_bottom") <= F.col("tol"))).drop("_near"))
+        hit = open_.join(front.select(*keys, F.col("at").alias("head_id")), [*keys, "head_id"], "left_semi")
+        found = cut_lineage(found.unionByName(hit.select(*keys, "head_id", F.lit(step).alias("steps"))))
+        open_ = cut_lineage(open_.join(found, [*keys, "head_id"], "left_anti"))
         seen = seen.unionByName(front.select(*keys, "at"))
-        front = front.join(pending.select(*keys).distinct(), keys, "left_semi")
-        if front.isEmpty():
-            break
-    nearest = reached.groupBy(*keys).agg(F.max("head_bottom").alias("_near"))
-    return reached.join(nearest, keys).where(F.col("_near") - F.col("head_bottom") <= F.col("tol")).drop("_near", "tol", "component")
+        front = front.join(open_.select(*keys).distinct(), keys, "left_semi")
+    return found
 
 
 def signature_lines(line: DataFrame, token: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE, anchor: str = r"(?i)^firma(?:\b|\s)") -> DataFrame:

@@ -280,3 +280,29 @@ class Regions(Rule):
         w = max(0.0, min(r[0] + r[2], c["x"] + c["w"]) - max(r[0], c["x"]))
         h = max(0.0, min(r[1] + r[3], c["y"] + c["h"]) - max(r[1], c["y"]))
         return w * h / max(1.0, min(r[2] * r[3], c["w"] * c["h"]))
+
+
+class Reached(Rule):
+    """Which pairs of nodes hang together through nodes that begin no lower than a limit, all limits in one pass downward.
+
+    Rows in order of ``at``: ``link`` rows join two nodes, ``ask`` rows want to know whether two nodes are joined by now. The state is one
+    number for each node of the group.
+    """
+
+    def __init__(self):
+        self.up = {}
+
+    def _root(self, n):
+        up = self.up
+        while (above := up.get(n, n)) != n:
+            up[n] = up.get(above, above)
+            n = up[n]
+        return n
+
+    def row(self, r):
+        a, b = self._root(r["one"]), self._root(r["other"])
+        if r["ask"]:
+            return [(r["one"], r["other"])] if a == b else []
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return []
