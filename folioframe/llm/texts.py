@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -14,8 +13,8 @@ from pyspark.sql import types as T
 BY = ("doc_id", "page_no")
 # Characters that one step of a text operator holds at once; a longer text is a step of its own.
 STEP_CHARS = 1 << 18
-# Bytes of one generation of a memo, and characters of a key worth remembering.
-MEMO_BYTES, LONG_KEY = 80 << 20, 256
+# Characters of a key worth remembering.
+LONG_KEY = 256
 
 
 def slices(batch: pa.RecordBatch, lengths: Sequence[int], most: int = STEP_CHARS):
@@ -57,26 +56,24 @@ def annotate(frame: DataFrame, carry: Sequence[str], text: str, fields: T.Struct
 class Memo(dict):
     """Results of a pure function, kept in two generations so that memory stays bounded.
 
-    When ``most`` results or about ``most_bytes`` are held, they become the older generation and the one before it goes; what is
-    still asked for moves back. Results of long keys are made anew each time. Workers live on from task to task, and so does the memo.
+    Long keys weigh more: one for every 16 characters. When ``most`` is held, the results become the older generation and the one before it goes; what is
+    still asked for moves back. Results of very long keys are made anew each time. Workers live on from task to task, and so does the memo.
     """
 
-    def __init__(self, make: Callable, most: int, most_bytes: int = MEMO_BYTES):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most, self.most_bytes, self.older, self.held = make, most, most_bytes, {}, 0
+        self.make, self.most, self.older, self.held = make, most, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        length = sum(map(len, key)) if isinstance(key, tuple) else len(key)
-        if length > LONG_KEY:
-            return value
-        if len(self) >= self.most or self.held >= self.most_bytes:
+            if len(key) > LONG_KEY:
+                return value
+        if self.held >= self.most:
             self.older = dict(self)
             self.clear()
             self.held = 0
         self[key] = value
-        # the entry, its key and value; a value of several parts is as long as its key at most, each part an object
-        self.held += 200 + 2 * length + (64 * len(value) if isinstance(value, (tuple, list)) else getsizeof(value))
+        self.held += 1 + (len(key) >> 4)
         return value

@@ -92,13 +92,16 @@ def test_many_notices_in_one_text_take_time_in_proportion():
 
 def test_memory_of_results_is_bounded_in_bytes():
     made = []
-    memo = texts.Memo(lambda k: made.append(k) or k.encode() * 4, 1000, most_bytes=50_000)
+    memo = texts.Memo(lambda k: made.append(k) or k.encode() * 4, 1000)
     for k in range(5000):
-        memo[f"word{k}"]
-        assert sum(len(v) for part in (memo, memo.older) for v in part.values()) < 100_000 and len(memo) < 300
+        memo[f"{k:0200d}"]
+        assert sum(len(v) for part in (memo, memo.older) for v in part.values()) < 2 * 1000 * 16 * 4 and len(memo) < 100
+    for k in range(5000):
+        memo[f"w{k}"]
+        assert len(memo) <= 1000 and len(memo.older) <= 1000
     long = "x" * 10_000
     assert memo[long] == long.encode() * 4 and memo[long] and long not in memo and made.count(long) == 2
-    assert memo["word4999"] and made.count("word4999") == 1
+    assert memo["w4999"] and made.count("w4999") == 1
 
 
 def plain_quality(rows, most, share, left, least_words=20):
