@@ -597,6 +597,114 @@ def infer_region_fields(cell: DataFrame, token: DataFrame, page: DataFrame, heig
         F.when(inline, None).otherwise(F.col("own_text")).alias("value"))
 
 
+def checkbox_captions(checkbox: DataFrame, token: DataFrame, page: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE,
+                      heading: str = r"(?i)^(?:data|firma|verbale)\b", combined: str = r"(?i)^data\s+firma\b", unknown: str = "Selezione da verificare") -> DataFrame:
+    """Per checkbox its caption, or one refusal: the words from the next one on its row up to the next box, in order of x.
+
+    ``checkbox``: ``box_id`` and box; ``token``: ``line_id``. The next word stands at most 250 pt to the right and less than a text height higher or lower; the caption is
+    the rest of that word's line before the next box of the row. Boxes beside a ``heading``, smaller than 0.75 text heights, or with a ``combined`` heading
+    as caption are refused; a box without words is called ``unknown``.
+    """
+    keys = [*by, "box_id"]
+    a, b = box(A), box(B)
+    th = F.col("a_th")
+    sized = _tolerant(checkbox.select(*by, "box_id", "x", "y", "w", "h"), heights, by).join(page.select(*by, "page_w"), list(by)).select(*keys, "x", "y", "w", "h", "th", "page_w")
+    # a strip from the box to the right border of the page
+    strip = Box(F.col("x"), F.col("y") - F.col("th"), F.greatest(F.col("w"), F.col("page_w") - F.col("x")), F.col("th") * 2)
+    corner = Box(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0))
+    boxes = near_join(sized, checkbox.select(*by, "box_id", "x", "y"), by, reach=strip, b_extent=corner, tile=512.0).where((F.col("b_x") > a.right) & (F.abs(F.col("b_y") - a.y) < th))
+    stops = boxes.groupBy(*by, F.col("a_box_id").alias("box_id")).agg(F.min("b_x").alias("stop"))
+    words = token.select(*by, "token_id", "line_id", "x", "y", "text")
+    right = near_join(sized, words, by, reach=strip, b_extent=corner, tile=512.0).where((F.col("b_x") >= a.right - 2) & (F.abs(F.col("b_y") - a.y) < th)).withColumnRenamed("a_box_id", "box_id")
+    first = best_partner(right.where(F.col("b_x") - a.right < 250), keys, [F.col("b_x"), F.col("b_token_id")], {"next_line": F.col("b_line_id"), "next_x": F.col("b_x"), "next_text": F.col("b_text")})
+    # the line of the next word, whatever the height of its words
+    row = sized.join(first, keys).join(stops, keys, "left").select(*keys, F.coalesce("stop", "page_w").alias("stop"), F.col("next_line").alias("line_id"), "next_x")
+    caption = row.join(words, [*by, "line_id"]).where((F.col("x") >= F.col("next_x")) & (F.col("x") < F.col("stop"))).groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "token_id", "text"))), lambda e: e["text"]), " ").alias("caption"))
+    j = sized.join(first.select(*keys, "next_text"), keys, "left").join(caption, keys, "left")
+    label = F.coalesce("caption", F.lit(unknown))
+    reason = (F.when(F.col("next_text").rlike(heading), "CHECKBOX_NEXT_TO_STATIC_HEADING").when(F.least("w", "h") < F.col("th") * 0.75, "CHECKBOX_BELOW_TEXT_SCALE")
+              .when(label.rlike(combined), "CHECKBOX_COMBINED_HEADING"))
+    shown = F.trim(F.regexp_replace(label, r"\s*[C(\[\]]?\s*$", ""))
+    return j.select(*keys, F.when(reason.isNull(), "proposed").otherwise("excluded").alias("outcome"), F.coalesce(reason, F.when(F.col("caption").isNull(), "CHECKBOX_WITHOUT_CAPTION").otherwise("CHECKBOX_CAPTION")).alias("reason"),
+                    F.when(reason.isNull(), shown).alias("label"), "x", "y", "w", "h")
+
+
+def narrative_fields(cell: DataFrame, token: DataFrame, heights: DataFrame, caption: str, by: Sequence[str] = PAGE) -> DataFrame:
+    """Cells with a printed narrative caption at the top: the response area below it, with what already stands there.
+
+    ``token``: words with ``line_id`` and ``is_instruction``; ``caption``: pattern of a caption from the start of its row. Cells of at most three text heights and cells
+    without such a caption are not here. Printed instructions in the upper 45 % belong to the caption. If the response begins on the caption's row, the whole
+    cell is the area (``shares_row``). Areas lower than a text height are refused.
+    """
+    keys = [*by, "cell_id"]
+    b = box(B)
+    sized = _tolerant(cell.select(*by, "cell_id", "x", "y", "w", "h"), heights, by).select(*keys, "x", "y", "w", "h", "th", F.greatest(F.lit(4.0), F.col("th") * 0.18).alias("margin")).where(F.col("h") > F.col("th") * 3)
+    words = token.where(F.col("text").rlike("(?i)[a-zà-ù0-9]")).select(*by, "token_id", "line_id", "x", "y", "w", "h", "text", "is_instruction")
+    near = near_join(sized, words, by, reach=box().grown(0.0, F.col("margin") * 2, 0.0, 0.0), tile=512.0)
+    cellbox = box(A)
+    edge = (b.x >= cellbox.x) & (b.right <= cellbox.right) & (b.y < cellbox.y + F.col("a_th")) & (b.bottom > cellbox.y - F.col("a_margin") * 2)
+    held = near.where((share(b, cellbox) > 0.55) | edge).select(
+        *by, F.col("a_cell_id").alias("cell_id"), F.col("a_th").alias("th"), F.col("a_margin").alias("margin"), *[F.col(f"a_{v}").alias(f"c{v}") for v in ("x", "y", "w", "h")],
+        *[F.col(f"b_{v}").alias(v) for v in ("token_id", "line_id", "x", "y", "h", "text", "is_instruction")])
+    held = cut_lineage(held)
+    opens = held.where((F.col("x") < F.col("cx") + F.col("th") * 4) & (F.abs(F.col("y") - F.col("cy")) < F.col("th") * 1.8) & F.col("text").rlike(f"(?i)^(?:{caption})(?=\\s|$|[:.,])"))
+    start = opens.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("y") - F.col("cy")).alias("away"), "x", "token_id", "line_id", "y")).alias("s")).select(*keys, F.col("s.line_id").alias("s_line"), F.col("s.y").alias("s_y"))
+    told = held.where(F.col("is_instruction") & (F.col("y") < F.col("cy") + F.col("ch") * 0.45)).select(*keys, F.col("line_id")).distinct()
+    j = held.join(start, keys).join(told.withColumn("_told", F.lit(True)), [*keys, "line_id"], "left")
+    top = (F.col("line_id") == F.col("s_line")) & (F.abs(F.col("y") - F.col("s_y")) < F.col("th") * 0.65)
+    instructed = F.coalesce("_told", F.lit(False))
+    part = F.when(top, "caption").when(instructed, "instruction").when(F.col("y") >= F.col("s_y") + F.col("th") * 0.3, "response")
+    j = cut_lineage(j.withColumn("part", part))
+    texts = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("y", "x", "token_id", "text")))), lambda e: e["text"]), " ")
+    row = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("x", "token_id", "text")))), lambda e: e["text"]), " ")
+    bottom = F.max(F.when(F.col("part").isin("caption", "instruction"), F.col("y") + F.col("h")))
+    found = j.groupBy(*keys).agg(row("caption").alias("label"), texts("response").alias("value"), bottom.alias("bottom"), F.min(F.when(F.col("part") == "response", F.col("y"))).alias("top"),
+                                 *[F.any_value(v).alias(v) for v in ("cx", "cy", "cw", "ch", "th", "margin")])
+    shares = F.coalesce(F.col("top") < F.col("bottom") + F.col("margin"), F.lit(False))
+    y = F.when(shares, F.col("cy")).otherwise(F.col("bottom")) + F.col("margin")
+    height = F.col("cy") + F.col("ch") - F.col("margin") - y
+    short = height < F.col("th")
+    return found.select(*keys, F.when(short, "excluded").otherwise("proposed").alias("outcome"), F.when(short, "NARRATIVE_RESPONSE_TOO_SHORT").otherwise("NARRATIVE_CAPTION").alias("reason"),
+                        tidy(F.col("label")).alias("label"), (F.col("cx") + F.col("margin")).alias("x"), y.alias("y"), (F.col("cw") - F.col("margin") * 2).alias("w"), height.alias("h"),
+                        F.when(F.col("value") != "", F.col("value")).alias("value"), shares.alias("shares_row"))
+
+
+def right_hand_roles(cell: DataFrame, token: DataFrame, heights: DataFrame, role: str, by: Sequence[str] = PAGE) -> DataFrame:
+    """Cells whose right-hand neighbour names a role (numbers before it aside): ``cell_id``, ``role``, the first neighbour by id."""
+    keys = [*by, "cell_id"]
+    a, b = box(A), box(B)
+    sized = _tolerant(cell.select(*by, "cell_id", "x", "y", "w", "h"), heights, by).select(*keys, "x", "y", "w", "h", "th")
+    told = F.trim(F.regexp_replace(tidy(F.col("text")), r"^\d+[.)]?\s*", ""))
+    named = cell_texts(cell, token, by).withColumn("role", told)
+    pairs = near_join(sized, cell.select(*by, "cell_id", "x", "y", "w", "h"), by, reach=box().grown(F.col("th"), F.col("th"), F.col("th"), F.col("th")), tile=512.0).where(
+        (F.col("a_cell_id") != F.col("b_cell_id")) & (F.abs(b.x - a.right) < F.col("a_th")) & (F.abs(b.y - a.y) < F.col("a_th"))).withColumnRenamed("a_cell_id", "cell_id")
+    beside = pairs.groupBy(*keys).agg(F.min("b_cell_id").alias("_right"))
+    return beside.join(named.select(*by, F.col("cell_id").alias("_right"), "role"), [*by, "_right"]).where(F.col("role").rlike(f"(?i)^(?:{role})\\b")).select(*keys, "role")
+
+
+# Decisions that come before a role in the right-hand cell.
+_BEFORE_ROLES = ("PRINTED_INSTRUCTION_IN_REGION", "INK_WITHOUT_POSITIONED_TEXT", "COLUMN_HEADER_STATIC", "COLUMN_HEADER")
+
+
+def infer_page_fields(cell: DataFrame, checkbox: DataFrame, token: DataFrame, page: DataFrame, heights: DataFrame, header_key: DataFrame, label_keys: DataFrame,
+                      caption: str, role: str, by: Sequence[str] = PAGE, role_label: str = "Nome e Cognome — ") -> DataFrame:
+    """One decision for every cell and checkbox, rules in order: checkbox captions, narrative captions, then :func:`infer_region_fields`, in which a role in the
+    right-hand cell names a cell that no instruction, ink or column header has decided. ``kind``: cell or checkbox."""
+    keys = [*by, "cell_id"]
+    shown = [*keys, "outcome", "reason", "label", "x", "y", "w", "h", "value"]
+    ticks = checkbox_captions(checkbox, token, page, heights, by).withColumnRenamed("box_id", "cell_id").withColumn("value", F.lit(None).cast("string"))
+    told = cut_lineage(narrative_fields(cell, token, heights, caption, by))
+    rest = infer_region_fields(cell, token, page, heights, header_key, label_keys, by).join(told.select(*keys), keys, "left_anti")
+    roles = right_hand_roles(cell, token, heights, role, by)
+    rest = rest.join(roles, keys, "left")
+    named = F.col("role").isNotNull() & ~F.col("reason").isin(*_BEFORE_ROLES)
+    rest = rest.withColumns({"outcome": F.when(named, "proposed").otherwise(F.col("outcome")), "label": F.when(named, F.concat(F.lit(role_label), "role")).otherwise(F.col("label")),
+                             "reason": F.when(named, "RIGHT_HAND_ROLE").otherwise(F.col("reason"))})
+    cells = told.select(*shown).unionByName(rest.select(*shown)).withColumn("kind", F.lit("cell"))
+    return cells.unionByName(ticks.select(*shown).withColumn("kind", F.lit("checkbox")))
+
+
 def infer_line_fields(line: DataFrame, token: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
     """Writing line with a label on its row or above it: a field over the line; a date on it is its value.
 

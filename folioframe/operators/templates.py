@@ -384,11 +384,27 @@ def _diffs(pairs: DataFrame) -> DataFrame:
     return structural_diff(pairs)
 
 
-def _best_earlier(template: DataFrame) -> DataFrame:
-    """Differences among which is the most similar earlier template of each, if that has 50 or more."""
-    sides = _earlier_classes(template)
+def _best_earlier(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The most similar earlier row of ``right`` for every template of ``left``, if that has 50 or more: ``first_id``, ``parent``, ``parent_ord``, ``similarity``."""
+    sides = classed(left.select(*_PROFILE), right.select(*_PROFILE), "template_id", "template_id")
+    sides = sides._replace(right=sides.right.select(*[F.col(c).alias("s_" + c) for c in _PROFILE], "_class"))
     score = lambda pairs: _diffs(pairs).select(F.col("c_template_id").alias("template_id"), F.col("similarity").alias("ranking"), "c_template_id", "s_template_id", "s_ord", "similarity", "class")
-    return best_of(sides, class_pairs(sides, _similarity_bound(), 50.0), "template_id", score)
+    found = best_of(sides, class_pairs(sides, _similarity_bound(), 50.0), "template_id", score)
+    best = found.groupBy("c_template_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("s_ord").alias("o"), F.col("s_template_id").alias("parent"), F.col("class").alias("class"))).alias("_b"))
+    return best.where(F.col("_b.class") != "UNKNOWN").select(
+        F.col("c_template_id").alias("first_id"), F.col("_b.parent").alias("parent"), F.col("_b.o").alias("parent_ord"), (-F.col("_b.s")).alias("similarity"))
+
+
+def _earliest(template: DataFrame) -> DataFrame:
+    return template.groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("first_id"))
+
+
+def _links(template: DataFrame, earliest: DataFrame, related: DataFrame) -> DataFrame:
+    """Parent of every template: copies follow the earliest of their fingerprint, or what it follows if that is just as similar."""
+    placed = template.select("template_id", "fingerprint").join(earliest, "fingerprint").join(related.select("first_id", "parent", "parent_ord", "similarity"), "first_id", "left")
+    follows = (F.col("template_id") != F.col("first_id")) & (F.coalesce("similarity", F.lit(0.0)) < 100)
+    return placed.select("template_id", "first_id", F.when(follows, F.col("first_id")).otherwise(F.col("parent")).alias("parent"),
+                         F.when(follows, 100.0).otherwise(F.col("similarity")).alias("similarity"))
 
 
 def cluster_templates(template: DataFrame) -> DataFrame:
@@ -396,19 +412,69 @@ def cluster_templates(template: DataFrame) -> DataFrame:
 
     Related templates have a similarity of 50 or more; classes of templates whose bound is below are not compared. Only the earliest
     template of each fingerprint is compared; its copies follow it, or what it follows if that is just as similar.
-    ``template``: template_id, ord and the profile columns.
+    ``template``: template_id, ord and the profile columns. Gives ``template_id``, ``cluster_id`` (the family's first template), ``first_id``, ``parent``, ``similarity``.
     """
-    cols = ["template_id", "ord", "page_count", "boxes", "fingerprint", "pages"]
-    earliest = template.groupBy("fingerprint").agg(F.min_by("template_id", "ord").alias("first_id"))
-    first = cut_lineage(template.join(earliest, "fingerprint").where(F.col("template_id") == F.col("first_id")).select(*cols))
-    diff = _best_earlier(first.select(*cols))
-    best = diff.groupBy("c_template_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("s_ord").alias("o"), F.col("s_template_id").alias("parent"), F.col("class").alias("class"))).alias("_b"))
-    related = best.where(F.col("_b.class") != "UNKNOWN").select(F.col("c_template_id").alias("first_id"), F.col("_b.parent").alias("parent"), (-F.col("_b.s")).alias("similarity"))
-    placed = template.select("template_id", "fingerprint").join(earliest, "fingerprint").join(related, "first_id", "left")
-    follows = (F.col("template_id") != F.col("first_id")) & (F.coalesce("similarity", F.lit(0.0)) < 100)
-    forest = cut_lineage(placed.select("template_id", F.when(follows, F.col("first_id")).otherwise(F.col("parent")).alias("parent"),
-                                       F.when(follows, 100.0).otherwise(F.col("similarity")).alias("similarity")))
-    return roots(forest, "template_id", "parent").withColumnRenamed("root", "cluster_id").join(forest, "template_id")
+    earliest = _earliest(template)
+    first = cut_lineage(template.join(earliest.select(F.col("first_id").alias("template_id")), "template_id").select(*_PROFILE))
+    forest = cut_lineage(_links(template, earliest, _best_earlier(first, first)))
+    return roots(forest.select("template_id", "parent"), "template_id", "parent").withColumnRenamed("root", "cluster_id").join(forest, "template_id")
+
+
+def update_families(family: DataFrame, template: DataFrame, known: DataFrame) -> DataFrame:
+    """Families after templates were added or removed, equal to :func:`cluster_templates` of all that ``template`` now holds.
+
+    ``family`` is the result so far for the profiles ``known``. Templates that lost the one they follow, and those that are the earliest of their
+    fingerprint for the first time, are compared with all earlier ones; the others only with the added. Only families in which a link changed get new roots.
+    """
+    earliest = cut_lineage(_earliest(template))
+    first = cut_lineage(template.join(earliest.select(F.col("first_id").alias("template_id")), "template_id").select(*_PROFILE))
+    ids = first.select(F.col("template_id").alias("first_id"))
+    stays = ids.withColumnRenamed("first_id", "parent")
+    # what a template that is still the earliest of its fingerprint followed, if that still is one as well
+    was = family.where(F.col("template_id") == F.col("first_id")).select("first_id", "parent", "similarity").join(ids, "first_id", "left_semi")
+    sound = cut_lineage(was.where(F.col("parent").isNull()).unionByName(was.join(stays, "parent", "left_semi").select("first_id", "parent", "similarity")))
+    order = first.select(F.col("template_id").alias("parent"), F.col("ord").alias("parent_ord"))
+    held = sound.where(F.col("parent").isNotNull()).join(order, "parent").select("first_id", "parent", "parent_ord", "similarity")
+    new = cut_lineage(first.join(known.select("template_id"), "template_id", "left_anti").select(*_PROFILE))
+    # an earlier copy that was compared through another one counts as added, too
+    moved = first.join(family.where(F.col("template_id") == F.col("first_id")).select("template_id"), "template_id", "left_anti").join(new.select("template_id"), "template_id", "left_anti").select(*_PROFILE)
+    added = cut_lineage(new.unionByName(moved))
+    judged = first.join(sound.select(F.col("first_id").alias("template_id")), "template_id", "left_semi").select(*_PROFILE)
+    open_ = first.join(sound.select(F.col("first_id").alias("template_id")), "template_id", "left_anti").select(*_PROFILE)
+    options = held.unionByName(_best_earlier(judged, added)).unionByName(_best_earlier(cut_lineage(open_), first))
+    best = options.groupBy("first_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("parent_ord").alias("o"), "parent")).alias("_b")).select(
+        "first_id", F.col("_b.parent").alias("parent"), F.col("_b.o").alias("parent_ord"), (-F.col("_b.s")).alias("similarity"))
+    forest = cut_lineage(_links(template, earliest, best))
+    before = family.select("template_id", F.col("parent").alias("_was"), F.col("cluster_id").alias("_family"))
+    joined = cut_lineage(forest.join(before, "template_id", "full_outer"))
+    changed = F.col("_family").isNull() | F.col("first_id").isNull() | ~F.col("parent").eqNullSafe(F.col("_was"))
+    touched = joined.where(changed & F.col("_family").isNotNull()).select("_family").distinct()
+    there = joined.where(F.col("first_id").isNotNull())
+    loose = there.where(F.col("_family").isNull()).unionByName(there.join(touched, "_family", "left_semi").select(*there.columns))
+    rerooted = roots(_within(loose), "template_id", "parent").withColumnRenamed("root", "_top")
+    quiet = there.where(F.col("_family").isNotNull()).join(touched, "_family", "left_anti").select("template_id", F.col("_family").alias("cluster_id"))
+    quiet = cut_lineage(quiet)
+    # a root that follows a template of an untouched family belongs to that family
+    above = forest.select(F.col("template_id").alias("_top"), F.col("parent").alias("_up")).join(quiet.select(F.col("template_id").alias("_up"), F.col("cluster_id").alias("_there")), "_up", "left")
+    settled = rerooted.join(above, "_top", "left").select("template_id", F.coalesce("_there", "_top").alias("cluster_id"))
+    return quiet.unionByName(settled).join(forest, "template_id")
+
+
+def _within(loose: DataFrame) -> DataFrame:
+    """Links of these templates among themselves; a link that leads elsewhere ends here."""
+    inside = loose.select(F.col("template_id").alias("parent"), F.lit(True).alias("_in"))
+    return loose.select("template_id", "parent").join(inside, "parent", "left").select("template_id", F.when(F.col("_in"), F.col("parent")).alias("parent"))
+
+
+def family_of(member: DataFrame, template_id: DataFrame) -> DataFrame:
+    """Families by one of their templates: the wanted ``template_id`` with ``cluster_id`` (null if it is in none) and all ``members`` of the family, counted."""
+    sizes = member.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    return template_id.select("template_id").join(member.select("template_id", "cluster_id"), "template_id", "left").join(sizes, "cluster_id", "left").select("template_id", "cluster_id", "members")
+
+
+def families_of_order(registry: DataFrame, school_order: str) -> DataFrame:
+    """Rows of :func:`cluster_registry` for one school order, upper or lower case."""
+    return registry.where(F.lower("school_order") == school_order.lower())
 
 
 def cluster_registry(member: DataFrame, template: DataFrame) -> DataFrame:
@@ -438,6 +504,68 @@ def register(batch: DataFrame, registry: DataFrame) -> DataFrame:
     return fresh.join(first, ["fingerprint", "ord", "template_id"], "left_semi")
 
 
+def register_valid(batch: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows of a batch, and one row with ``issues`` for each other one.
+
+    ``batch`` has ``ord`` and the flags of :func:`validate_template`. Invalid rows never enter and never stand in the way of a later copy; of equal
+    fingerprints of valid rows the first enters, the others are ``DUPLICATE_IN_BATCH``.
+    """
+    judged = cut_lineage(batch.join(validate_template(batch, registry).select("template_id", "issues", "is_valid"), "template_id"))
+    valid = judged.where("is_valid").drop("issues", "is_valid")
+    accepted = cut_lineage(register(valid, registry))
+    late = valid.join(accepted.select("template_id"), "template_id", "left_anti").select("template_id", F.array(F.lit("DUPLICATE_IN_BATCH")).alias("issues"))
+    return accepted, judged.where(~F.col("is_valid")).select("template_id", "issues").unionByName(late)
+
+
+# Statuses of templates that are out of use.
+ARCHIVE = ("deprecated", "archived")
+
+
+def status_periods(event: DataFrame) -> DataFrame:
+    """How long every status of a template held: ``valid_from``, ``valid_to`` (null: still), in the order of event times and ids.
+
+    Built from the whole log, so a late event takes its place in time. Of events at one moment the last by id holds; a repeated status does not begin a new period.
+    """
+    last = event.groupBy("template_id", "ts").agg(F.max_by("status", "event_id").alias("status"))
+    own = Window.partitionBy("template_id").orderBy("ts")
+    begins = last.withColumn("_before", F.lag("status").over(own)).where(F.col("_before").isNull() | (F.col("_before") != F.col("status")))
+    return begins.select("template_id", "status", F.col("ts").alias("valid_from"), F.lead("ts").over(own).alias("valid_to"))
+
+
+def status_as_of(event: DataFrame, moment) -> DataFrame:
+    """Status of every template at a moment; templates without an event up to then are absent."""
+    return registry_status(event.where(F.col("ts") <= F.lit(moment)))
+
+
+def registry_views(event: DataFrame) -> DataFrame:
+    """Current status of every template and the ``view`` it belongs to: active, archive or other."""
+    view = F.when(F.col("status") == "active", "active").when(F.col("status").isin(*ARCHIVE), "archive").otherwise("other")
+    return registry_status(event).withColumn("view", view)
+
+
+def status_history(period: DataFrame, moment: DataFrame) -> DataFrame:
+    """How many templates had each status at every given ``moment`` (a list of moments with column ``moment``).
+
+    Periods are counted at the first moment they reach and taken off at the first after their end; running sums over the moments do
+    the rest, so no period meets every moment.
+    """
+    moments = [r[0] for r in moment.select("moment").distinct().orderBy("moment").limit(100_001).collect()]
+    if len(moments) > 100_000:
+        raise ValueError("more than 100,000 moments")
+    if not moments:
+        return period.select("status", F.lit(None).cast("timestamp").alias("moment"), F.lit(0).cast("bigint").alias("templates")).limit(0)
+    spark = period.sparkSession
+    listed = spark.createDataFrame(list(enumerate(moments)), f"at int, moment {moment.schema['moment'].dataType.simpleString()}")
+    reach = lambda ts: F.size(F.filter(F.lit(moments), lambda m: m < ts))
+    change = period.select("status", F.explode(F.array(F.struct(reach(F.col("valid_from")).alias("at"), F.lit(1).alias("n")), F.struct(
+        F.when(F.col("valid_to").isNotNull(), reach(F.col("valid_to"))).alias("at"), F.lit(-1).alias("n")))).alias("c")).select("status", "c.at", "c.n").where(F.col("at").isNotNull())
+    steps = change.groupBy("status", "at").agg(F.sum("n").alias("n"))
+    grid = period.select("status").distinct().join(listed)
+    own = Window.partitionBy("status").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = grid.join(steps, ["status", "at"], "left").withColumn("templates", F.sum(F.coalesce("n", F.lit(0))).over(own))
+    return counted.select("status", "moment", F.col("templates").cast("bigint").alias("templates"))
+
+
 def registry_status(event: DataFrame) -> DataFrame:
     """Current status per template from its event log: latest event wins, event id breaks ties."""
     return event.groupBy("template_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("since"), F.count(F.lit(1)).alias("events"))

@@ -199,6 +199,30 @@ def f14(fx):
     return op.infer_region_fields(fx.stored("fx_grid"), fx.stored("fx_word"), fx.fx_page, stored_heights(fx), header, prompt_keys(fx), BY).select("page_id", "cell_id", "outcome", "reason", "label", "value")
 
 
+def ticks(fx):
+    """Every third rectangle as a checkbox of at most 14 by 14."""
+    return fx.stored("fx_rect").where(c("rect_id") % 3 == 0).select("page_id", c("rect_id").alias("box_id"), "x", "y", F.least("w", F.lit(14.0)).alias("w"), F.least("h", F.lit(14.0)).alias("h"))
+
+
+@add("f14_checkbox_captions", f"""WITH {SQL_HEIGHTS}, bx AS (SELECT r.page_id, rect_id AS box_id, r.x, r.y, least(r.w, 14.0::DOUBLE) AS w, least(r.h, 14.0::DOUBLE) AS h, {TH} AS th FROM {{fx_rect}} r LEFT JOIN typical y ON y.page_id = r.page_id WHERE rect_id % 3 = 0),
+st AS (SELECT a.page_id, a.box_id, min(b.x) AS stop FROM bx a JOIN bx b ON b.page_id = a.page_id AND b.x > a.x + a.w AND abs(b.y - a.y) < a.th AND b.x <= 600 GROUP BY ALL),
+nx AS (SELECT * FROM (SELECT a.page_id, a.box_id, t.line_id, t.x AS nx, t.text AS nt, row_number() OVER (PARTITION BY a.page_id, a.box_id ORDER BY t.x, t.token_id) AS rn FROM bx a JOIN {{fx_word}} t ON t.page_id = a.page_id AND t.x >= a.x + a.w - 2 AND abs(t.y - a.y) < a.th AND t.x - a.x - a.w < 250 AND t.x <= 600) q WHERE rn = 1),
+cp AS (SELECT n.page_id, n.box_id, string_agg(t.text, ' ' ORDER BY t.x, t.token_id) AS cap FROM nx n LEFT JOIN st s ON s.page_id = n.page_id AND s.box_id = n.box_id JOIN {{fx_word}} t ON t.page_id = n.page_id AND t.line_id = n.line_id AND t.x >= n.nx AND t.x < coalesce(s.stop, 600) GROUP BY n.page_id, n.box_id)
+SELECT b.page_id, b.box_id, CASE WHEN n.nt LIKE 'hot%' OR least(b.w, b.h) < b.th * 0.75 THEN 'excluded' ELSE 'proposed' END AS outcome,
+ CASE WHEN n.nt LIKE 'hot%' THEN 'CHECKBOX_NEXT_TO_STATIC_HEADING' WHEN least(b.w, b.h) < b.th * 0.75 THEN 'CHECKBOX_BELOW_TEXT_SCALE' WHEN cap IS NULL THEN 'CHECKBOX_WITHOUT_CAPTION' ELSE 'CHECKBOX_CAPTION' END AS reason,
+ CASE WHEN NOT (coalesce(n.nt LIKE 'hot%', false) OR least(b.w, b.h) < b.th * 0.75) THEN coalesce(cap, 'none') END AS label
+FROM bx b LEFT JOIN nx n ON n.page_id = b.page_id AND n.box_id = b.box_id LEFT JOIN cp c ON c.page_id = b.page_id AND c.box_id = b.box_id""")
+def f14_boxes(fx):
+    return op.checkbox_captions(ticks(fx), fx.stored("fx_word"), fx.fx_page, stored_heights(fx), BY, heading="^hot", combined="^never", unknown="none").select("page_id", "box_id", "outcome", "reason", "label")
+
+
+@add("f14_page_fields")
+def f14_page(fx):
+    header = fx.fx_header.select(c("header_key").alias("key"))
+    found = op.infer_page_fields(fx.stored("fx_grid"), ticks(fx), fx.stored("fx_word"), fx.fx_page, stored_heights(fx), header, prompt_keys(fx), "hot[a-z ]*|large[a-z ]*", "small", BY)
+    return found.groupBy("page_id", "kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @add("f15_infer_line_fields")
 def f15(fx):
     lines = cut_lineage(op.writing_lines(fx.fx_line.withColumn("y", c("y") + 5), fx.fx_rect, fx.fx_token, BY))

@@ -7,6 +7,7 @@ from folioframe.operators import templates as op
 from folioframe.operators.audit import page_scores
 from folioframe.queries.audit import GEO, page_geometry
 from folioframe.queries.common import BY, Catalogue
+from folioframe.session import cut_lineage
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
@@ -161,6 +162,61 @@ def t10(fx):
     return op.registry_status(log).select("template_id", "status", "events")
 
 
+def status_log(fx):
+    return fx.events.select(c("user_id").alias("template_id"), F.expr(STATUS).alias("status"), c("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+SQL_PERIODS = f"""lg AS (SELECT user_id AS template_id, {STATUS} AS status, CAST(ts AS TIMESTAMP) AS ts, event_id FROM events),
+one AS (SELECT template_id, ts, status FROM (SELECT *, row_number() OVER (PARTITION BY template_id, ts ORDER BY event_id DESC) AS rn FROM lg) q WHERE rn = 1),
+bg AS (SELECT * FROM (SELECT *, lag(status) OVER (PARTITION BY template_id ORDER BY ts) AS before FROM one) q WHERE before IS NULL OR before <> status),
+pd AS (SELECT template_id, status, ts AS valid_from, lead(ts) OVER (PARTITION BY template_id ORDER BY ts) AS valid_to FROM bg)"""
+
+
+@add("t10_status_periods", f"WITH {SQL_PERIODS} SELECT template_id, status, CAST(epoch_us(valid_from) AS BIGINT) AS valid_from, CAST(epoch_us(valid_to) AS BIGINT) AS valid_to FROM pd")
+def t10_periods(fx):
+    micros = lambda n: F.unix_micros(n).alias(n)
+    return op.status_periods(status_log(fx)).select("template_id", "status", micros("valid_from"), micros("valid_to"))
+
+
+@add("t10_registry_views", f"""WITH k AS (SELECT * FROM (SELECT user_id AS template_id, {STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) s WHERE rn = 1)
+SELECT template_id, status, CASE status WHEN 'active' THEN 'active' WHEN 'deprecated' THEN 'archive' WHEN 'archived' THEN 'archive' ELSE 'other' END AS view FROM k""")
+def t10_views(fx):
+    return op.registry_views(status_log(fx)).select("template_id", "status", "view")
+
+
+@add("t10_status_history", f"""WITH {SQL_PERIODS}, mo AS (SELECT DISTINCT date_trunc('day', CAST(ts AS TIMESTAMP)) AS moment FROM events), st AS (SELECT DISTINCT status FROM pd)
+SELECT st.status, CAST(epoch_us(mo.moment) AS BIGINT) AS moment, count(pd.template_id) AS templates FROM st CROSS JOIN mo LEFT JOIN pd ON pd.status = st.status AND pd.valid_from <= mo.moment AND (pd.valid_to IS NULL OR pd.valid_to > mo.moment) GROUP BY ALL""")
+def t10_history(fx):
+    """Counts by status at the beginning of every day with an event."""
+    log = status_log(fx)
+    days = log.select(F.date_trunc("day", "ts").alias("moment"))
+    return op.status_history(op.status_periods(log), days).select("status", F.unix_micros("moment").alias("moment"), "templates")
+
+
+@add("t9_register_valid", """WITH b AS (SELECT c_custkey AS template_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(c_custkey % 700 AS VARCHAR) END AS fingerprint, c_custkey % 5 AS pages, c_custkey % 11 <> 0 AS readable FROM customer), r AS (SELECT DISTINCT CAST(fingerprint AS VARCHAR) AS fingerprint FROM {fx_registry}),
+k AS (SELECT b.*, concat_ws(',', CASE WHEN NOT readable THEN 'MISSING_REQUIRED_FIELDS' END, CASE WHEN pages = 0 OR b.fingerprint IS NULL THEN 'INVALID_FINGERPRINT' END, CASE WHEN pages > 0 AND r.fingerprint IS NOT NULL THEN 'DUPLICATE_FINGERPRINT' END) AS issues FROM b LEFT JOIN r USING (fingerprint)),
+v AS (SELECT *, CASE WHEN issues = '' THEN row_number() OVER (PARTITION BY issues = '', fingerprint ORDER BY template_id) END AS rn FROM k)
+SELECT template_id, CASE WHEN rn > 1 THEN 'DUPLICATE_IN_BATCH' WHEN rn = 1 THEN 'accepted' ELSE issues END AS outcome FROM v""")
+def t9_valid(fx):
+    k = c("c_custkey")
+    batch = fx.customer.select(k.alias("template_id"), k.alias("ord"), F.when(k % 9 != 0, (k % 700).cast("string")).alias("fingerprint"), (k % 5).alias("page_count"), (k % 5).alias("pages_listed"),
+                               (k % 11 != 0).alias("readable"), F.lit(True).alias("has_geometry"), F.lit(True).alias("has_schema"))
+    known = fx.fx_registry.select((-c("template_id").cast("bigint")).alias("template_id"), c("fingerprint").cast("string").alias("fingerprint"))
+    accepted, refused = op.register_valid(batch, known)
+    return accepted.select("template_id", F.lit("accepted").alias("outcome")).unionByName(refused.select("template_id", F.array_join("issues", ",").alias("outcome")))
+
+
+@add("t7_families_after_changes", f"WITH RECURSIVE {SQL_CLUSTER} SELECT root AS cluster_id, count(*) AS members, max(node) AS latest_template FROM walk GROUP BY root")
+def t7_changes(fx):
+    """Families of two thirds of the templates, after which another third came and one third had gone and come back: those of all."""
+    registry = cut_lineage(both(fx)[1])
+    third = F.pmod(F.crc32("template_id"), F.lit(3))
+    some, others = registry.where(third < 2), registry.where(third > 0)
+    family = op.update_families(op.cluster_templates(some), others, some)
+    family = op.update_families(cut_lineage(family), registry, others)
+    return op.cluster_registry(family, registry).select("cluster_id", "members", "latest_template")
+
+
 SQL_DECIDE = """d AS (SELECT o_orderkey AS doc_id, o_orderkey % 6 AS page_count, 20 + o_custkey % 81 AS geo, (o_orderkey % 50) / 50 AS sure, 60.0::DOUBLE + o_custkey % 41 AS sim, o_totalprice AS ms FROM orders),
 k AS (SELECT *, CASE WHEN page_count < 1 OR geo < 30 OR sure < 0.4::DOUBLE THEN 'REJECT' WHEN sim >= 99 THEN 'BIND_CANONICAL' WHEN sim >= 90 THEN 'NORMALIZE_TO_TEMPLATE' WHEN sim >= 75 THEN 'REGISTER_VARIANT' ELSE 'CREATE_NEW_CLUSTER' END AS decision,
  CASE WHEN page_count < 1 THEN 'TOO_FEW_PAGES' WHEN geo < 30 THEN 'GEOMETRY_BELOW_THRESHOLD' WHEN sure < 0.4::DOUBLE THEN 'CONFIDENCE_BELOW_THRESHOLD' WHEN sim >= 99 THEN 'SIMILARITY_BIND' WHEN sim >= 90 THEN 'SIMILARITY_NORMALISE' WHEN sim >= 75 THEN 'SIMILARITY_VARIANT' ELSE 'SIMILARITY_NEW' END AS decision_reason FROM d)"""
@@ -223,13 +279,15 @@ def t16(fx):
     return op.exact_dedupe(fx.documents, known, "doc_id", "text").select("doc_id", "first_id", "copies", "route")
 
 
-@add("t17_corpus_integrity", """WITH f AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(html) AS sha, length(html) AS size FROM pages WHERE url NOT LIKE '%#top'), m AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(CASE WHEN url LIKE 'http://%' THEN html || ' ' ELSE html END) AS sha, length(html) AS size FROM pages WHERE url NOT LIKE '%page=%')
+@add("t17_corpus_integrity", """WITH f AS (SELECT CASE WHEN url LIKE '%#top' THEN concat('new-', page_id) ELSE CAST(page_id AS VARCHAR) END AS path, sha256(html) AS sha, length(html) AS size FROM pages), m AS (SELECT CASE WHEN url LIKE '%page=%' THEN concat('old-', page_id) ELSE CAST(page_id AS VARCHAR) END AS path, sha256(CASE WHEN url LIKE 'http://%' THEN html || ' ' ELSE html END) AS sha, length(html) AS size FROM pages)
 SELECT coalesce(m.path, f.path) AS path, CASE WHEN f.sha IS NULL THEN 'missing' WHEN m.sha IS NULL THEN 'extra' WHEN f.sha = m.sha AND f.size = m.size THEN 'ok' ELSE 'changed' END AS state FROM m FULL OUTER JOIN f ON f.path = m.path""")
 def t17(fx):
-    rows = lambda df, content: df.select(c("page_id").cast("string").alias("path"), F.sha2(content, 256).alias("sha256"), F.length("html").alias("size"))
-    # the two sides lack different pages, and pages served without encryption were changed after it was listed
-    files = rows(fx.pages.where("url NOT LIKE '%#top'"), c("html"))
-    return op.corpus_integrity(files, rows(fx.pages.where("url NOT LIKE '%page=%'"), F.when(c("url").like("http://%"), F.concat("html", F.lit(" "))).otherwise(c("html"))))
+    """Some pages lie under a new name, some are listed under an old one, and pages served without encryption were changed after they were listed."""
+    name = lambda moved, prefix: F.when(moved, F.concat(F.lit(prefix), c("page_id").cast("string"))).otherwise(c("page_id").cast("string"))
+    rows = lambda df, path, content: df.select(path.alias("path"), F.sha2(content, 256).alias("sha256"), F.length("html").alias("size"))
+    files = rows(fx.pages, name(c("url").like("%#top"), "new-"), c("html"))
+    listed = rows(fx.pages, name(c("url").like("%page=%"), "old-"), F.when(c("url").like("http://%"), F.concat("html", F.lit(" "))).otherwise(c("html")))
+    return op.corpus_integrity(files, listed)
 
 
 @add("t18_corpus_report", f"""WITH {SQL_DECIDE}, s AS (SELECT *, CASE WHEN decision = 'REJECT' THEN 'rejected' WHEN doc_id % 3 > 0 THEN 'warning' ELSE 'success' END AS status FROM k)
