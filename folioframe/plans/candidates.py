@@ -44,9 +44,9 @@ class Range(NamedTuple):
 class PageRange:
     """Ranges of the values of one page position of a class."""
 
-    def __init__(self, side: str, position: int):
+    def __init__(self, side: str, position: Column):
         for k, v in enumerate(VALUES):
-            at = F.lit(position * len(VALUES) + k)
+            at = position * len(VALUES) + k
             setattr(self, v, Range(F.get(f"{side}_low", at), F.get(f"{side}_high", at)))
 
 
@@ -121,11 +121,14 @@ def mean_bound(page: Callable[[PageRange, PageRange], Column]) -> Column:
     common = F.least("a_pages_high", "b_pages_high")
     most = F.greatest(F.col("a_pages_low"), F.col("b_pages_low"), common)
     loose = F.col("a_loose") & F.col("b_loose")
-    lost = F.lit(0.0)
-    for i in range(POSITIONS):
+
+    def lost_at(i: Column) -> Column:
         # if page counts vary inside a class, the first page alone is sure to take part
-        taken = ~loose & (F.lit(i) < common) & (exact | F.lit(i == 0))
-        lost = lost + F.when(taken, 100.0 - page(PageRange("a", i), PageRange("b", i))).otherwise(0.0)
+        taken = ~loose & (i < common) & (exact | (i == 0))
+        return F.when(taken, 100.0 - page(PageRange("a", i), PageRange("b", i))).otherwise(0.0)
+
+    # stated once for all positions: the pairs of classes are few, their plan should be short
+    lost = F.aggregate(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), F.lit(0.0), lambda total, i: total + lost_at(i))
     return (common * 100.0 - lost) / most
 
 
