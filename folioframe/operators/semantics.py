@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe.functions.keys import strip_accents, tidy
 from folioframe.functions.numbers import half_up, let
 from folioframe.plans.spatial import PAGE
+from folioframe.session import cut_lineage
 
 LETTERS = "[a-zA-ZàèìòùéÀÈÌÒÙÉ]"
 
@@ -197,12 +202,18 @@ def school_year(text: Column) -> Column:
                       F.when(alone != "", F.concat_ws("/", alone, (year(alone) + 1).cast("string"))), dated)
 
 
-def matched_signatures(document: DataFrame, signature: DataFrame, doc: str = "doc_id", inline_limit: int = 256) -> DataFrame:
+# Characters of tokens that one automaton holds (about 200 MB in a worker); larger dictionaries are dealt to several.
+AUTOMATON_CHARS = 4_000_000
+_AUTOMATA: dict[str, object] = {}
+
+
+def matched_signatures(document: DataFrame, signature: DataFrame, doc: str = "doc_id", inline_limit: int = 256, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(document, token) pairs where the lower-cased text contains the token as a substring.
 
-    A dictionary of up to ``inline_limit`` tokens becomes a literal array and one pass over the text.
-    A larger one is matched by an equi-join on the first three characters of each token against the
-    distinct character grams of each document; containment in the whole text is then tested per match.
+    A dictionary of up to ``inline_limit`` tokens becomes a literal array and one pass over the text in the JVM.
+    A larger one becomes an automaton that finds all tokens in one pass, however many there are; every worker builds it once.
+    Dictionaries of more than ``most_chars`` characters are dealt to several automata, brought to the driver one after the other; each reads the texts once.
+    Texts are not shuffled, and no document gathers candidates. Null texts contain nothing.
     """
     tokens = signature.select(F.lower("token").alias("token")).where("token <> ''").distinct()
     few = tokens.limit(inline_limit + 1).collect()
@@ -210,18 +221,40 @@ def matched_signatures(document: DataFrame, signature: DataFrame, doc: str = "do
     if len(few) <= inline_limit:
         words = F.array(*[F.lit(r["token"]) for r in few]) if few else F.array().cast("array<string>")
         return document.select(doc, F.explode(let(lower, lambda t: F.filter(words, lambda w: t.contains(w)))).alias("token"))
-    keyed = tokens.withColumn("gram", F.substring("token", 1, 3))
-
-    def grams(chars: Column) -> Column:
-        at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
-        three = F.transform(chars, lambda ch, i: F.concat(ch, at(i + 1), at(i + 2)))
-        two = F.transform(chars, lambda ch, i: F.concat(ch, at(i + 1)))
-        return F.array_distinct(F.concat(chars, two, three))
-
-    opened = document.select(doc, F.explode(let(F.split(lower, ""), grams)).alias("gram")).join(keyed, "gram")
-    candidates = opened.groupBy(doc).agg(F.collect_set("token").alias("_tokens"))
-    return document.join(candidates, doc).select(
-        doc, F.explode(let(lower, lambda t: F.filter("_tokens", lambda w: t.contains(w)))).alias("token"))
+    tokens = cut_lineage(tokens)
+    portions = -(-tokens.agg(F.sum(F.length("token"))).first()[0] // most_chars)
+    texts = document.select(doc, lower.alias("_text")).where("_text IS NOT NULL")
+    schema = T.StructType([document.schema[doc], T.StructField("token", T.StringType())])
+    found = None
+    for number in range(portions):
+        dealt = tokens.where(F.pmod(F.xxhash64("token"), F.lit(portions)) == number)
+        part = texts.mapInArrow(_finder([r["token"] for r in dealt.collect()], doc), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _finder(words: list[str], doc: str):
+    """Reads batches of (document, text) and gives the words each text contains."""
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        automaton = _AUTOMATA.get(name)
+        if automaton is None:
+            automaton = ahocorasick.Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            _AUTOMATA.clear()  # a worker keeps the last one
+            _AUTOMATA[name] = automaton
+        for batch in batches:
+            rows, tokens = [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                met = sorted({word for _, word in automaton.iter(text)}) if words else []
+                rows.extend([at] * len(met))
+                tokens.extend(met)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(tokens, pa.string())], names=[doc, "token"])
+
+    return run
 
 
 def model_score(document: DataFrame, signature: DataFrame, model: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from folioframe.functions.numbers import half_up
@@ -17,14 +18,15 @@ def page_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def _run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", no_data: bool = False) -> None:
     """Process what has arrived and stop; call again (or schedule) for what comes later.
 
-    Batches without data are off: state with a timeout would ask for them without end. Timeouts fire with the next data.
+    Batches without data are off unless ``no_data``: state with a timeout by the clock would ask for them without end, and its timeouts fire with the next
+    data. Event-time timers need one such batch after the watermark has moved.
     """
     conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(name)
-    conf.set(name, "false")
+    conf.set(name, str(no_data).lower())
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     finally:
@@ -81,24 +83,85 @@ def document_complete(stream: DataFrame, out: str, checkpoint: str, doc: str = "
     _run(found, checkpoint, each)
 
 
+def _percent() -> Column:
+    read = F.least(F.lit(85), half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction"))) * 85))
+    return F.when(F.col("is_analysis"), 90).otherwise(read).cast("bigint")
+
+
 def progress(event: DataFrame, doc: Sequence[str] = ("doc_id",), bucket_seconds: int = 3600) -> DataFrame:
     """Monotone percentage per document: at most 85 while pages are read, 90 from the analysis on.
 
     ``event``: ``ts``, ``event_id``, ``fraction`` (0-1 of all pages), ``is_analysis``. The running maximum is taken
     inside time buckets and over one row per bucket, so a busy document does not run through one window.
     """
-    raw = F.when(F.col("is_analysis"), 90).otherwise(F.least(F.lit(85), half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction"))) * 85)))
-    e = event.withColumns({"_p": raw, "_b": F.floor(F.unix_timestamp("ts") / bucket_seconds)})
+    e = event.withColumns({"_p": _percent(), "_b": F.floor(F.unix_timestamp("ts") / bucket_seconds)})
     before = Window.partitionBy(*doc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tops = e.groupBy(*doc, "_b").agg(F.max("_p").alias("_m")).withColumn("_before", F.coalesce(F.max("_m").over(before), F.lit(0))).drop("_m")
     inside = Window.partitionBy(*doc, "_b").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return e.withColumn("_in", F.max("_p").over(inside)).join(tops, [*doc, "_b"]).withColumn("percent", F.greatest("_in", "_before")).drop("_p", "_b", "_in", "_before")
 
 
-def progress_state(stream: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The same percentage as streaming state: the maximum seen so far per document."""
-    raw = F.when(F.col("is_analysis"), 90).otherwise(F.least(F.lit(85), half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("fraction"))) * 85)))
-    return stream.groupBy(doc).agg(F.max(raw).alias("percent"))
+class _Progress(StatefulProcessor):
+    """Events of one document wait until the watermark has passed them, and leave in the order of time with the maximum so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, event_id bigint, percent bigint")
+        self.top = handle.getValueState("top", "percent bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for piece in rows:
+            moments = set()
+            for ts, event_id, percent in zip(piece["ts"], piece["event_id"], piece["percent"]):
+                self.waiting.appendValue((ts.to_pydatetime(), int(event_id), int(percent)))
+                moments.add(int(ts.timestamp() * 1000))
+            for moment in moments:
+                self.handle.registerTimer(moment)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        top = self.top.get()[0] if self.top.exists() else 0
+        out, later = [], []
+        for ts, event_id, percent in sorted(map(tuple, self.waiting.get())):
+            if int(ts.timestamp() * 1000) > until:
+                later.append((ts, event_id, percent))
+                continue
+            top = max(top, percent)
+            out.append((*key, event_id, top))
+        self.top.update((top,))
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(out, columns=["doc", "event_id", "percent"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_progress(stream: DataFrame, out: str, checkpoint: str, doc: str = "doc_id", lateness: str = "1 hour") -> None:
+    """Every event once with the percentage that :func:`progress` gives it, as soon as no earlier event can come any more.
+
+    ``stream``: ``doc``, ``ts``, ``event_id``, ``fraction``, ``is_analysis``. An event waits in the state of its document until the watermark, the latest time seen less
+    ``lateness``, has passed it; a timer then releases it. Events that arrive later than that are left out. A replayed batch overwrites its own
+    partition. What is still waiting at the end leaves when the stream goes on.
+    """
+    kind = stream.schema[doc].dataType.simpleString()
+    events = stream.select(F.col(doc).alias("doc"), "ts", F.col("event_id").cast("bigint").alias("event_id"), _percent().alias("percent")).withWatermark("ts", lateness)
+    found = events.groupBy("doc").transformWithStateInPandas(_Progress(), f"doc {kind}, event_id bigint, percent bigint", "append", "EventTime")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumnRenamed("doc", doc).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    conf = stream.sparkSession.conf
+    before = conf.get(store)
+    conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _run(found, checkpoint, each, no_data=True)
+    finally:
+        conf.set(store, before)
 
 
 TEMPLATE = "template_id BIGINT, fingerprint STRING, ord BIGINT"
