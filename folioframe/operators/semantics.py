@@ -142,6 +142,30 @@ def binding_counters(bound: DataFrame) -> DataFrame:
         F.count_if(auto & (F.col("background_mode") == "TRANSPARENT")).alias("transparent"))
 
 
+def discover_evidence(field: DataFrame, text: DataFrame) -> DataFrame:
+    """Values that stand after a field's label in the text of its template: ``template_id``, ``field_id``, ``value``.
+
+    ``field``: template_id, field_id, label; ``text``: template_id, text. The first place counts where the label (any case) is followed, after a colon or hyphen or
+    none, by 2 to 100 characters of the same line without underscores. Null and empty labels find nothing.
+    """
+    quoted = F.concat(F.lit("(?i)\\Q"), F.replace("label", F.lit("\\E"), F.lit("")), F.lit("\\E\\s*[:\\-]?\\s*([^\\n\\r_]{2,100})"))
+    asked = field.where("label <> ''").select("template_id", "field_id", quoted.alias("_pattern"))
+    found = asked.join(text.select("template_id", "text"), "template_id").withColumn("value", F.trim(F.expr("regexp_extract(text, _pattern, 1)")))
+    return found.where("value <> ''").select("template_id", "field_id", "value")
+
+
+def binding_state(template: DataFrame, baseline: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What a binding could rest on, per template: ``baseline_present``, ``calibration_source`` (DERIVED with a school order, else CUSTOM), ``evidence_source``.
+
+    ``baseline`` applies to all templates; ``evidence`` has a template_id.
+    """
+    present = not baseline.isEmpty()
+    seen = evidence.select("template_id").distinct().withColumn("_seen", F.lit(True))
+    has = F.coalesce(F.col("_seen"), F.lit(False))
+    return template.join(seen, "template_id", "left").select("template_id", F.lit(present).alias("baseline_present"),
+        F.when(F.coalesce("school_order", F.lit("")) != "", "DERIVED").otherwise("CUSTOM").alias("calibration_source"), F.when(has, "PRESENT").otherwise("ABSENT").alias("evidence_source"))
+
+
 def has_group(pattern: str) -> bool:
     """Whether a pattern captures anything."""
     bare = re.sub(r"\\.|\[\^?\]?[^\]]*\]", "", pattern)  # without escapes and character classes

@@ -636,6 +636,18 @@ def normalisation_plan(page: DataFrame, target_w: float = 595.32, target_h: floa
         *keys, "operations", (F.col("_i") + 1).cast("bigint").alias("step_no"), "_o.operation", "_o.value", "_o.value2")
 
 
+def expected_scores(page: DataFrame, plan: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
+    """What a page should score after its planned operations: ``operations``, ``requires_correction``, ``expected_geometry``, ``estimated_confidence``.
+
+    ``page``: ``geometry_score``, ``confidence``; ``plan``: rows of :func:`normalisation_plan`. A page without operations keeps its confidence and scores at least 98.
+    """
+    n = plan.groupBy(*by).agg(F.count(F.lit(1)).alias("operations"))
+    joined = page.join(n, list(by), "left").withColumn("operations", F.coalesce("operations", F.lit(0)).cast("bigint"))
+    due = F.col("operations") > 0
+    return joined.select(*by, "operations", due.alias("requires_correction"), F.when(due, 99.0).otherwise(F.greatest(F.col("geometry_score"), F.lit(98.0))).alias("expected_geometry"),
+                         F.when(due, round_to(F.least(F.lit(0.99), F.col("confidence") + 0.03), 2)).otherwise(F.col("confidence")).alias("estimated_confidence"))
+
+
 def readiness(template: DataFrame, schema: DataFrame) -> DataFrame:
     """Why a template cannot be compiled yet; built-in ones always can."""
     joined = template.join(schema.select("template_id", F.col("calibration_status").alias("_s"), F.col("sha256").alias("_sha"), F.lit(True).alias("_has")), "template_id", "left")
@@ -688,3 +700,17 @@ def corpus_report(decided: DataFrame) -> DataFrame:
     status = F.when(F.col("decision") == "REJECT", "rejected").when(F.col("warnings") > 0, "warning").otherwise("success")
     return decided.withColumn("status", status).rollup("decision", "status").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("page_count").alias("pages"), round_to(F.sum("elapsed_ms"), 2).alias("elapsed_ms"))
+
+
+def phase_report(decided: DataFrame, phase: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Time by decision and phase: ``documents``, ``ms``, ``mean_ms`` and the ``share`` of the decision's time; a null phase is the decision's total.
+
+    ``phase``: one row for each document and phase with ``ms``. Documents count once for each phase; decisions without any time are absent.
+    """
+    rows = decided.select(doc, "decision").join(phase.select(doc, "phase", "ms"), doc)
+    by_phase = rows.groupBy("decision", "phase").agg(F.countDistinct(doc).alias("documents"), F.sum("ms").alias("ms"))
+    total = rows.groupBy("decision").agg(F.countDistinct(doc).alias("documents"), F.sum("ms").alias("ms")).withColumn("phase", F.lit(None).cast("string"))
+    whole = total.select("decision", F.col("ms").alias("_all"))
+    shown = by_phase.unionByName(total).join(whole, "decision")
+    return shown.select("decision", "phase", "documents", round_to(F.col("ms"), 2).alias("ms"), round_to(F.col("ms") / F.col("documents"), 2).alias("mean_ms"),
+                        F.when(F.col("_all") > 0, round_to(F.col("ms") / F.col("_all"), 4)).alias("share"))

@@ -86,6 +86,24 @@ def e2b(fx):
     return op.binding_counters(bound(fx))
 
 
+LABELLED = "SELECT doc_id AS template_id, n AS field_id, CASE n WHEN 0 THEN 'the' WHEN 1 THEN 'Der' WHEN 2 THEN '' ELSE 'con.' END AS label FROM documents, (VALUES (0), (1), (2), (3)) v(n)"
+
+
+@add("e2_discovered_evidence", f"""WITH f AS ({LABELLED}) SELECT template_id, field_id, trim(regexp_extract(text, '(?i)' || replace(label, '.', '\\.') || '[ \\t\\n\\f\\r\\v]*[:\\-]?[ \\t\\n\\f\\r\\v]*([^\\n\\r_]{{2,100}})', 1)) AS value FROM f JOIN documents d ON d.doc_id = f.template_id WHERE label <> ''
+ AND trim(regexp_extract(text, '(?i)' || replace(label, '.', '\\.') || '[ \\t\\n\\f\\r\\v]*[:\\-]?[ \\t\\n\\f\\r\\v]*([^\\n\\r_]{{2,100}})', 1)) <> ''""")
+def e2_found(fx):
+    """What follows four labels in every document."""
+    labels = F.array(*map(F.lit, ("the", "Der", "", "con.")))
+    field = fx.documents.select(c("doc_id").alias("template_id"), F.posexplode(labels).alias("field_id", "label"))
+    return op.discover_evidence(field, fx.documents.select(c("doc_id").alias("template_id"), "text"))
+
+
+@add("e2_binding_state", "SELECT s_suppkey AS template_id, true AS baseline_present, CASE WHEN s_suppkey % 3 = 0 THEN 'CUSTOM' ELSE 'DERIVED' END AS calibration_source, CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = s_suppkey) THEN 'PRESENT' ELSE 'ABSENT' END AS evidence_source FROM supplier")
+def e2_state(fx):
+    template = fx.supplier.select(c("s_suppkey").alias("template_id"), F.when(c("s_suppkey") % 3 != 0, "A1").alias("school_order"))
+    return op.binding_state(template, fx.part.select(c("p_name").alias("semantic_key")), fx.documents.select(c("doc_id").alias("template_id")))
+
+
 EXTRACTORS = [("f1", [r"\bder\s+([a-z]{4,})", r"\bthe\s+([a-z]{4,})"], 92), ("f2", [r"\bpour\s+([a-z]{3,})", r"\bpara\s+([a-z]{3,})", r"\bwith\s+([a-z]{3,})"], 90), ("f3", [r"[0-9]{3,}"], 70)]
 
 

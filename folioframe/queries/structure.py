@@ -223,6 +223,20 @@ def f14_page(fx):
     return found.groupBy("page_id", "kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@add("f6_recover_checkboxes", f"""WITH {SQL_HEIGHTS}, bx AS (SELECT r.page_id, rect_id AS box_id, r.x, r.y, least(r.w, 14.0::DOUBLE) AS w, least(r.h, 14.0::DOUBLE) AS h, {TH} AS th, greatest(5.0::DOUBLE, {TH} * 0.6::DOUBLE) AS tol, (rect_id % 7) * 0.02::DOUBLE AS ink FROM {{fx_rect}} r LEFT JOIN typical y ON y.page_id = r.page_id WHERE rect_id % 3 = 0),
+sb AS (SELECT DISTINCT a.page_id, a.box_id FROM bx a JOIN bx b ON b.page_id = a.page_id AND b.box_id <> a.box_id AND abs(b.w - a.w) < a.tol AND abs(b.h - a.h) < a.tol AND ((abs(b.x - a.x) < a.tol AND abs(b.y - a.y) < a.th * 7) OR (abs(b.y - a.y) < a.tol AND abs(b.x - a.x) < a.th * 20))),
+cp AS (SELECT a.page_id, a.box_id, string_agg(t.text, ' ' ORDER BY t.x, t.token_id) AS cap FROM bx a JOIN {{fx_word}} t ON t.page_id = a.page_id AND abs(t.y - a.y) < a.th * 0.7 AND least(abs(t.x + t.w - a.x), abs(a.x + a.w - t.x)) < a.th * 4 GROUP BY a.page_id, a.box_id),
+pl AS (SELECT a.*, cap, sb.box_id IS NOT NULL AND coalesce(regexp_matches(cap, '(?i)(^|\\s)(small|hot)($|[\\s.,:])'), false) AND least(w, h) >= th * 0.55 AS ok FROM bx a LEFT JOIN sb ON sb.page_id = a.page_id AND sb.box_id = a.box_id LEFT JOIN cp ON cp.page_id = a.page_id AND cp.box_id = a.box_id)
+SELECT page_id, box_id, CASE WHEN NOT ok THEN 'static' WHEN x < 0 OR y < 0 OR x + w > 600 OR y + h > 130 OR w < greatest(6.0, th * 0.55) OR h < greatest(6.0, th * 0.55) THEN 'unresolved' WHEN ink >= 0.025 AND ink <= 0.1 THEN 'unresolved' ELSE 'recovered' END AS outcome,
+ CASE WHEN NOT ok THEN 'NO_WRITABLE_STRUCTURE' WHEN x < 0 OR y < 0 OR x + w > 600 OR y + h > 130 OR w < greatest(6.0, th * 0.55) OR h < greatest(6.0, th * 0.55) THEN 'RESPONSE_TOO_SMALL_OR_OUTSIDE' WHEN ink >= 0.025 AND ink <= 0.1 THEN 'CHECKBOX_STATE_AMBIGUOUS' ELSE 'REPEATED_MEASURED_CHECKBOX' END AS reason,
+ CASE WHEN ok AND NOT (x < 0 OR y < 0 OR x + w > 600 OR y + h > 130 OR w < greatest(6.0, th * 0.55) OR h < greatest(6.0, th * 0.55) OR (ink >= 0.025 AND ink <= 0.1)) THEN ink > 0.1 END AS checked FROM pl""")
+def f6_boxes(fx):
+    """Pages without fields; the ink of a box follows its number."""
+    inked = ticks(fx).withColumn("ink_ratio", (c("box_id") % 7) * F.lit(0.02))
+    nothing = fx.stored("fx_field").select("page_id", "field_id", "x", "y", "w", "h", F.lit("review").alias("status")).limit(0)
+    return op.recover_checkboxes(inked, nothing, fx.stored("fx_word"), fx.fx_page, stored_heights(fx), "small|hot", BY).select("page_id", "box_id", "outcome", "reason", "checked")
+
+
 @add("f15_infer_line_fields")
 def f15(fx):
     lines = cut_lineage(op.writing_lines(fx.fx_line.withColumn("y", c("y") + 5), fx.fx_rect, fx.fx_token, BY))

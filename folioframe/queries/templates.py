@@ -247,11 +247,29 @@ l AS (SELECT page_id, 1 AS k, 'rotate' AS operation, -90.0 AS value FROM sc WHER
  UNION ALL SELECT page_id, 4, 'translate', CASE WHEN abs(dx) >= 0.5 THEN floor(-dx * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0 END FROM sc WHERE abs(dx) >= 0.5 OR abs(dy) >= 0.5 UNION ALL SELECT page_id, 5, 'scale', scale FROM sc WHERE abs(scale - 1) >= 0.005::DOUBLE UNION ALL SELECT page_id, 6, 'margin_adjustment', 36 - ml FROM sc WHERE floor(sym * 10 + 0.5) / 10 < 85 OR abs(ml - mr) >= 5 OR abs(mt - mb) >= 5)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS step_no, operation, value::DOUBLE AS value FROM l""")
 def t13(fx):
+    return planned(fx)[0].select("page_id", "step_no", "operation", "value")
+
+
+def planned(fx):
+    """Operations of every page, and the pages."""
     p = c("page_id")
     page = page_scores(page_geometry(fx)).select(
         "page_id", "width", "height", F.when(p % 11 == 0, 90).otherwise(0).alias("rotation"), "skew", "perspective", "perspective_score", ((p % 3 - 1) * 0.75).alias("shift_x"), ((p % 2) * 0.25).alias("shift_y"),
         "symmetry", "margin_left", "margin_right", "margin_top", "margin_bottom")
-    return op.normalisation_plan(page).select("page_id", "step_no", "operation", "value")
+    return op.normalisation_plan(page), page
+
+
+@add("t13_expected_scores", f"""WITH {GEO}, n AS (SELECT o.page_id, CASE WHEN o.page_id % 11 = 0 THEN 90 ELSE 0 END AS rot, skew, persp, ps, width, height, (o.page_id % 3 - 1) * 0.75::DOUBLE AS dx, (o.page_id % 2) * 0.25::DOUBLE AS dy, ml, mr, mt, mb, greatest(0.0, 100 - abs(ml - mr) / greatest(ml + mr, 1.0) * 100) AS sym FROM o),
+sc AS (SELECT *, floor(least(595.32::DOUBLE / width, 841.92::DOUBLE / height) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS scale FROM n),
+l AS (SELECT page_id, 1 AS k, 'rotate' AS operation, -90.0 AS value FROM sc WHERE rot <> 0 UNION ALL SELECT page_id, 2, 'deskew', floor(-skew * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE FROM sc WHERE abs(skew) >= 0.05::DOUBLE UNION ALL SELECT page_id, 3, 'perspective', persp FROM sc WHERE persp >= 0.1::DOUBLE OR ps < 98
+ UNION ALL SELECT page_id, 4, 'translate', CASE WHEN abs(dx) >= 0.5 THEN floor(-dx * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE 0 END FROM sc WHERE abs(dx) >= 0.5 OR abs(dy) >= 0.5 UNION ALL SELECT page_id, 5, 'scale', scale FROM sc WHERE abs(scale - 1) >= 0.005::DOUBLE UNION ALL SELECT page_id, 6, 'margin_adjustment', 36 - ml FROM sc WHERE floor(sym * 10 + 0.5) / 10 < 85 OR abs(ml - mr) >= 5 OR abs(mt - mb) >= 5),
+k AS (SELECT page_id, count(*) AS n FROM l GROUP BY page_id), pg AS (SELECT page_id, 60.0::DOUBLE + page_id % 41 AS g, (page_id % 50) / 50.0::DOUBLE AS c FROM sc)
+SELECT pg.page_id, CAST(coalesce(n, 0) AS BIGINT) AS operations, n IS NOT NULL AS requires_correction, CASE WHEN n IS NOT NULL THEN 99.0::DOUBLE ELSE greatest(g, 98.0::DOUBLE) END AS expected_geometry,
+ CASE WHEN n IS NOT NULL THEN floor(least(0.99::DOUBLE, c + 0.03::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE c END AS estimated_confidence FROM pg LEFT JOIN k ON k.page_id = pg.page_id""")
+def t13_scores(fx):
+    plan, page = planned(fx)
+    scored = page.select("page_id", (F.lit(60.0) + c("page_id") % 41).alias("geometry_score"), ((c("page_id") % 50) / F.lit(50.0)).alias("confidence"))
+    return op.expected_scores(scored, plan, BY)
 
 
 @add("t14_readiness", """WITH t AS (SELECT s_suppkey AS template_id, s_suppkey % 6 = 0 AS built_in, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'REVIEW_REQUIRED' ELSE 'CALIBRATED' END AS cs, CAST(s_suppkey % 10 AS VARCHAR) AS sha FROM supplier),
@@ -294,3 +312,13 @@ def t17(fx):
 SELECT decision, status, count(*) AS documents, CAST(sum(page_count) AS BIGINT) AS pages FROM s GROUP BY ROLLUP (decision, status)""")
 def t18(fx):
     return op.corpus_report(decided(fx)).drop("elapsed_ms")
+
+
+@add("t18_phase_report", f"""WITH {SQL_DECIDE}, ph AS (SELECT o_orderkey AS doc_id, CASE n WHEN 0 THEN 'analysis' WHEN 1 THEN 'matching' ELSE 'execution' END AS phase, CAST((o_custkey * (n + 1)) % 500 AS DOUBLE) AS ms FROM orders, (VALUES (0), (1), (2)) v(n)),
+r AS (SELECT k.doc_id, decision, phase, ms FROM (SELECT DISTINCT doc_id, decision FROM k) k JOIN (SELECT DISTINCT doc_id, phase, ms FROM ph) ph USING (doc_id)),
+g AS (SELECT decision, phase, count(DISTINCT doc_id) AS documents, sum(ms) AS ms FROM r GROUP BY decision, phase UNION ALL SELECT decision, NULL, count(DISTINCT doc_id), sum(ms) FROM r GROUP BY decision), w AS (SELECT decision, sum(ms) AS a FROM r GROUP BY decision)
+SELECT decision, phase, documents, floor(ms * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS ms, floor(ms / documents * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS mean_ms, CASE WHEN a > 0 THEN floor(ms / a * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE END AS share FROM g JOIN w USING (decision)""")
+def t18_phases(fx):
+    names = F.array(*map(F.lit, ("analysis", "matching", "execution")))
+    phase = fx.orders.select(c("o_orderkey").alias("doc_id"), "o_custkey", F.posexplode(names).alias("n", "phase")).select("doc_id", "phase", ((c("o_custkey") * (c("n") + 1)) % 500).cast("double").alias("ms")).distinct()
+    return op.phase_report(decided(fx).select("doc_id", "decision").distinct(), phase)
