@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from folioframe.functions.keys import strip_accents, tidy
 from folioframe.functions.numbers import half_up, let
-from folioframe.plans.spatial import PAGE
+from folioframe.plans.spatial import PAGE, Box, best_partner, box, near_join
 from folioframe.session import cut_lineage
 
 LETTERS = "[a-zA-ZàèìòùéÀÈÌÒÙÉ]"
@@ -479,3 +479,29 @@ def inline_values(token: DataFrame, prompts: Sequence[str], by: Sequence[str] =
              .when(F.col("kind") == "choice", F.when(get(choice, 1) != "", "true").otherwise("false")).otherwise(tidy(get(said, 2))))
     marked = token.withColumn("kind", kind).where(F.col("kind").isNotNull())
     return marked.withColumns({"label": label, "value": value})
+
+
+# What a printed square looks like to a reader: brackets with at most one sign between them, or a sign before a closing one.
+MARKS = r"^(?:[\[(]\s*[COQxX015LD]?\s*[\])]|[COQ015]\s*[\])])$"
+
+
+def mark_choices(token: DataFrame, heights: DataFrame, choice: str, by: Sequence[str] = PAGE, marks: str = MARKS) -> DataFrame:
+    """Marks that stand for a checkbox, with the choice beside them: ``token_id``, ``label``, ``value`` (whether the mark holds an x).
+
+    The first word to the right, less than three text heights away and on the same row, and the words after it up to ten heights on make the
+    caption; marks whose caption does not begin with ``choice`` are no choices.
+    """
+    keys = [*by, "token_id"]
+    a, b = box("a_"), box("b_")
+    th = F.col("a_th")
+    sized = token.join(heights.select(*by, "typical_h"), list(by), "left").withColumn("th", F.coalesce("typical_h", F.lit(20.0)))
+    mark = sized.where(F.trim("text").rlike(marks)).select(*keys, "x", "y", "w", "h", "th", "text")
+    words = token.select(*by, "token_id", "x", "y", "w", "h", "text")
+    reach = box().grown(F.lit(2.0), F.col("th"), F.col("th") * 13, F.col("th"))
+    near = near_join(mark, words, by, reach=reach, b_extent=Box(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0)), tile=512.0).where(
+        (F.col("a_token_id") != F.col("b_token_id")) & (b.x >= a.right - 2) & (F.abs(b.y - a.y) < th)).withColumnRenamed("a_token_id", "token_id")
+    first = best_partner(near.where(b.x - a.right < th * 3), keys, [F.col("b_x"), F.col("b_token_id")], {"_x": F.col("b_x"), "_y": F.col("b_y")})
+    row = near.join(first, keys).where((F.abs(F.col("b_y") - F.col("_y")) < th * 0.65) & (F.col("b_x") >= F.col("_x")) & (F.col("b_x") < F.col("_x") + th * 10))
+    said = row.groupBy(*keys).agg(F.any_value("a_text").alias("_mark"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        F.col("b_x").alias("x"), F.col("b_token_id").alias("t"), F.col("b_text").alias("s")))), lambda e: e["s"]), " ").alias("label"))
+    return said.where(F.col("label").rlike(f"(?i)^(?:{choice})\\b")).select(*keys, tidy(F.col("label")).alias("label"), F.lower("_mark").contains("x").alias("value"))

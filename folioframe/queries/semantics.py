@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe.operators import semantics as op
+from folioframe.queries.geometry import SQL_HEIGHTS, upper_heights
 from folioframe.queries.common import BY, Catalogue
 
 CATALOGUE = Catalogue()
@@ -226,6 +227,19 @@ def f13(fx):
     return op.inline_values(token, prompts, BY).select("page_id", "token_id", "kind", "label", "value")
 
 
+MARKED = "CASE l_suppkey % 5 WHEN 0 THEN '[x]' WHEN 1 THEN '( )' WHEN 2 THEN 'Q]' ELSE text END"
+
+
+@add("f13_mark_choices", f"""WITH {SQL_HEIGHTS}, t AS (SELECT t.* EXCLUDE (text), {MARKED} AS text, coalesce(y.typical_h, 20.0) AS th FROM {{fx_token}} t LEFT JOIN typical y ON y.page_id = t.page_id),
+m AS (SELECT * FROM t WHERE text IN ('[x]', '( )', 'Q]')),
+n AS (SELECT m.page_id, m.token_id, m.text AS mark, m.th, b.x AS bx, b.y AS b_y, b.token_id AS bt, b.text AS bs, b.x - m.x - m.w AS gap FROM m JOIN t b ON b.page_id = m.page_id AND b.token_id <> m.token_id AND b.x >= m.x + m.w - 2 AND abs(b.y - m.y) < m.th),
+f AS (SELECT page_id, token_id, bx AS fx, b_y AS fy FROM (SELECT *, row_number() OVER (PARTITION BY page_id, token_id ORDER BY bx, bt) AS rn FROM n WHERE gap < th * 3) q WHERE rn = 1),
+c AS (SELECT n.page_id, n.token_id, any_value(mark) AS mark, string_agg(bs, ' ' ORDER BY bx, bt) AS label FROM n JOIN f ON f.page_id = n.page_id AND f.token_id = n.token_id AND abs(b_y - fy) < th * 0.65 AND bx >= fx AND bx < fx + th * 10 GROUP BY n.page_id, n.token_id)
+SELECT page_id, token_id, label, mark = '[x]' AS value FROM c WHERE regexp_matches(label, '^(small|hot|large)([^a-z]|$)')""")
+def f13_marks(fx):
+    return op.mark_choices(fx.fx_token.withColumn("text", F.expr(MARKED)), upper_heights(fx), "small|hot|large", BY).select("page_id", "token_id", "label", "value")
+
+
 @add("f19_normalise_dates", """SELECT page_id, token_id, CASE WHEN l_partkey % 3 = 0 THEN 'date' ELSE 'text' END AS field_type, CASE WHEN l_partkey % 3 = 0 AND l_partkey % 31 BETWEEN 1 AND 28 AND l_suppkey % 15 BETWEEN 1 AND 12 OR (l_partkey % 3 = 0 AND l_partkey % 31 IN (29, 30) AND l_suppkey % 15 IN (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)) OR (l_partkey % 3 = 0 AND l_partkey % 31 = 29 AND l_suppkey % 15 = 2 AND l_suppkey % 4 = 0)
  THEN concat(CASE WHEN l_suppkey % 100 < 50 THEN '20' ELSE '19' END, lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0'), '-', lpad(CAST(l_suppkey % 15 AS VARCHAR), 2, '0'), '-', lpad(CAST(l_partkey % 31 AS VARCHAR), 2, '0')) ELSE concat(l_partkey % 31, '/', l_suppkey % 15, '/', lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0')) END AS value FROM {fx_token}""")
 def f19(fx):
