@@ -56,6 +56,9 @@ class WordTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, text: str) -> bytes:
+        body = text[1:] if self.spaced and text[:1] == " " else text
+        if body.isascii() and body.isalpha():  # one word, whatever the pattern
+            return self._word(text if self.spaced else text.lower())
         if not _STABLE(text):
             return self._whole(text)
         if not self.spaced:
