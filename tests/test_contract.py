@@ -17,7 +17,7 @@ def test_names():
     names, oracles = set(entry.queries()), set(entry.oracle_sql())
     assert oracles <= names and len(names) > 130
     numbered = [n for n in names if re.match(r"op\d+_", n)]
-    assert len(numbered) == (10 if entry.corpus else 0) and ("pipeline" in names) == bool(entry.corpus)
+    assert len(numbered) == (13 if entry.corpus else 0) and ("pipeline" in names) == bool(entry.corpus)
 
 
 @pytest.mark.parametrize("name", SAMPLE)

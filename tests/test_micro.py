@@ -158,7 +158,7 @@ def test_fold_over_bands_equals_whole_page(table, monkeypatch):
     rows = [(1, i, i // 8, float(i % 8 * 40), float(i // 8 * 24 + i % 3), 30.0, 12.0, f"w{i}", f"w{i}", 80.0, "ocr") for i in range(64)]
     word = table(rows, WORD)
     whole = sorted(map(tuple, layout.reconstruct_text(word, BY).collect()))
-    monkeypatch.setattr(folds.fold_groups, "__defaults__", (10,))
+    monkeypatch.setattr(folds, "FOLD_LIMIT", 10)
     assert sorted(map(tuple, layout.reconstruct_text(word, BY).collect())) == whole
 
 
