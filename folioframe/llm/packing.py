@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.texts import BY, slices
+from folioframe.llm.texts import BY, release, slices
 from folioframe.llm.tokens import tokenizer_of
 from folioframe.session import cut_lineage
 
@@ -33,6 +33,7 @@ def cuts_of(n: int, capacity: int, piece: int) -> list[int]:
 
 def _cut(batches, path, end_id, capacity, piece, width):
     end = np.array([end_id], dtype="<u4").tobytes()
+    release("tokens")
     tokenizer = tokenizer_of(path)
     for batch in batches:
         texts = batch.column(width)

@@ -56,9 +56,9 @@ class Pieces:
             if self.merged(piece) == [piece]:  # others never come out of merging
                 self.matches.add_word(piece, (piece, len(piece) - 1))
         self.matches.make_automaton()
-        self.fits = Memo(lambda pair: self.merged(pair[0] + pair[1]) == list(pair), PARTS)
-        self.parts = Memo(self._part, PARTS)
-        self.segments = Memo(self._segment, SEGMENTS)
+        self.fits = Memo(lambda pair: self.merged(pair[0] + pair[1]) == list(pair), PARTS, "pieces")
+        self.parts = Memo(self._part, PARTS, "pieces")
+        self.segments = Memo(self._segment, SEGMENTS, "pieces")
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best score first, the leftmost of equals."""
@@ -185,4 +185,4 @@ def encode_pages(pages: DataFrame, model_path: str, text: str = "text", by: Sequ
     A null text counts as empty: no ids, an empty decoded text. Repeated rows stay; other columns are left out
     unless carried. Whole texts, no shuffle. ``model_path`` is read in each worker, so all need it in that place.
     """
-    return annotate(pages, [*by, *carry], text, FIELDS, partial(_encode, path=model_path))
+    return annotate(pages, [*by, *carry], text, FIELDS, partial(_encode, path=model_path), owner="pieces")

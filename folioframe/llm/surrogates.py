@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.texts import BY, slices
+from folioframe.llm.texts import BY, release, slices
 from folioframe.session import cut_lineage
 
 # Titles that announce a name, by the gender they tell; own stand-in first names by script and gender.
@@ -307,6 +307,7 @@ def shaped(kind: str, stand: str, found: str) -> str:
 
 
 def _entities(batches):
+    release("")
     for batch in batches:
         for part in slices(batch, pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()):
             rows = {(k, e[2], e[3]) for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if text for e in entities_of(text)}
@@ -348,6 +349,7 @@ def settled(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def _rewrite(batches, key, text, over, names, kept):
+    release("")
     for batch in batches:
         for part in slices(batch, pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()):
             texts, entities, made = [], [], {}

@@ -206,7 +206,7 @@ def write_token_files(pages: DataFrame, tokenizer_path: str, folder: str, text:
     """
     spark = pages.sparkSession
     coded = cut_lineage(annotate(pages.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), ["doc_id"], "text", _CODED,
-                                 partial(_tokens, path=tokenizer_path, end_id=end_id)), compression="zstd")
+                                 partial(_tokens, path=tokenizer_path, end_id=end_id), owner="tokens"), compression="zstd")
     counts = coded.select("n_tokens", "coded").mapInArrow(_tally, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()  # a row for each id of the vocabulary
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     code = Code(ids, code_lengths(n))

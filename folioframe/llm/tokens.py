@@ -43,9 +43,9 @@ class WordTokenizer:
         self.split = regex.compile(words).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merge = self.library.model.tokenize
-        self.words = Memo(self._word, WORDS)
-        self.first = Memo(self._stretch, STRETCHES // 8)
-        self.later = Memo(self._later if self.spaced else self._stretch, STRETCHES)
+        self.words = Memo(self._word, WORDS, "tokens")
+        self.first = Memo(self._stretch, STRETCHES // 8, "tokens")
+        self.later = Memo(self._later if self.spaced else self._stretch, STRETCHES, "tokens")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -144,3 +144,12 @@ def test_quality_counts_documents_of_a_host(spark):
     assert {k: (r.n_words, r.words_left, r.kept) for k, r in got.items()} == want
     assert got[0].words_left == 30 and got[100].words_left == 34 and got[200].kept and got[300].kept and not got[602].kept
     assert quality.page_quality(table.limit(0), by=("doc_id",)).count() == 0
+
+
+def test_memories_give_way_to_other_operators():
+    mine, other = texts.Memo(str.upper, 10, "mine"), texts.Memo(str.upper, 10, "other")
+    free = texts.Memo(str.upper, 10)
+    for memo in (mine, other, free):
+        assert memo["a"] == "A"
+    texts.release("mine")
+    assert dict(mine) == {"a": "A"} and not other and not other.older and free["a"] == "A" and other["a"] == "A"
