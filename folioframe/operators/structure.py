@@ -634,8 +634,15 @@ def infer_region_fields(cell: DataFrame, token: DataFrame, page: DataFrame, heig
         F.when(inline, None).otherwise(F.col("own_text")).alias("value"))
 
 
+# Headings beside which a mark is no choice, alone and together; what a box without words is called; remains of a printed square at the end of a caption.
+BOX_HEADING = r"(?i)^(?:data|firma|verbale)\b"
+BOX_HEADINGS = r"(?i)^data\s+firma\b"
+UNREAD_CAPTION = "Selezione da verificare"
+SQUARE_AT_END = r"\s*[C(\[\]]?\s*$"
+
+
 def checkbox_captions(checkbox: DataFrame, token: DataFrame, page: DataFrame, heights: DataFrame, by: Sequence[str] = PAGE,
-                      heading: str = r"(?i)^(?:data|firma|verbale)\b", combined: str = r"(?i)^data\s+firma\b", unknown: str = "Selezione da verificare") -> DataFrame:
+                      heading: str = BOX_HEADING, combined: str = BOX_HEADINGS, unknown: str = UNREAD_CAPTION) -> DataFrame:
     """Per checkbox its caption, or one refusal: the words from the next one on its row up to the next box, in order of x.
 
     ``checkbox``: ``box_id`` and box; ``token``: ``line_id``. The next word stands at most 250 pt to the right and less than a text height higher or lower; the caption is
@@ -662,7 +669,7 @@ def checkbox_captions(checkbox: DataFrame, token: DataFrame, page: DataFrame, he
     label = F.coalesce("caption", F.lit(unknown))
     reason = (F.when(F.col("next_text").rlike(heading), "CHECKBOX_NEXT_TO_STATIC_HEADING").when(F.least("w", "h") < F.col("th") * 0.75, "CHECKBOX_BELOW_TEXT_SCALE")
               .when(label.rlike(combined), "CHECKBOX_COMBINED_HEADING"))
-    shown = F.trim(F.regexp_replace(label, r"\s*[C(\[\]]?\s*$", ""))
+    shown = F.trim(F.regexp_replace(label, SQUARE_AT_END, ""))
     return j.select(*keys, F.when(reason.isNull(), "proposed").otherwise("excluded").alias("outcome"), F.coalesce(reason, F.when(F.col("caption").isNull(), "CHECKBOX_WITHOUT_CAPTION").otherwise("CHECKBOX_CAPTION")).alias("reason"),
                     F.when(reason.isNull(), shown).alias("label"), "x", "y", "w", "h")
 
